@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from roadcut.llm.chunk_bpe import op6_chunk_reuse_bpe
+from roadcut.llm.dac_store import op8_directly_addressable_codes
+from roadcut.llm.secret_cost import op3_guess_cost_secrets
 from roadcut.llm.substring_fm import op2_substring_fm_index
 from roadcut.llm.suffix_lpf import op10_suffix_array_lpf
 
-QUERIES = {f.__name__: f for f in (op2_substring_fm_index, op10_suffix_array_lpf)}
+QUERIES = {f.__name__: f for f in (op2_substring_fm_index, op3_guess_cost_secrets, op6_chunk_reuse_bpe, op8_directly_addressable_codes, op10_suffix_array_lpf)}
 SQL: dict[str, str] = {}

@@ -1,7 +1,5 @@
 """BPE with content-defined chunk reuse."""
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Iterator
 
@@ -109,9 +107,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = False)
     """
     path = path or _tokens.vocabulary()
 
-    @F.pandas_udf("long")
-    def near(text):
-        data, off = _io.text_bytes(pa.Array.from_pandas(text, pa.string()))
+    @F.arrow_udf("long")
+    def near(text: pa.Array) -> pa.Array:
+        data, off = _io.text_bytes(text)
         out = np.zeros(len(off) - 1, np.int64)
         for a, b in _slices(off, 2 << 20):
             d, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
@@ -122,9 +120,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = False)
             some = np.flatnonzero(np.diff(o) > 0)
             if len(some):
                 out[a + some] = np.minimum.reduceat(h, full[some]).astype(np.int64)
-        import pandas as pd
-
-        return pd.Series(out)
+        return pa.array(out)
 
     def run(batches):
         reuse, back = Reuse(path), _tokens.decoder(path)

@@ -1,13 +1,14 @@
 """Exchange of repeated windows between documents, shared by the two substring-dedup operators.
 
-A window is L consecutive symbols (words or bytes) of one document. The exchange runs in three steps, none of which
-gathers a group that grows without bound:
+A window is L consecutive symbols (words or bytes) of one document. No step gathers a group that grows without bound:
 
 1. Anchors. Closed syncmers are chosen by content alone, so both copies of a repeated window hold the same ones. Each
    home (a few MB of documents) sends every distinct anchor once, packed by hash bucket; the bucket answers which occur
-   twice or more. A window can repeat only if all its anchors do; nothing is lost by dropping the others.
-2. Segments. Runs of the remaining windows with one routing minimizer go to the shard of that minimizer, where equal
-   windows meet. The shard's index (``solve``) answers which windows are repeats.
+   twice or more. A window can repeat only if all its anchors do; nothing is lost by dropping the others. Whole
+   documents are compared in the same way: of equal ones only the first goes on, the others are covered by it.
+2. Segments. A run of the remaining windows with one routing minimizer is announced to the shard of that minimizer, where
+   equal windows meet. Equal segments are copies of the first of them. Where a minimizer has different segments, the
+   symbols of one of each are sent for, and the shard's index (``solve``) answers which of their windows are repeats.
    Windows that hold an anchor found in many homes (a passage that a large part of the corpus shares) don't go to a
    shard: each home reduces them to one entry per distinct window, and buckets by window hash merge the entries.
 3. Answers return to the homes as runs of window starts, and each document's covered symbols are removed.
@@ -33,7 +34,6 @@ U = np.uint64
 #: An anchor of so many homes is hot.
 HOT_HOMES = 48
 HOME_BYTES, BUCKET_BYTES, SHARD_BYTES = 3 << 19, 4 << 20, 4 << 20
-_INTS = pa.binary()
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,10 @@ class Spec:
             raise ValueError("each window must hold an anchor")
 
 
+#: Announcement of a segment, and the answer that sends for its symbols; a whole document.
+SEG = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("ord", "<i4"), ("at", "<i4"), ("n", "<i4")])
+ASK = np.dtype([("shard", "<i4"), ("ord", "<i4"), ("at", "<i4"), ("n", "<i4")])
+WHOLE = np.dtype([("hash", "<u8"), ("doc", "<i8")])
 #: Of a segment in a shard: its home, document's number in the home, doc_id, first symbol, symbols.
 HEAD = np.dtype([("home", "<i4"), ("ord", "<i4"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i4")])
 HIT = np.dtype([("ord", "<i4"), ("first", "<i4"), ("last", "<i4")])
@@ -70,6 +74,15 @@ class Texts:
         self.data, self.off = _io.text_bytes(t["text"])
         self._symbols()
 
+    @classmethod
+    def again(cls, spec: Spec, t: pa.Table) -> tuple[Texts, np.ndarray]:
+        """From documents that were kept with their numbers."""
+        t, x = t.sort_by("ord"), cls.__new__(cls)
+        x.spec, x.ids, x.doc = spec, t["doc_id"].combine_chunks(), _io.longs(t["doc_id"])
+        x.data, x.off = _io.text_bytes(t["body"])
+        x._symbols()
+        return x, t["ord"].to_numpy()
+
     def _symbols(self) -> None:
         if self.spec.unit == "words":
             self.ws, self.we, of = _seq.words(self.data, self.off)
@@ -86,6 +99,10 @@ class Texts:
         new[1:] = self.doc[1:] != self.doc[:-1]
         return np.maximum.accumulate(np.where(new, np.arange(len(self.doc)), 0))
 
+    def whole(self) -> np.ndarray:
+        """Hash of each document."""
+        return _seq.spans_hash(self.h, self.first, self.first + self.n)
+
     def digest(self, i: int, covered: np.ndarray | None) -> str:
         """sha256 of what is kept of document i."""
         a, b = int(self.first[i]), int(self.first[i] + self.n[i])
@@ -118,33 +135,38 @@ def _anchors(spec: Spec, buckets: int) -> Callable:
         g &= ~U(1)
         g, n = np.unique(g, return_counts=True)
         rows = list(_packed(((g >> U(20)) % U(buckets)).astype(np.int64), buckets, g | (n > 1)))
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "home": pa.array([key[0].as_py()] * len(rows), pa.int32()), "blob": pa.array([r[1] for r in rows], _INTS)})
+        split = len(rows)
+        long = np.flatnonzero(x.n >= spec.length)
+        whole = np.zeros(len(long), WHOLE)
+        whole["hash"], whole["doc"] = x.whole()[long], x.doc[long]
+        rows += _packed(((whole["hash"] >> U(20)) % U(buckets)).astype(np.int64), buckets, whole)
+        return pa.table({"kind": pa.array([1] * split + [2] * (len(rows) - split), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int64()), "home": pa.array([key[0].as_py()] * len(rows), pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
 def _common(key, t):
-    """The anchors of a bucket that occur twice or more, for each home; the lowest bit marks hot ones."""
-    homes = t["home"].to_numpy()
-    parts = [np.frombuffer(b, "<u8") for b in t["blob"].to_pylist()]
+    """Of a bucket, for each home: its anchors that occur twice or more (the lowest bit marks hot ones), and its
+    documents that have equals, with the first one's doc_id."""
+    homes, kind = t["home"].to_numpy(), key[0].as_py()
+    parts = [np.frombuffer(b, "<u8" if kind == 1 else WHOLE) for b in t["blob"].to_pylist()]
     v = np.concatenate(parts)
     home = np.repeat(homes, [len(p) for p in parts])
-    h = v & ~U(1)
-    order = np.argsort(h)
-    hs, hm, many = h[order], home[order], (v[order] & U(1)).astype(np.int64)
+    if kind == 1:
+        h, many = v & ~U(1), (v & U(1)).astype(np.int64)
+        order = np.argsort(h)
+    else:
+        h, many = v["hash"], np.zeros(len(v), np.int64)
+        order = np.lexsort((v["doc"], h))
+    hs, hm, many = h[order], home[order], many[order]
     start = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
     count = np.diff(np.r_[start, len(hs)])
-    twice = (count > 1) | (np.add.reduceat(many, start) > 0)
-    keep = np.repeat(twice, count)
-    hs = hs | np.repeat(count >= HOT_HOMES, count)
-    hs, hm = hs[keep], hm[keep]
-    order = np.argsort(hm, kind="stable")
-    hs, hm = hs[order], hm[order]
-    u, at = np.unique(hm, return_index=True)
-    cut = np.r_[at, len(hm)]
-    return pa.table({"home": pa.array(u, pa.int32()), "blob": pa.array([hs[cut[i] : cut[i + 1]].tobytes() for i in range(len(u))], _INTS)})
+    keep = np.repeat((count > 1) | (np.add.reduceat(many, start) > 0), count)
+    out = hs | np.repeat(count >= HOT_HOMES, count) if kind == 1 else v[order][np.repeat(start, count)]
+    return _returned(hm[keep], out[keep], kind)
 
 
+_BACK = "kind int, home int, body binary"
 _MID = "kind int, home int, key long, ord int, doc_id long, n_symbols long, n_removed long, n_spans long, kept_sha256 string, body binary"
 
 
@@ -159,7 +181,16 @@ def _segments(spec: Spec, shards: int) -> Callable:
 
     def run(key, t, known):
         home, x, L = int(key[0].as_py()), Texts(spec, t), spec.length
-        table = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(b, "<u8") for b in known["blob"].to_pylist())])
+        got = list(zip(known["kind"].to_pylist(), known["body"].to_pylist()))
+        table = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(b, "<u8") for k, b in got if k == 1)])
+        equal = np.unique(np.concatenate([np.zeros(0, WHOLE), *(np.frombuffer(b, WHOLE) for k, b in got if k == 2)]))
+        whole = x.whole()
+        at = _seq.member(whole, equal["hash"])
+        copy = (at >= 0) & (x.n >= L)
+        lead = copy & (x.doc == equal["doc"][at]) if len(equal) else copy
+        first = np.flatnonzero(lead)
+        lead[np.setdiff1d(first, first[np.unique(whole[first], return_index=True)[1]])] = False
+        copy &= ~lead
         table.sort()
         at, g = _seq.syncmers(x.h, x.left, spec.k, spec.s)
         hit = _seq.member(g & ~U(1), table & ~U(1))
@@ -167,32 +198,30 @@ def _segments(spec: Spec, shards: int) -> Callable:
         odd, hot = np.zeros(len(x.h) + 1, np.int64), np.zeros(len(x.h) + 1, np.int64)
         odd[at + 1], hot[at + 1] = hit < 0, (hit >= 0) & (table[hit] & U(1) > 0) if len(table) else False
         span, odd, hot = L - spec.k + 1, np.cumsum(odd), np.cumsum(hot)
-        may = (odd[span : span + n] == odd[:n]) & (x.left[:n] >= L)
-        hot = may & (hot[span : span + n] > hot[:n])
         of = np.repeat(np.arange(len(x.doc)), x.n)
+        may = (odd[span : span + n] == odd[:n]) & (x.left[:n] >= L) & ~copy[of[:n]]
+        hot = may & (hot[span : span + n] > hot[:n])
         live = np.zeros(len(x.doc), bool)
         live[of[:n][may]] = True
         out, rest = [], np.flatnonzero(~live)
-        out.append(_mid(0, len(rest), home=np.full(len(rest), home), doc_id=x.ids.take(pa.array(rest)), n_symbols=x.n[rest], n_removed=np.zeros(len(rest), np.int64), n_spans=np.zeros(len(rest), np.int64), kept_sha256=[x.digest(i, None) for i in rest]))
+        gone, none = copy[rest], hashlib.sha256(b"").hexdigest()
+        out.append(_mid(0, len(rest), home=np.full(len(rest), home), doc_id=x.ids.take(pa.array(rest)), n_symbols=x.n[rest], n_removed=np.where(gone, x.n[rest], 0), n_spans=gone.astype(np.int64), kept_sha256=[none if g else x.digest(i, None) for i, g in zip(rest, gone)]))
         rest = np.flatnonzero(live)
         data = x.data.tobytes() if len(rest) else b""
-        out.append(_mid(1, len(rest), home=np.full(len(rest), home), ord=rest, doc_id=x.ids.take(pa.array(rest)), body=[data[x.off[i] : x.off[i + 1]] for i in rest]))
+        out.append(_mid(1, len(rest), home=np.full(len(rest), home), ord=rest, key=lead[rest].astype(np.int64), doc_id=x.ids.take(pa.array(rest)), body=[data[x.off[i] : x.off[i + 1]] for i in rest]))
         if (cold := may & ~hot).any():
-            key_of = _seq.sliding_min(_seq.gram_hash(x.h, spec.m) ^ U(0x5BD1E995C6A4A793), L - spec.m + 1)[:n]
+            # 40 bits of hash and 24 of place: of equal minimizers in a window the first; a segment holds one occurrence
+            gram = _seq.gram_hash(x.h, spec.m)
+            gram = ((gram ^ U(0x5BD1E995C6A4A793)) & ~U(0xFFFFFF)) | (np.arange(len(gram), dtype=U) & U(0xFFFFFF))
+            least = _seq.sliding_min(gram, L - spec.m + 1)[:n]
             cut = np.zeros(n, bool)
-            cut[1:] = (key_of[1:] != key_of[:-1]) | (of[1:n] != of[: n - 1])
-            cut |= np.arange(n) % (8 * L) == 0  # bounds a segment where texts repeat one symbol
+            cut[1:] = (least[1:] != least[:-1]) | (of[1:n] != of[: n - 1])
             a, b = _seq.runs(cold, cut)
-            shard = ((key_of[a] >> U(20)) % U(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            a, b, shard = a[order], b[order], shard[order]
-            head = np.zeros(len(a), HEAD)
-            head["home"], head["ord"], head["doc"] = home, of[a], x.doc[of[a]]
-            head["at"], head["n"] = a - x.first[of[a]], b - a + L
-            body = x.h[_seq.gather(a, b - a + L)].astype(np.uint32) if spec.unit == "words" else x.data[_seq.gather(a, b - a + L)]
-            ends, u = np.r_[0, np.cumsum(b - a + L)], np.unique(shard)
-            cuts = np.searchsorted(shard, np.r_[u, shards])
-            out.append(_mid(2, len(u), home=np.full(len(u), home), key=u, body=[np.int64(q - p).tobytes() + head[p:q].tobytes() + body[ends[p] : ends[q]].tobytes() for p, q in zip(cuts[:-1], cuts[1:])]))
+            seg = np.zeros(len(a), SEG)
+            seg["key"], seg["hash"], seg["doc"], seg["ord"] = least[a] >> U(24), _seq.spans_hash(x.h, a, b + L), x.doc[of[a]], of[a]
+            seg["at"], seg["n"] = a - x.first[of[a]], b - a + L
+            rows = list(_packed((_seq.mix(seg["key"].copy()) % U(shards)).astype(np.int64), shards, seg))
+            out.append(_mid(2, len(rows), home=np.full(len(rows), home), key=[r[0] for r in rows], body=[r[1] for r in rows]))
         if hot.any():
             w = np.flatnonzero(hot)
             g = _seq.spans_hash(x.h, w, w + L)
@@ -215,6 +244,61 @@ def _returned(homes: np.ndarray, rows: np.ndarray, kind: int) -> pa.Table:
     return pa.table({"kind": pa.array(np.full(len(u), kind), pa.int32()), "home": pa.array(u, pa.int32()), "body": pa.array([rows[cut[i] : cut[i + 1]].tobytes() for i in range(len(u))], pa.binary())})
 
 
+def _announced(spec: Spec) -> Callable:
+    """A shard's announcements. Equal segments are hits (kind 1), the first aside if it stays; where the segments of a
+    minimizer differ, the symbols of the first of each equal ones are sent for (kind 4)."""
+
+    def run(key, t):
+        parts = [np.frombuffer(b, SEG) for b in t["body"].to_pylist()]
+        v, home = np.concatenate(parts), np.repeat(t["home"].to_numpy(), [len(p) for p in parts])
+        order = np.lexsort((v["at"], v["ord"], home, v["doc"], v["hash"], v["key"]))
+        v, home = v[order], home[order]
+        new = np.r_[True, v["key"][1:] != v["key"][:-1]]
+        start = np.flatnonzero(new)
+        mixed = np.zeros(len(v), np.int64)
+        mixed[1:] = (v["hash"][1:] != v["hash"][:-1]) & ~new[1:]
+        first = new | (mixed > 0)  # of equal segments
+        mixed = np.repeat(np.add.reduceat(mixed, start) > 0, np.diff(np.r_[start, len(v)])) & first
+        on = ~first
+        if not spec.earlier:
+            on[:-1] |= ~first[1:]
+        hits = np.zeros(int(on.sum()), HIT)
+        hits["ord"], hits["first"], hits["last"] = v["ord"][on], v["at"][on], v["at"][on] + v["n"][on] - spec.length
+        asks = np.zeros(int(mixed.sum()), ASK)
+        asks["shard"] = key[0].as_py()
+        for name in ("ord", "at", "n"):
+            asks[name] = v[name][mixed]
+        return pa.concat_tables([_returned(home[on], hits, 1), _returned(home[mixed], asks, 4)])
+
+    return run
+
+
+def _bodies(spec: Spec) -> Callable:
+    """A home sends the symbols that shards have asked for."""
+
+    def run(key, t, asked):
+        names, types = ["key", "home", "body"], [pa.int64(), pa.int32(), pa.binary()]
+        if not len(t) or not len(asked):
+            return pa.table([pa.array([], x) for x in types], names=names)
+        x, ords = Texts.again(spec, t)
+        ask = np.concatenate([np.frombuffer(b, ASK) for b in asked["body"].to_pylist()])
+        ask = ask[np.argsort(ask["shard"], kind="stable")]
+        doc = np.searchsorted(ords, ask["ord"])
+        head = np.zeros(len(ask), HEAD)
+        head["home"], head["doc"] = key[0].as_py(), x.doc[doc]
+        for name in ("ord", "at", "n"):
+            head[name] = ask[name]
+        length = ask["n"].astype(np.int64)
+        at = _seq.gather(x.first[doc] + ask["at"], length)
+        body = x.h[at].astype(np.uint32) if spec.unit == "words" else x.data[at]
+        ends, (u, cut) = np.r_[0, np.cumsum(length)], np.unique(ask["shard"], return_index=True)
+        cut = np.r_[cut, len(ask)]
+        blobs = [np.int64(q - p).tobytes() + head[p:q].tobytes() + body[ends[p] : ends[q]].tobytes() for p, q in zip(cut[:-1], cut[1:])]
+        return pa.table([pa.array(u, types[0]), pa.array(np.full(len(u), head["home"][0]), types[1]), pa.array(blobs, types[2])], names=names)
+
+    return run
+
+
 def _answers(spec: Spec, solve: Callable) -> Callable:
     """A shard's segments through its index."""
 
@@ -280,11 +364,7 @@ def _removed(spec: Spec) -> Callable:
         names = ["doc_id", "n_symbols", "n_removed", "n_spans", "kept_sha256"]
         if not len(t):
             return _mid(0, 0).select(names)
-        t = t.sort_by("ord")
-        x, ords = Texts.__new__(Texts), t["ord"].to_numpy()
-        x.spec, x.ids, x.doc = spec, t["doc_id"].combine_chunks(), _io.longs(t["doc_id"])
-        x.data, x.off = _io.text_bytes(t["body"])
-        x._symbols()
+        x, ords = Texts.again(spec, t)
         cover = np.zeros(len(x.h) + 1, np.int64)
         for kind, body in zip(got["kind"].to_pylist(), got["body"].to_pylist()):
             if kind == 1:
@@ -307,6 +387,10 @@ def _removed(spec: Spec) -> Callable:
             w = np.flatnonzero(on)
             cover[:n][w] += 1
             cover[L : L + n][w] -= 1
+        if not spec.earlier:  # the first of equal documents
+            lead = np.flatnonzero(t.sort_by("ord")["key"].to_numpy())
+            np.add.at(cover, x.first[lead], 1)
+            np.add.at(cover, x.first[lead] + x.n[lead], -1)
         covered = np.cumsum(cover)[:-1] > 0
         removed, spans, sha = np.zeros(len(ords), np.int64), np.zeros(len(ords), np.int64), []
         for i in range(len(ords)):
@@ -333,13 +417,17 @@ def remove(docs: DataFrame, spec: Spec, solve: Callable) -> DataFrame:
     home = docs.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int"))
     parts = max(12, math.ceil(size / (8 << 20)))
     home = home.repartition(parts, "home")
-    packed = home.groupBy("home").applyInArrow(_anchors(spec, buckets), "bucket long, home int, blob binary")
-    known = packed.groupBy("bucket").applyInArrow(_common, "home int, blob binary")
+    packed = home.groupBy("home").applyInArrow(_anchors(spec, buckets), "kind int, bucket long, home int, blob binary")
+    known = packed.groupBy("kind", "bucket").applyInArrow(_common, _BACK)
     mid = home.groupBy("home").cogroup(known.repartition(parts, "home").groupBy("home")).applyInArrow(_segments(spec, shards), _MID)
     mid = _io.stored(mid, "repeats")
-    marks = mid.where("kind = 2").select("key", "home", "body").groupBy("key").applyInArrow(_answers(spec, solve), "kind int, home int, body binary")
-    merged = mid.where("kind = 3").select("key", "home", "body").groupBy("key").applyInArrow(_merged(spec), "kind int, home int, body binary")
-    live = mid.where("kind = 1").select("home", "ord", "doc_id", "body")
+    to = ["key", "home", "body"]
+    told = mid.where("kind = 2").select(to).groupBy("key").applyInArrow(_announced(spec), _BACK)
+    merged = mid.where("kind = 3").select(to).groupBy("key").applyInArrow(_merged(spec), _BACK)
+    live = mid.where("kind = 1").select("home", "ord", "key", "doc_id", "body")
+    sent = live.groupBy("home").cogroup(told.where("kind = 4").groupBy("home")).applyInArrow(_bodies(spec), "key long, home int, body binary")
+    solved = sent.groupBy("key").applyInArrow(_answers(spec, solve), _BACK)
     done = mid.where("kind = 0").select("doc_id", "n_symbols", "n_removed", "n_spans", "kept_sha256")
-    rest = live.groupBy("home").cogroup(marks.unionByName(merged).groupBy("home")).applyInArrow(_removed(spec), done.schema)
+    marks = told.where("kind = 1").unionByName(solved).unionByName(merged)
+    rest = live.groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(_removed(spec), done.schema)
     return done.unionByName(rest)

@@ -14,30 +14,31 @@ _WHITE = "\\\\x20\\\\x09-\\\\x0D"
 #: Least and most value that a fence may take: the adaptive threshold moves between them.
 FLOOR = {"sym": ONE // 10, "dup": 3 * ONE // 10}
 CEILING = {"sym": 3 * ONE // 10, "dup": 7 * ONE // 10}
-_REPEATS = """transform(array(sort_array(transform(q_hash, (h, i) -> struct(h, i)))), t ->
+_REPEATS = """transform(array(sort_array(transform(q2.hash, (h, i) -> struct(h, i)))), t ->
   transform(array(sort_array(transform(filter(t, (x, i) -> get(t, i - 1).h <=> x.h OR get(t, i + 1).h <=> x.h), x -> x.i))), p ->
     aggregate(transform(p, (x, k) -> least(8, coalesce(get(p, k + 1), x + 8) - x)), 0, (a, b) -> a + b))[0])[0]"""
 
 
+def _once(**fields: str):
+    """A struct that the optimizer evaluates once a row: with a counter inside it is not deterministic, so neither
+    filters nor projections above copy its expressions."""
+    return F.struct(F.monotonically_increasing_id().alias("once"), *(F.expr(e).alias(n) for n, e in fields.items()))
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """docs and q_words, q_chars, q_symbols, q_lines, q_dup_lines, q_repeats (long). Null text: empty.
 
     q_repeats counts the words in 8-word windows found twice or more in their text: only texts with such a window sort
     their window hashes; the words covered are the sum of the steps between the windows' places, 8 at most each.
     """
-    d = docs.withColumn("q_text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("q_list", F.expr(f"array_remove(split(q_text, '[{_WHITE}]+'), '')"))
-    d = d.withColumn("q_hash", F.expr("if(size(q_list) < 9, array(), transform(sequence(1, size(q_list) - 7), i -> xxhash64(slice(q_list, i, 8))))"))
-    d = d.withColumn("q_line", F.expr(f"filter(split(q_text, '\\n'), x -> x RLIKE '[^{_WHITE}]')"))
-    return d.select(
-        *docs.columns,
-        F.size("q_list").cast("long").alias("q_words"),
-        F.expr("cast(length(array_join(q_list, '')) as long)").alias("q_chars"),
-        F.expr("cast(regexp_count(q_text, '[#*$%&|<>]') as long)").alias("q_symbols"),
-        F.size("q_line").cast("long").alias("q_lines"),
-        F.expr("cast(size(q_line) - size(array_distinct(q_line)) as long)").alias("q_dup_lines"),
-        F.expr(f"cast(if(size(array_distinct(q_hash)) = size(q_hash), 0, {_REPEATS}) as long)").alias("q_repeats"),
-    )
+    d = docs.withColumn("q1", _once(text="coalesce(text, '')", list=f"array_remove(split(coalesce(text, ''), '[{_WHITE}]+'), '')", line=f"filter(split(coalesce(text, ''), '\\n'), x -> x RLIKE '[^{_WHITE}]')"))
+    d = d.withColumn("q2", _once(
+        words="size(q1.list)", chars="length(array_join(q1.list, ''))", symbols="regexp_count(q1.text, '[#*$%&|<>]')", lines="size(q1.line)", dup="size(q1.line) - size(array_distinct(q1.line))",
+        hash="if(size(q1.list) < 9, array(), transform(sequence(1, size(q1.list) - 7), i -> xxhash64(slice(q1.list, i, 8))))",
+    ))
+    d = d.withColumn("q3", _once(repeats=f"if(size(array_distinct(q2.hash)) = size(q2.hash), 0, {_REPEATS})", words="q2.words", chars="q2.chars", symbols="q2.symbols", lines="q2.lines", dup="q2.dup"))
+    named = {"q_words": "words", "q_chars": "chars", "q_symbols": "symbols", "q_lines": "lines", "q_dup_lines": "dup", "q_repeats": "repeats"}
+    return d.select(*docs.columns, *(F.col(f"q3.{v}").cast("long").alias(k) for k, v in named.items()))
 
 
 def _base(m: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = False)
                     out |= {"ids": pa.array([x.astype(np.int32) for x in arrays], pa.list_(pa.int32())), "decoded": pc.cast(pa.array(texts, pa.binary()), pa.string())}
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("near", near("text")).hint("rebalance", F.col("near")).select("doc_id", "text")
     extra = ", ids array<int>, decoded string" if keep else ""
     return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)

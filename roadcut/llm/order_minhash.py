@@ -180,33 +180,36 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     go on as one representative.
 
     Candidates: texts that share a sketch of Order MinHash. No pairs are made inside a bucket: each sketch's bucket has
-    a pivot of its own (the least under a hash of the sketch), to which the others are compared; what isn't linked to it
-    meets a new pivot, ROUNDS times. Of 24 keys a pair with similarity 0.8 shares each with probability 0.41, so it meets
-    in about ten buckets, with another pivot in each.
+    a pivot (the least member under a hash), to which the others are compared. What isn't linked to it meets the bucket's
+    second pivot (the least under a hash of the sketch, so another one in each bucket), then one among those left. Of 24
+    keys a pair with similarity 0.8 shares each with probability 0.41, so it meets in about ten buckets.
 
     Texts of fewer than five words link only to equal ones; texts without words are equal. Null text: empty. A null
     doc_id takes part as the least. Rows that repeat are returned each. An empty table gives no rows.
     """
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = _io.small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = _io.stored(d.mapInArrow(_sketched(shingle), "doc_id long, whole long, n_words long, sketch array<long>"), "sketches")
     reps = own.groupBy("whole").agg(F.min("doc_id").alias("rep"))
     one = own.join(reps, "whole").where(f"doc_id = rep AND n_words >= {shingle}").select("rep", "sketch").dropDuplicates(["rep"])
     keys = one.select("rep", F.posexplode("sketch").alias("no", "key"))
-    pivot = F.min_by("rep", F.xxhash64("rep", "no")).alias("pivot")
-    buckets = keys.groupBy("no", "key").agg(pivot, F.count("*").alias("n")).where("n > 1").select("no", "key", "pivot")
-    rest = _io.stored(keys.join(buckets, ["no", "key"]).where("rep <> pivot").select("no", "key", "rep", "pivot"), "buckets")
+    pivot = F.min_by("rep", F.xxhash64("rep", "no"))
+    buckets = keys.groupBy("no", "key").agg(F.min_by("rep", F.xxhash64("rep")).alias("pivot"), pivot.alias("second"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rest = _io.stored(keys.join(buckets, ["no", "key"]).where("rep <> pivot").select("no", "key", "rep", "pivot", "second"), "buckets")
     pairs = rest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    need = rest.select("rep").union(rest.select("pivot")).distinct()
+    need = rest.select("rep").union(rest.select("pivot")).union(rest.select("second")).distinct()
     # a doc_id may stand for several texts; the representative's is meant
     texts = d.join(need, d["doc_id"] == need["rep"]).select("rep", "text")
     shingles = _io.stored(texts.mapInArrow(_shingled(shingle), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
     checked = _io.stored(_checked(pairs, shingles, similarity), "checked")
     links = checked.where("yes")
-    for _ in range(ROUNDS - 1):
+    for turn in range(1, ROUNDS):
         met = rest.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(checked, ["a", "b"], "left")
-        rest = met.where("NOT coalesce(yes, false)").select("no", "key", "rep")
-        again = rest.groupBy("no", "key").agg(pivot, F.count("*").alias("n")).where("n > 1").select("no", "key", "pivot")
-        rest = _io.stored(rest.join(again, ["no", "key"]).where("rep <> pivot").select("no", "key", "rep", "pivot"), "buckets")
+        rest = met.where("NOT coalesce(yes, false)").select("no", "key", "rep", *["second"] * (turn == 1))
+        if turn == 1:
+            rest = rest.withColumnRenamed("second", "pivot")
+        else:
+            rest = rest.join(rest.groupBy("no", "key").agg(pivot.alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), ["no", "key"])
+        rest = _io.stored(rest.where("rep <> pivot").select("no", "key", "rep", "pivot"), "buckets")
         pairs = rest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = _io.stored(_checked(pairs, shingles, similarity), "checked")
         checked, links = checked.unionByName(more), links.unionByName(more.where("yes"))

@@ -409,7 +409,7 @@ def remove(docs: DataFrame, spec: Spec, solve: Callable) -> DataFrame:
     Null texts are empty. Rows that repeat a doc_id are told apart by their texts; a row equal to another in both is a
     copy of it. No rows give no rows. Columns other than doc_id and text are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = _io.volume(docs)
     homes = max(1, math.ceil(size / HOME_BYTES))
     syncs = size / (6 if spec.unit == "words" else 1) * 2 / (spec.k - spec.s + 1) * 8

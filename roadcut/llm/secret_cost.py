@@ -150,7 +150,7 @@ def scan(docs: DataFrame, least: float = 10.0, redact: str | None = None, keep:
     rows. ``keep``: columns to carry along; others are not read.
     """
     kept = [*dict.fromkeys(keep)]
-    d = docs.select(*kept, F.coalesce("text", F.lit("")).alias("scan_text"))
+    d = _io.small_batches(docs).select(*kept, F.coalesce("text", F.lit("")).alias("scan_text"))
     names = ["n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"] + ["clean_text"] * (redact is not None)
     none = hashlib.sha256(b"").hexdigest()
 

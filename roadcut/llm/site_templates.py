@@ -228,7 +228,7 @@ def extract(pages: DataFrame, share: float = 0.3, least: int = 5) -> DataFrame:
     Null html: empty text. Null url: the empty host, a host like others. Text that isn't HTML is one block. Rows that
     repeat are returned each. An empty table gives no rows. Columns other than page_id, url and html are not read.
     """
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.expr(host_of("url")).alias("host"))
+    p = _io.small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.expr(host_of("url")).alias("host"))
     found = _io.stored(templates(p, share, least), "templates")
     size = found.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + 32).alias("n")).first().n or 0
     found = found.withColumnRenamed("host", "of_host")

@@ -1,4 +1,485 @@
-"""Queries over the road lattice, by name, with the SQL that tells what each must return."""
+"""Queries over the road lattice (see testbed), by name, with the SQL that tells what each must return."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roadcut import testbed as T
+from roadcut.functions import geometry as G
+from roadcut.operators import faces as D
+from roadcut.operators import graph, planar, regions
+from roadcut.plans import city, divide
+from roadcut.plans.store import numbered, stored
+from roadcut.sources import text
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+#: Cells of the grid for joins by place; maximum weight of a region; tolerance.
+CELL, MOST, EPS = 150.0, 3000.0, 15.0
+
+_V = """v AS (SELECT p_partkey AS id, p_partkey % 40 AS gx, p_partkey // 40 AS gy, (p_partkey % 40) * 100 + (p_partkey * 37) % 41 - 20 AS x,
+  (p_partkey // 40) * 100 + (p_partkey * 53) % 43 - 21 AS y FROM part)"""
+_E = """e AS (SELECT a.id AS u, b.id AS v, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS length FROM v a JOIN v b ON b.id = a.id + 1 WHERE a.gx < 39
+  UNION ALL SELECT a.id, b.id, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) FROM v a JOIN v b ON b.id = a.id + 40),
+h AS (SELECT u AS src, v AS dst, length FROM e UNION ALL SELECT v, u, length FROM e)"""
+_R = """g AS (SELECT h.*, atan2(b.y - a.y, b.x - a.x) AS t FROM h JOIN v a ON a.id = src JOIN v b ON b.id = dst),
+r AS (SELECT src, dst, length, if(t < 0, t + 2 * pi(), t) AS angle, row_number() OVER (PARTITION BY src ORDER BY if(t < 0, t + 2 * pi(), t), dst) - 1 AS rank,
+  count(*) OVER (PARTITION BY src) AS degree FROM g)"""
+_C = """c AS (SELECT a.id AS a, b.id AS b, c.id AS c, d.id AS d, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx_, c.y AS cy_, d.x AS dx, d.y AS dy,
+  r.src * 4096 + r.rank AS face, a.gx // 8 + 5 * (a.gy // 8) AS region
+  FROM v a JOIN v b ON b.id = a.id + 1 JOIN v c ON c.id = a.id + 41 JOIN v d ON d.id = a.id + 40 JOIN r ON r.src = a.id AND r.dst = d.id WHERE a.gx < 39),
+l AS (SELECT *, sqrt((dx - ax) ** 2 + (dy - ay) ** 2) AS ad, sqrt((cx_ - dx) ** 2 + (cy_ - dy) ** 2) AS dc, sqrt((bx - cx_) ** 2 + (by_ - cy_) ** 2) AS cb, sqrt((ax - bx) ** 2 + (ay - by_) ** 2) AS ba FROM c),
+f AS (SELECT *, ((ax * (ad + ba)) + (dx * (ad + dc)) + (cx_ * (dc + cb)) + (bx * (cb + ba))) / (2 * (ad + dc + cb + ba)) AS cx,
+  ((ay * (ad + ba)) + (dy * (ad + dc)) + (cy_ * (dc + cb)) + (by_ * (cb + ba))) / (2 * (ad + dc + cb + ba)) AS cy,
+  ((ax * dy - dx * ay) + (dx * cy_ - cx_ * dy) + (cx_ * by_ - bx * cy_) + (bx * ay - ax * by_)) / 2.0 AS area FROM l)"""
+_D = """du AS (SELECT p.face AS f1, q.face AS f2, e.length, p.region AS r1, q.region AS r2 FROM f p JOIN f q ON q.a = p.a + 1 JOIN e ON e.u = p.b AND e.v = p.c
+  UNION ALL SELECT p.face, q.face, e.length, p.region, q.region FROM f p JOIN f q ON q.a = p.a + 40 JOIN e ON e.u = p.d AND e.v = p.c),
+dual AS (SELECT f1, f2, length, r1, r2 FROM du UNION ALL SELECT f2, f1, length, r2, r1 FROM du)"""
+_P = """p AS (SELECT c_custkey AS id, (c_custkey * 7919) % 3900 AS x, (c_custkey * 104729) % (100 * (SELECT max(gy) FROM v)) AS y, 1 + c_custkey % 97 AS weight FROM customer)"""
+_L = """loc AS (SELECT p.id AS point, min(face) AS face FROM p JOIN f ON f.a % 40 BETWEEN p.x // 100 - 1 AND p.x // 100 + 1 AND f.a // 40 BETWEEN p.y // 100 - 1 AND p.y // 100 + 1
+  WHERE (bx - ax) * (p.y - ay) - (by_ - ay) * (p.x - ax) >= 0 AND (cx_ - bx) * (p.y - by_) - (cy_ - by_) * (p.x - bx) >= 0
+    AND (dx - cx_) * (p.y - cy_) - (dy - cy_) * (p.x - cx_) >= 0 AND (ax - dx) * (p.y - dy) - (ay - dy) * (p.x - dx) >= 0 GROUP BY p.id),
+w AS (SELECT f.face, f.region, f.cx, f.cy, coalesce(sum(p.weight), 0)::BIGINT AS weight FROM f LEFT JOIN loc USING (face) LEFT JOIN p ON p.id = loc.point GROUP BY ALL),
+rw AS (SELECT region, sum(weight)::BIGINT AS weight, count(*) AS n_faces FROM w GROUP BY region),
+cut AS (SELECT f.region, coalesce(sum(length), 0) AS cut FROM (SELECT DISTINCT region FROM f) f LEFT JOIN (SELECT r1, length FROM dual WHERE r1 <> r2) ON r1 = region GROUP BY f.region)"""
+_LINES = "ln(line, k, vertical) AS (VALUES (0, 0.0, false), (1, 1.0, false), (2, -1.0, false), (3, 0.5, false), (4, -0.5, false), (5, 2.0, false), (6, -2.0, false), (7, 0.0, true))"
+_GRAPH, _FACES = f"WITH {_V}, {_E} ", f"WITH {_V}, {_E}, {_R}, {_C} "
+_ALL = f"WITH {_V}, {_E}, {_R}, {_C}, {_D}, {_P}, {_L}, {_LINES} "
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _half(spark, d):
+    return graph.half_edges(T.edges(spark, d))
+
+
+def _angular(spark, d):
+    return D.angular(_half(spark, d), T.vertices(spark, d))
+
+
+def _traced(spark, d):
+    return stored(D.trace(_angular(spark, d)), "traced")
+
+
+def _faces(spark, d):
+    t = _traced(spark, d)
+    return t, stored(D.interior(D.faces(t)), "faces")
+
+
+def _assigned(faces):
+    a = "face div 4096"
+    return faces.selectExpr("face", f"({a}) % 40 div 8 + 5 * ((({a}) div 40) div 8) AS region")
+
+
+def _weighed(spark, d):
+    """traced, faces with weights, dual, assignment."""
+    t, f = _faces(spark, d)
+    p = T.points(spark, d)
+    w = D.face_weights(p, D.locate(p, f, CELL), f)
+    w = stored(f.select("face", "cx", "cy").join(w, "face"), "weights")
+    return t, f, w, stored(D.dual_edges(t, f), "dual"), stored(_assigned(w), "assignment")
+
+
+def _r(name: str, to: str | None = None, digits: int = 6):
+    return F.round(name, digits).alias(to or name)
+
+
+# Vertices and edges
+
+
+@query(f"WITH {_V}, {_LINES} SELECT id, line::BIGINT AS line, round(if(vertical, y, (x + k * y) / (1 + k * k)), 6)::DOUBLE AS p FROM v, ln")
+def vertex_projection(spark, d) -> DataFrame:
+    lines = F.array(*(F.struct(F.lit(i).cast("long").alias("line"), F.lit(k).alias("k"), F.lit(v).alias("v")) for i, (k, v) in enumerate(regions.LINES)))
+    v = T.vertices(spark, d).withColumn("l", F.explode(lines))
+    return v.select("id", F.col("l.line").alias("line"), F.round(G.projection(F.col("x").cast("double"), F.col("y").cast("double"), F.col("l.k"), F.col("l.v")), 6).alias("p"))
+
+
+@query(f"WITH {_V}, b AS (SELECT (min(x) + max(x)) / 2 / 1000 AS rx, (min(y) + max(y)) / 2 / 1000 AS ry FROM v) SELECT id, round(111321.377778 * cos(ry * pi() / 180) * (x / 1000 - rx), 4) AS x, round(111321.377778 * (y / 1000 - ry), 4) AS y FROM v, b")
+def plane_projection(spark, d) -> DataFrame:
+    v = T.vertices(spark, d).selectExpr("id", "x / 1000D AS x", "y / 1000D AS y")
+    return text.to_plane(v, text.reference_point(v)).select("id", _r("x", digits=4), _r("y", digits=4))
+
+
+@query(f"WITH {_V} SELECT id, x / 1000 AS x, y / 1000 AS y FROM v")
+def plane_projection_inverse(spark, d) -> DataFrame:
+    v = T.vertices(spark, d).selectExpr("id", "x / 1000D AS x", "y / 1000D AS y")
+    ref = text.reference_point(v)
+    return text.to_degrees(text.to_plane(v, ref), ref).select("id", _r("x", digits=9), _r("y", digits=9))
+
+
+@query(_GRAPH + "SELECT u, v, round(length, 6) AS length FROM e")
+def edge_lengths(spark, d) -> DataFrame:
+    return T.edges(spark, d).select("u", "v", _r("length"))
+
+
+@query(_GRAPH + ", m AS (SELECT e.*, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM e JOIN v a ON a.id = u JOIN v b ON b.id = e.v) SELECT u, v, round(if(atan2(y2 - y1, x2 - x1) < 0, atan2(y2 - y1, x2 - x1) + 2 * pi(), atan2(y2 - y1, x2 - x1)), 6) AS angle, round(atan2(y2 - y1, x2 - x1) + pi(), 6) AS from_west, if(x1 = x2, NULL, round((y2 - y1) / nullif(x2 - x1, 0), 6)) AS slope, x1 = x2 AS vertical, y1 = y2 AS horizontal FROM m")
+def edge_angles(spark, d) -> DataFrame:
+    p = planar.placed(T.edges(spark, d), T.vertices(spark, d))
+    at = ("x1", "y1", "x2", "y2")
+    return p.select("u", "v", F.round(G.angle(*at), 6).alias("angle"), F.round(G.angle_from_west(*at), 6).alias("from_west"), F.round(G.slope(*at), 6).alias("slope"), G.is_vertical("x1", "x2").alias("vertical"), G.is_horizontal("y1", "y2").alias("horizontal"))
+
+
+@query(_GRAPH + "SELECT p.id AS point, e.u, e.v, (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) AS turn, p.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND p.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y) AS boxed, p.x > least(a.x, b.x) AND p.x < greatest(a.x, b.x) AS between_x FROM e JOIN v a ON a.id = e.u JOIN v b ON b.id = e.v JOIN v p ON p.id = e.u + 41 OR p.id = e.u")
+def segment_predicates(spark, d) -> DataFrame:
+    p = planar.placed(T.edges(spark, d), T.vertices(spark, d)).withColumn("point", F.explode(F.array(F.col("u"), F.col("u") + 41)))
+    p = p.join(T.vertices(spark, d).selectExpr("id AS point", "cast(x AS double) AS x", "cast(y AS double) AS y"), "point")
+    turn = G.cross("x1", "y1", "x2", "y2", "x", "y").cast("long")
+    return p.select("point", "u", "v", turn.alias("turn"), G.in_rectangle("x", "y", "x1", "y1", "x2", "y2").alias("boxed"), G.strictly_between("x", "x1", "x2").alias("between_x"))
+
+
+@query(_GRAPH + "SELECT degree, count(*) AS n FROM (SELECT src, count(*) AS degree FROM h GROUP BY src) GROUP BY degree")
+def degree_dist(spark, d) -> DataFrame:
+    return graph.degrees(_half(spark, d)).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+@query("SELECT u, count(*) AS degree, sum(n)::BIGINT AS lines FROM (SELECT l_suppkey AS u, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY u")
+def bipartite_degrees(spark, d) -> DataFrame:
+    return T.bipartite(spark, d).groupBy("u").agg(F.count("*").alias("degree"), F.sum("length").alias("lines"))
+
+
+@query(_GRAPH + "SELECT src, dst, round(length, 6) AS length FROM h")
+def undirected_closure(spark, d) -> DataFrame:
+    e = T.edges(spark, d)
+    return graph.half_edges(e.unionByName(e.where("u % 3 = 0"))).select("src", "dst", _r("length"))
+
+
+@query(_GRAPH + "SELECT u, v, round(length, 6) AS length FROM e")
+def distinct_edges(spark, d) -> DataFrame:
+    return graph.undirected(_half(spark, d)).select("u", "v", _r("length"))
+
+
+@query(_GRAPH + "SELECT src, dst FROM h WHERE src % 40 < 20 AND dst % 40 < 20")
+def induced_subgraph(spark, d) -> DataFrame:
+    return graph.induced(_half(spark, d), T.vertices(spark, d).where("gx < 20")).select("src", "dst")
+
+
+@query(_GRAPH + "SELECT src, dst FROM h WHERE src % 7 <> 0 AND dst % 7 <> 0")
+def drop_vertices(spark, d) -> DataFrame:
+    return graph.without_vertices(_half(spark, d), T.vertices(spark, d).where("id % 7 = 0")).select("src", "dst")
+
+
+@query(_GRAPH + "SELECT src, dst FROM h WHERE NOT (least(src, dst) % 5 = 0 AND greatest(src, dst) = least(src, dst) + 1)")
+def drop_edges(spark, d) -> DataFrame:
+    return graph.without_edges(_half(spark, d), T.edges(spark, d).where("u % 5 = 0 AND v = u + 1")).select("src", "dst")
+
+
+def _strips(spark, d):
+    return graph.without_vertices(_half(spark, d), T.vertices(spark, d).where("gx % 10 = 9"))
+
+
+@query(f"WITH {_V} SELECT id, gx // 10 * 10 AS component FROM v WHERE gx % 10 <> 9")
+def components(spark, d) -> DataFrame:
+    return graph.components(_strips(spark, d))
+
+
+@query(f"WITH {_V} SELECT id FROM v WHERE gx < 9")
+def largest_component(spark, d) -> DataFrame:
+    return graph.largest_component(_strips(spark, d))
+
+
+@query(_GRAPH + "SELECT id FROM v WHERE id NOT IN (SELECT u FROM e WHERE e.v = u + 40 UNION SELECT v FROM e WHERE e.v = u + 40) OR gy >= 0")
+def linked_vertices(spark, d) -> DataFrame:
+    return graph.linked_vertices(T.vertices(spark, d), _half(spark, d)).select("id")
+
+
+@query(f"WITH {_V} SELECT id, (gx + gy)::DOUBLE AS dist, CASE WHEN id = 0 THEN NULL WHEN gy > 0 THEN id - 40 ELSE id - 1 END AS pred FROM v WHERE gx < 8 AND gy < 5")
+def sssp_lattice(spark, d) -> DataFrame:
+    h = graph.induced(_half(spark, d), T.vertices(spark, d).where("gx < 8 AND gy < 5")).withColumn("length", F.lit(1.0))
+    return graph.shortest_paths(h, T.vertices(spark, d).where("id = 0"))
+
+
+@query(f"WITH {_V}, t AS (SELECT max(id) AS t FROM v WHERE gx < 8 AND gy < 5), g AS (SELECT t % 40 AS gx, t // 40 AS gy, t FROM t), n AS (SELECT t AS target, unnest(range(0, gx + gy + 1)) AS pos, gx, gy FROM g) SELECT target, pos::INTEGER AS pos, if(pos <= gy, target - 40 * pos, gx - (pos - gy)) AS id FROM n")
+def path_reconstruct(spark, d) -> DataFrame:
+    v = T.vertices(spark, d).where("gx < 8 AND gy < 5")
+    h = graph.induced(_half(spark, d), v).withColumn("length", F.lit(1.0))
+    paths = graph.shortest_paths(h, v.where("id = 0"))
+    return graph.path_to(paths, v.agg(F.max("id").alias("id")))
+
+
+@query(f"WITH {_V} SELECT id FROM v WHERE gx < 6 AND gy < 5")
+def reachability_blocked(spark, d) -> DataFrame:
+    v = T.vertices(spark, d)
+    return graph.reachable(graph.induced(_half(spark, d), v.where("gy < 5")), v.where("id = 0"), v.where("gx = 6"))
+
+
+# Angular order, faces, dual
+
+
+@query(f"WITH {_V}, {_E}, {_R} SELECT src, dst, rank, degree, round(angle, 6) AS angle FROM r")
+def angular_order(spark, d) -> DataFrame:
+    return _angular(spark, d).select("src", "dst", "rank", "degree", _r("angle"))
+
+
+@query(f"WITH {_V}, {_E}, {_R} SELECT p.src, p.dst, n.dst AS ccw, b.dst AS cw FROM r p JOIN r n ON n.src = p.src AND n.rank = (p.rank + 1) % p.degree JOIN r b ON b.src = p.src AND b.rank = (p.rank + p.degree - 1) % p.degree")
+def ccw_next(spark, d) -> DataFrame:
+    return _angular(spark, d).select("src", "dst", "ccw", "cw")
+
+
+@query(_FACES + "SELECT face, 4 AS n, concat_ws(',', a, d, c, b) AS ring FROM c")
+def face_trace(spark, d) -> DataFrame:
+    return _faces(spark, d)[1].select("face", "n", F.expr("concat_ws(',', ring)").alias("ring"))
+
+
+@query(_FACES + "SELECT face, round(area, 3) AS area FROM f")
+def face_area(spark, d) -> DataFrame:
+    return _faces(spark, d)[1].select("face", _r("area", digits=3))
+
+
+@query(_FACES + "SELECT face, round(cx, 6) AS cx, round(cy, 6) AS cy FROM f")
+def face_center(spark, d) -> DataFrame:
+    return _faces(spark, d)[1].select("face", _r("cx"), _r("cy"))
+
+
+@query(_FACES + "SELECT face, least(ax, bx, cx_, dx)::DOUBLE AS x_low, greatest(ax, bx, cx_, dx)::DOUBLE AS x_high, least(ay, by_, cy_, dy)::DOUBLE AS y_low, greatest(ay, by_, cy_, dy)::DOUBLE AS y_high FROM c")
+def face_bbox(spark, d) -> DataFrame:
+    return D.boxes(_faces(spark, d)[1])
+
+
+@query(_FACES + "SELECT id, count(*) AS faces FROM (SELECT unnest([a, b, c, d]) AS id FROM c) GROUP BY id")
+def vertex_multiplicity(spark, d) -> DataFrame:
+    t, f = _faces(spark, d)
+    return D.multiplicity(t.join(f.select("face"), "face", "left_semi"))
+
+
+@query(f"WITH {_V}, {_E}, {_R}, {_C}, {_D} SELECT f1, f2, round(length, 6) AS length FROM dual")
+def dual_edges(spark, d) -> DataFrame:
+    return D.dual_edges(*_faces(spark, d)).select("f1", "f2", _r("length"))
+
+
+@query(f"WITH {_V}, {_E}, {_R}, {_C}, {_D} SELECT degree, count(*) AS n FROM (SELECT f1, count(*) AS degree FROM dual GROUP BY f1) GROUP BY degree")
+def dual_degree(spark, d) -> DataFrame:
+    return D.dual_edges(*_faces(spark, d)).groupBy("f1").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+@query(_ALL + "SELECT point, face FROM loc")
+def point_in_face(spark, d) -> DataFrame:
+    return D.locate(T.points(spark, d), _faces(spark, d)[1], CELL)
+
+
+@query(_ALL + "SELECT face, weight FROM w")
+def face_weights(spark, d) -> DataFrame:
+    return _weighed(spark, d)[2].select("face", "weight")
+
+
+@query(_ALL + "SELECT face, round(weight - floor(weight / 40) * 40, 6)::DOUBLE AS weight, weight::DOUBLE AS weight_full FROM w")
+def heavy_face_mod(spark, d) -> DataFrame:
+    return divide.reduced(_weighed(spark, d)[2], 40.0).select("face", _r("weight"), "weight_full")
+
+
+@query(_ALL + "SELECT count(*) AS n FROM w WHERE weight = 0")
+def zero_weight_faces(spark, d) -> DataFrame:
+    return _weighed(spark, d)[2].where("weight = 0").agg(F.count("*").alias("n"))
+
+
+# Planarizing
+
+_X = f"""WITH {_V}, {_E}, q AS (SELECT a.id AS a, a.id + 1 AS b, a.id + 41 AS c, a.id + 40 AS d, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, d.x AS dx, d.y AS dy
+  FROM v a JOIN v b ON b.id = a.id + 1 JOIN v c ON c.id = a.id + 41 JOIN v d ON d.id = a.id + 40 WHERE a.gx < 39 AND (a.gx + a.gy) % 7 = 0),
+t AS (SELECT *, ((bx - ax) * (dy - by_) - (by_ - ay) * (dx - bx))::DOUBLE / ((cx - ax) * (dy - by_) - (cy - ay) * (dx - bx)) AS t FROM q),
+x AS (SELECT *, ax + t * (cx - ax) AS x, ay + t * (cy - ay) AS y FROM t)"""
+
+
+def _crossed(spark, d):
+    v = T.vertices(spark, d)
+    e = planar.placed(T.diagonals(spark, d), v).select("u", "v", G.distance("x1", "y1", "x2", "y2").alias("length"))
+    return v, T.edges(spark, d).select("u", "v", "length").unionByName(e)
+
+
+@query(_X + " SELECT a AS a_u, c AS a_v, d AS b_v, b AS b_u, round(x, 6) AS x, round(y, 6) AS y FROM x")
+def segment_crossings(spark, d) -> DataFrame:
+    v, e = _crossed(spark, d)
+    s = stored(numbered(planar.placed(e, v), ["u", "v"], "seg"), "segments")
+    c = planar.crossings(s, CELL)
+    a, b = (s.select(F.col("seg").alias(f"{k}_seg"), F.col("u").alias(f"{k}_u"), F.col("v").alias(f"{k}_v")) for k in "ab")
+    return c.join(a, "a_seg").join(b, "b_seg").select("a_u", "a_v", "b_u", "b_v", _r("x"), _r("y"))
+
+
+@query(_X + """, n AS (SELECT *, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY x, y) AS id FROM x)
+SELECT u, v, round(length, 6) AS length FROM e UNION ALL
+SELECT p, id, round(sqrt((x - px) ** 2 + (y - py) ** 2), 6) FROM (SELECT id, x, y, unnest([a, b, c, d]) AS p, unnest([ax, bx, cx, dx]) AS px, unnest([ay, by_, cy, dy]) AS py FROM n)""")
+def split_edges(spark, d) -> DataFrame:
+    v, e = _crossed(spark, d)
+    return planar.planarize(v, e, CELL, 1.0)[1].select("u", "v", _r("length"))
+
+
+@query(f"WITH {_V}, {_P} SELECT point, target, round(dist, 6) AS dist FROM (SELECT p.id AS point, v.id AS target, sqrt((p.x - v.x) ** 2 + (p.y - v.y) ** 2) AS dist, row_number() OVER (PARTITION BY p.id ORDER BY (p.x - v.x) ** 2 + (p.y - v.y) ** 2, v.id) AS k FROM p JOIN v ON v.x BETWEEN p.x - 15 AND p.x + 15 AND v.y BETWEEN p.y - 15 AND p.y + 15 WHERE (p.x - v.x) ** 2 + (p.y - v.y) ** 2 <= 225) WHERE k = 1")
+def near_duplicates(spark, d) -> DataFrame:
+    return planar.nearest_within(T.points(spark, d), T.vertices(spark, d), EPS).select("point", "target", _r("dist"))
+
+
+# Regions
+
+
+@query(_ALL + "SELECT region, line, round(max(p) - min(p), 4) AS spread, arg_min(face, (round(p, 6), face)) AS first, arg_max(face, (round(p, 6), -face)) AS last FROM (SELECT region, line, face, if(vertical, cy, (cx + k * cy) / (1 + k * k)) AS p FROM f, ln) GROUP BY region, line")
+def direction_spread(spark, d) -> DataFrame:
+    _, _, w, _, a = _weighed(spark, d)
+    return regions.spreads(w, a).select("region", "line", _r("spread", digits=4), "first", "last")
+
+
+@query(_ALL + "SELECT region, arg_max(line, (round(s, 6), -line)) AS line, round(max(round(s, 6)), 4) AS spread FROM (SELECT region, line, max(p) - min(p) AS s FROM (SELECT region, line, if(vertical, cy, (cx + k * cy) / (1 + k * k)) AS p FROM f, ln) GROUP BY region, line) GROUP BY region")
+def best_direction(spark, d) -> DataFrame:
+    _, _, w, _, a = _weighed(spark, d)
+    return regions.best_lines(regions.spreads(w, a)).select("region", "line", F.round(F.round("spread", 6), 4).alias("spread"))
+
+
+@query(_ALL + ", s AS (SELECT greatest(1, floor(sum(weight) / 2700))::BIGINT AS k, count(*) AS n FROM w), o AS (SELECT face, row_number() OVER (ORDER BY round(sqrt(cx * cx + cy * cy), 6), face) - 1 AS nth FROM w) SELECT face, nth // greatest(1, n // k) AS seed FROM o, s WHERE nth % greatest(1, n // k) = 0 AND nth < greatest(1, n // k) * k")
+def seed_pick(spark, d) -> DataFrame:
+    return regions.seeds(_weighed(spark, d)[2], MOST)
+
+
+@query(_ALL + ", t AS (SELECT d.r2 AS region, d.f1 AS face, sum(d.length) AS shared FROM dual d WHERE d.r1 <> d.r2 GROUP BY ALL), q AS (SELECT f1, sum(length) AS whole FROM dual GROUP BY f1) SELECT region, face, round(whole - 2 * shared, 6) AS added, round(shared, 6) AS shared FROM t JOIN q ON f1 = face")
+def new_perimeter(spark, d) -> DataFrame:
+    _, _, _, dual, a = _weighed(spark, d)
+    return regions.perimeter_after(dual, a).select("region", "face", _r("added"), _r("shared"))
+
+
+@query(_ALL + ", t AS (SELECT d.r2 AS region, d.f1 AS face, sum(d.length) AS shared FROM dual d WHERE d.r1 <> d.r2 GROUP BY ALL), q AS (SELECT f1, sum(length) AS whole FROM dual GROUP BY f1) SELECT t.region, face, round((1 - w.weight / 3000.0) ** 2 * (sqrt(20.0) * (whole - 2 * shared)), 4)::DOUBLE AS together, round((3000.0 - rw.weight) * (whole - 2 * shared) ** 2 / shared, 2)::DOUBLE AS in_turn FROM t JOIN q ON f1 = face JOIN w USING (face) JOIN rw ON rw.region = t.region")
+def bubble_rating(spark, d) -> DataFrame:
+    """Ratings of faces that may join a region, by the rule for regions that grow together (without the way to the seed)
+    and by that for regions grown in turn."""
+    _, _, w, dual, a = _weighed(spark, d)
+    p = regions.perimeter_after(dual, a).join(w.select("face", "weight"), "face").join(regions.region_weights(w, a).select("region", F.col("weight").alias("load")), "region")
+    return p.select("region", "face", F.expr(f"round(pow(1 - weight / {MOST}D, 2) * sqrt(20D) * added, 4)").alias("together"), F.expr(f"round(({MOST}D - load) * added * added / shared, 2)").alias("in_turn"))
+
+
+@query(_ALL + "SELECT region, round(cut, 4) AS cut FROM cut")
+def cut_per_part(spark, d) -> DataFrame:
+    _, _, _, dual, a = _weighed(spark, d)
+    return regions.cut_per_region(dual, a).select("region", _r("cut", digits=4))
+
+
+@query(_ALL + "SELECT round(sum(cut) / 2, 3) AS total FROM cut")
+def total_cut(spark, d) -> DataFrame:
+    _, _, _, dual, a = _weighed(spark, d)
+    return regions.cut_per_region(dual, a).agg(F.round(F.sum("cut") / 2, 3).alias("total"))
+
+
+@query(_ALL + "SELECT r1, r2, round(sum(length), 4) AS border FROM dual WHERE r1 <> r2 GROUP BY r1, r2")
+def region_graph(spark, d) -> DataFrame:
+    _, _, _, dual, a = _weighed(spark, d)
+    return regions.region_graph(dual, a).select("r1", "r2", _r("border", digits=4))
+
+
+@query(_ALL + ", o AS (SELECT f1, r1, r2, sum(length) AS o FROM dual WHERE r1 <> r2 GROUP BY ALL), i AS (SELECT f1, sum(length) AS i FROM dual WHERE r1 = r2 GROUP BY f1) SELECT o.f1 AS face, o.r1 AS region, o.r2 AS neighbour, round(o / coalesce(i, 1) * 3000.0 / nullif(weight, 0), 6)::DOUBLE AS ratio FROM o LEFT JOIN i USING (f1) JOIN rw ON rw.region = o.r2")
+def affinity_ratio(spark, d) -> DataFrame:
+    _, _, w, dual, a = _weighed(spark, d)
+    return regions.affinity(dual, a, regions.region_weights(w, a), MOST).select("face", "region", "neighbour", _r("ratio"))
+
+
+_CAP = ", n AS (SELECT DISTINCT r1, r2 FROM dual WHERE r1 <> r2), cap AS (SELECT rw.region, rw.weight, coalesce(sum(3000.0 - o.weight), 0)::DOUBLE AS capacity FROM rw LEFT JOIN n ON r1 = rw.region LEFT JOIN rw o ON o.region = r2 GROUP BY ALL) "
+
+
+@query(_ALL + _CAP + "SELECT region, weight, capacity FROM cap")
+def neighbor_capacity(spark, d) -> DataFrame:
+    _, _, w, dual, a = _weighed(spark, d)
+    return regions.neighbour_capacity(regions.region_graph(dual, a), regions.region_weights(w, a), MOST)
+
+
+@query(_ALL + _CAP + "SELECT region, capacity FROM (SELECT *, row_number() OVER (ORDER BY capacity DESC, region) AS k, count(*) OVER () AS n FROM cap) WHERE k <= n // 2")
+def top_half_regions(spark, d) -> DataFrame:
+    _, _, w, dual, a = _weighed(spark, d)
+    return regions.best_half(stored(regions.neighbour_capacity(regions.region_graph(dual, a), regions.region_weights(w, a), MOST), "capacity")).select("region", "capacity")
+
+
+@query(_ALL + "SELECT region, weight FROM (SELECT *, row_number() OVER (ORDER BY weight, region) AS k, count(*) OVER () AS n FROM rw) WHERE k <= greatest(1, n // 20)")
+def bottom_twentieth(spark, d) -> DataFrame:
+    _, _, w, _, a = _weighed(spark, d)
+    return regions.lightest(stored(regions.region_weights(w, a), "regions")).select("region", "weight")
+
+
+@query(_ALL + "SELECT count(*) AS region_count, sum(weight)::BIGINT AS total_weight, min(weight) AS min_region_weight, max(weight) AS max_region_weight, round(avg(weight), 6) AS average_weight, round(stddev_pop(weight), 6) AS weight_stddev, round(avg(cut), 4) AS average_boundary, round(stddev_pop(cut), 4) AS boundary_stddev, round(sum(cut) / 2, 3) AS total_boundary_length, ceil(sum(weight) / 3000.0)::BIGINT AS min_region_count_estimate FROM rw JOIN cut USING (region)")
+def part_stats(spark, d) -> DataFrame:
+    _, _, w, dual, a = _weighed(spark, d)
+    s = regions.statistics(regions.region_weights(w, a), regions.cut_per_region(dual, a), MOST)
+    return s.select("region_count", "total_weight", "min_region_weight", "max_region_weight", _r("average_weight"), _r("weight_stddev"), _r("average_boundary", digits=4), _r("boundary_stddev", digits=4), _r("total_boundary_length", digits=3), F.col("min_region_count_estimate").cast("long").alias("min_region_count_estimate"))
+
+
+@query(_ALL + "SELECT string_agg(printf('%.3f', round(weight / 3000.0, 3)), ',' ORDER BY weight) AS ratios FROM rw")
+def part_ratios(spark, d) -> DataFrame:
+    _, _, w, dual, a = _weighed(spark, d)
+    s = regions.statistics(regions.region_weights(w, a), regions.cut_per_region(dual, a), MOST)
+    return s.select(F.expr("concat_ws(',', transform(ratios, x -> format_string('%.3f', x)))").alias("ratios"))
+
+
+@query(_ALL + ", m AS (SELECT region, avg(cx) AS mx, avg(cy) AS my FROM w GROUP BY region) SELECT region, arg_min(face, (round((cx - mx) ** 2 + (cy - my) ** 2, 6), face)) AS face FROM w JOIN m USING (region) GROUP BY region")
+def part_centers(spark, d) -> DataFrame:
+    _, _, w, _, a = _weighed(spark, d)
+    return regions.centre_faces(w, a)
+
+
+@query(_ALL + "SELECT region, arg_min(face, (s, face)) AS face FROM (SELECT p.region, p.face, round(sum(sqrt((p.cx - q.cx) ** 2 + (p.cy - q.cy) ** 2)), 6) AS s FROM w p JOIN w q ON p.region = q.region GROUP BY ALL) GROUP BY region")
+def medoid(spark, d) -> DataFrame:
+    _, _, w, _, a = _weighed(spark, d)
+    return regions.medoids(w, a)
+
+
+_RV = ", rv AS (SELECT DISTINCT region, unnest([a, b, c, d]) AS id FROM f), rp AS (SELECT region, v.id, x, y FROM rv JOIN v USING (id)) "
+
+
+@query(_ALL + _RV + ", m AS (SELECT region, avg(x) AS mx, avg(y) AS my FROM rp GROUP BY region) SELECT region, round(max(sqrt((x - mx) ** 2 + (y - my) ** 2)), 6) AS radius FROM rp JOIN m USING (region) GROUP BY region")
+def part_radius(spark, d) -> DataFrame:
+    _, f, _, _, a = _weighed(spark, d)
+    return regions.radii(f.select("face", F.explode("ring").alias("id")), a, T.vertices(spark, d)).select("region", _r("centroid_radius", "radius"))
+
+
+@query(_ALL + _RV + "SELECT p.region, round(max(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)), 6) AS diameter FROM rp p JOIN rp q USING (region) GROUP BY p.region")
+def part_diameter(spark, d) -> DataFrame:
+    _, f, _, _, a = _weighed(spark, d)
+    return regions.largest_diameter(f.select("face", F.explode("ring").alias("id")), a, T.vertices(spark, d)).select("region", _r("diameter"))
+
+
+@query(_ALL + ", s AS (SELECT region, unnest([a, d, c, b]) AS src, unnest([d, c, b, a]) AS dst FROM f) SELECT region, src, dst FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.src = s.dst AND o.dst = s.src AND o.region = s.region)")
+def part_boundary_edges(spark, d) -> DataFrame:
+    t, _, _, _, a = _weighed(spark, d)
+    return regions.boundary_edges(t, a).select("region", "src", "dst")
+
+
+@query()
+def convex_hull(spark, d) -> DataFrame:
+    _, f, _, _, a = _weighed(spark, d)
+    return regions.convex_hulls(f.select("face", F.explode("ring").alias("id")), a, T.vertices(spark, d))
+
+
+def _divided(spark, d, algorithm: str):
+    _, _, w, dual, _ = _weighed(spark, d)
+    w = stored(divide.reduced(w, MOST), "reduced")
+    return w, dual, divide.divide(algorithm, w, dual, MOST)
+
+
+@query()
+def inertial_flow(spark, d) -> DataFrame:
+    return _divided(spark, d, "IF")[2]
+
+
+@query()
+def bubble_sequential(spark, d) -> DataFrame:
+    return _divided(spark, d, "BUS")[2]
+
+
+@query()
+def bubble_parallel(spark, d) -> DataFrame:
+    return _divided(spark, d, "BUP")[2]
+
+
+@query()
+def rebalance(spark, d) -> DataFrame:
+    w, dual, a = _divided(spark, d, "IF")
+    return divide.rebalance(w, dual, a, MOST, rounds=4)
+
+
+@query()
+def planarized_city(spark, d) -> DataFrame:
+    """Faces of the lattice with crossing diagonals, planarized."""
+    v, e = _crossed(spark, d)
+    return city.prepare(v, e, CELL).faces.select("face", "n", "area")

@@ -20,9 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: lineage ends there, and lost executors cost nothing."""
+def stored(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+    """df written as a table in the shared folder and read back: lineage ends there, and lost executors cost nothing.
+
+    light: rows are few bytes and cheap to make, so a file a core will do rather than one a partition.
+    """
     spark = df.sparkSession
+    df = df.coalesce(spark.sparkContext.defaultParallelism) if light else df
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -159,14 +159,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node takes the least label among its neighbours' labels, and then its label's label, so distances
     halve; labels are written to the shared folder each round.
     """
-    both = _io.stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = _io.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("root")), "labels")
+    both = _io.stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", light=True)
+    label = _io.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("root")), "labels", light=True)
     while True:
         of = label.select(F.col("node").alias("b"), F.col("root").alias("near"))
         near = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         step = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        new = _io.stored(step.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("upper", "root")).alias("root")), "labels")
+        new = _io.stored(step.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("upper", "root")).alias("root")), "labels", light=True)
         if new.where("was <> root").isEmpty():
             return new.select("node", "root")
         label = new.select("node", "root")
@@ -194,13 +194,13 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     keys = one.select("rep", F.posexplode("sketch").alias("no", "key"))
     pivot = F.min_by("rep", F.xxhash64("rep", "no"))
     buckets = keys.groupBy("no", "key").agg(F.min_by("rep", F.xxhash64("rep")).alias("pivot"), pivot.alias("second"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rest = _io.stored(keys.join(buckets, ["no", "key"]).where("rep <> pivot").select("no", "key", "rep", "pivot", "second"), "buckets")
+    rest = _io.stored(keys.join(buckets, ["no", "key"]).where("rep <> pivot").select("no", "key", "rep", "pivot", "second"), "buckets", light=True)
     pairs = rest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     need = rest.select("rep").union(rest.select("pivot")).union(rest.select("second")).distinct()
     # a doc_id may stand for several texts; the representative's is meant
     texts = d.join(need, d["doc_id"] == need["rep"]).select("rep", "text")
     shingles = _io.stored(texts.mapInArrow(_shingled(shingle), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
-    checked = _io.stored(_checked(pairs, shingles, similarity), "checked")
+    checked = _io.stored(_checked(pairs, shingles, similarity), "checked", light=True)
     links = checked.where("yes")
     for turn in range(1, ROUNDS):
         met = rest.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(checked, ["a", "b"], "left")
@@ -209,9 +209,9 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
             rest = rest.withColumnRenamed("second", "pivot")
         else:
             rest = rest.join(rest.groupBy("no", "key").agg(pivot.alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), ["no", "key"])
-        rest = _io.stored(rest.where("rep <> pivot").select("no", "key", "rep", "pivot"), "buckets")
+        rest = _io.stored(rest.where("rep <> pivot").select("no", "key", "rep", "pivot"), "buckets", light=True)
         pairs = rest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = _io.stored(_checked(pairs, shingles, similarity), "checked")
+        more = _io.stored(_checked(pairs, shingles, similarity), "checked", light=True)
         checked, links = checked.unionByName(more), links.unionByName(more.where("yes"))
     roots = components(links)
     out = own.select("doc_id", "whole", "n_words").join(reps, "whole").join(roots, F.col("rep") == F.col("node"), "left")

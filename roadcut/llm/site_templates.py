@@ -212,7 +212,7 @@ def templates(pages: DataFrame, share: float = 0.3, least: int = 5) -> DataFrame
     p = pages.select(F.expr(host_of("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     counts = p.mapInArrow(run, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n"))
     # the null digest counts the pages; only subtrees of several pages go on
-    counts = _io.stored(counts.where(F.col("digest").isNull() | (F.col("n") >= least)), "subtrees")
+    counts = _io.stored(counts.where(F.col("digest").isNull() | (F.col("n") >= least)), "subtrees", light=True)
     of = counts.where("digest IS NULL").select("host", F.col("n").alias("pages"))
     often = counts.where("digest IS NOT NULL").join(of, "host").where(F.col("n") >= share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("digest").alias("template"))
@@ -229,7 +229,7 @@ def extract(pages: DataFrame, share: float = 0.3, least: int = 5) -> DataFrame:
     repeat are returned each. An empty table gives no rows. Columns other than page_id, url and html are not read.
     """
     p = _io.small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.expr(host_of("url")).alias("host"))
-    found = _io.stored(templates(p, share, least), "templates")
+    found = _io.stored(templates(p, share, least), "templates", light=True)
     size = found.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + 32).alias("n")).first().n or 0
     found = found.withColumnRenamed("host", "of_host")
     # few hosts: sent to all; else joined by host, where Spark splits hosts with many pages

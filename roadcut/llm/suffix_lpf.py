@@ -41,7 +41,7 @@ def previous_factor(texts: np.ndarray, length: np.ndarray, window: int) -> np.nd
         whole = last[i] == last[j]
         same[whole] = window
         p, q, todo = i[~whole], j[~whole], np.flatnonzero(~whole)
-        for step, r in reversed(levels):
+        for step, r in [*reversed(levels), (1, seq[:n])]:
             while True:
                 inside = (p + same[todo] < n) & (q + same[todo] < n)
                 agree = np.zeros(len(p), bool)
@@ -50,7 +50,7 @@ def previous_factor(texts: np.ndarray, length: np.ndarray, window: int) -> np.nd
                 if not agree.any():
                     break
                 same[todo[agree]] += step
-                if step != 7:
+                if step > 7:
                     break
         lpf[i] = np.maximum(lpf[i], same)
     left = np.repeat(length, length) - (np.arange(len(texts)) - np.repeat(np.cumsum(length) - length, length))
@@ -58,7 +58,8 @@ def previous_factor(texts: np.ndarray, length: np.ndarray, window: int) -> np.nd
 
 
 def earlier_window(texts: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
-    """For each position whether the whole window there starts earlier as well: previous_factor(...) == window."""
+    """For each position whether its longest previous factor reaches the window: whether its previous or next smaller
+    position agrees with it in that many bytes, without the lengths of shorter factors."""
     start = np.cumsum(length + 1) - length - 1
     seq = np.zeros(len(texts) + len(length) + 8, np.int64)
     seq[_seq.gather(start, length)] = texts.astype(np.int64) + 1

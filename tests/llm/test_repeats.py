@@ -58,7 +58,7 @@ def test_hot_anchors_take_the_other_way(docs, rows, monkeypatch, spark):
     """With every anchor hot, the merged windows alone must find the same."""
     from roadcut.llm import repeats
 
-    monkeypatch.setattr(repeats, "HOT_HOMES", 2)
+    monkeypatch.setattr(repeats, "HOT_HOMES", 1)
     monkeypatch.setattr(repeats, "HOME_BYTES", 4000)
     # workers import the module anew, so the kernels are called here
     import pyarrow as pa
@@ -129,6 +129,7 @@ def test_previous_factor():
                     best = n
             assert lpf[at] == best, (k, i)
             at += 1
+    assert (suffix_lpf.earlier_window(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), window) == (lpf == window)).all()
 
 
 def test_previous_smaller():

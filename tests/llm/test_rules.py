@@ -96,7 +96,7 @@ def test_base_spans(spark):
     found = {r.doc_id: r.n_guess for r in got}
     assert [found[i] for i in (11, 12, 13, 14)] == [1, 0, 1, 0]
     clean = {r.doc_id: r.clean_text for r in secret_cost.scan(df, redact="#").collect()}
-    assert clean[0] == "x # y" and clean[11] == "the password is # now" and clean[6] == "nothing here"
+    assert clean[0] == 'x #" y' and clean[11] == "the password is # now" and clean[6] == "nothing here"
 
 
 def test_guess_cost_is_the_cheapest_segmentation():

@@ -193,10 +193,10 @@ def linked_vertices(spark, d) -> DataFrame:
     return graph.linked_vertices(T.vertices(spark, d), _half(spark, d)).select("id")
 
 
-@query(f"WITH {_V} SELECT id, (gx + gy)::DOUBLE AS dist, CASE WHEN id = 0 THEN NULL WHEN gy > 0 THEN id - 40 ELSE id - 1 END AS pred FROM v WHERE gx < 8 AND gy < 5")
+@query(f"WITH {_V} SELECT id, (gx + gy)::DOUBLE AS dist, CASE WHEN id = 0 THEN -1 WHEN gy > 0 THEN id - 40 ELSE id - 1 END AS pred FROM v WHERE gx < 8 AND gy < 5")
 def sssp_lattice(spark, d) -> DataFrame:
     h = graph.induced(_half(spark, d), T.vertices(spark, d).where("gx < 8 AND gy < 5")).withColumn("length", F.lit(1.0))
-    return graph.shortest_paths(h, T.vertices(spark, d).where("id = 0"))
+    return graph.shortest_paths(h, T.vertices(spark, d).where("id = 0")).select("id", "dist", F.coalesce("pred", F.lit(-1)).cast("long").alias("pred"))
 
 
 @query(f"WITH {_V}, t AS (SELECT max(id) AS t FROM v WHERE gx < 8 AND gy < 5), g AS (SELECT t % 40 AS gx, t // 40 AS gy, t FROM t), n AS (SELECT t AS target, unnest(range(0, gx + gy + 1)) AS pos, gx, gy FROM g) SELECT target, pos::INTEGER AS pos, if(pos <= gy, target - 40 * pos, gx - (pos - gy)) AS id FROM n")

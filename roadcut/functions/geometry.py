@@ -54,8 +54,8 @@ def on_segment(x, y, x1, y1, x2, y2) -> Column:
 def segments_meet(ax, ay, bx, by, cx, cy, dx, dy, strict_bbox: bool = False) -> Column:
     """Whether the closed segments ab and cd have a point in common.
 
-    strict_bbox: require their bounding intervals to overlap in more than a point on both axes, as the engine that this
-    one succeeds does; then a vertical or horizontal segment meets nothing.
+    strict_bbox: require their bounding intervals to overlap in more than a point on both axes; then a vertical or
+    horizontal segment meets nothing.
     """
     ax, ay, bx, by, cx, cy, dx, dy = map(_c, (ax, ay, bx, by, cx, cy, dx, dy))
     low_x, high_x = F.greatest(F.least(ax, bx), F.least(cx, dx)), F.least(F.greatest(ax, bx), F.greatest(cx, dx))

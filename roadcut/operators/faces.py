@@ -104,3 +104,44 @@ def face_weights(points: DataFrame, located: DataFrame, f: DataFrame) -> DataFra
     """face, weight: sum over its points; 0 for empty faces."""
     w = located.join(points.select(F.col("id").alias("point"), "weight"), "point").groupBy("face").agg(F.sum("weight").alias("w"))
     return f.select("face").join(w, "face", "left").select("face", F.coalesce("w", F.lit(0)).alias("weight"))
+
+
+def weights_from_vertices(traced: DataFrame, inner: DataFrame, vertices: DataFrame) -> DataFrame:
+    """face, weight: each vertex gives its weight in equal shares to the corners in which it stands."""
+    t = traced.join(inner.select("face"), "face", "left_semi")
+    m = multiplicity(t).join(vertices.select("id", "weight"), "id").select(F.col("id").alias("src"), (F.col("weight") / F.col("faces")).alias("share"))
+    return t.join(m, "src").groupBy("face").agg(F.sum("share").alias("weight"))
+
+
+def centroids(inner: DataFrame) -> DataFrame:
+    """face, x, y: plain mean of the ring's vertices."""
+    p = inner.select("face", F.explode("shape").alias("p"))
+    return p.groupBy("face").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
+
+
+def ring_segment(rings: DataFrame, ends: DataFrame) -> DataFrame:
+    """Of rings (ring, pos, id): the vertices from each ring's start to its end (ends: ring, first, last; ids), going on
+    over the last position to the first; at: steps from the start."""
+    n = Window.partitionBy("ring")
+    r = rings.join(ends, "ring").withColumns({"n": F.count("*").over(n), "a": F.min(F.when(F.col("id") == F.col("first"), F.col("pos"))).over(n), "b": F.min(F.when(F.col("id") == F.col("last"), F.col("pos"))).over(n)})
+    r = r.withColumn("at", F.expr("pmod(pos - a, n)"))
+    return r.where(F.expr("at <= pmod(b - a, n)")).select("ring", F.col("at").cast("long").alias("at"), "id")
+
+
+def ring_neighbours(rings: DataFrame) -> DataFrame:
+    """ring, pos, id, after, before on the closed ring."""
+    w = Window.partitionBy("ring").orderBy("pos")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rings.select("ring", "pos", "id", F.coalesce(F.lead("id").over(w), F.first("id").over(whole)).alias("after"), F.coalesce(F.lag("id").over(w), F.last("id").over(whole)).alias("before"))
+
+
+def prefix_weights(tour: DataFrame) -> DataFrame:
+    """Of a tour (root, pos, face, weight): the weight up to each position and the rest behind it."""
+    w = Window.partitionBy("root").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return tour.withColumn("upto", F.sum("weight").over(w)).withColumn("rest", F.sum("weight").over(Window.partitionBy("root")) - F.col("upto"))
+
+
+def leaf_groups(prefixes: DataFrame) -> DataFrame:
+    """Weight between consecutive leaves from their prefix sums (root, leaf, upto): the difference to the leaf before."""
+    w = Window.partitionBy("root").orderBy("leaf")
+    return prefixes.select("root", "leaf", (F.col("upto") - F.coalesce(F.lag("upto").over(w), F.lit(0))).alias("weight"))

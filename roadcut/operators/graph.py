@@ -110,3 +110,34 @@ def path_to(paths: DataFrame, target: DataFrame) -> DataFrame:
         at = stored(at.join(paths, "id").where("pred IS NOT NULL").select("target", (F.col("pos") + 1).alias("pos"), F.col("pred").alias("id")), "path")
         out = out.unionByName(at)
     return out
+
+
+def parts_after_cut(half: DataFrame, cut: DataFrame) -> DataFrame:
+    """id, component, side: components once the edges of cut (u, v) are gone; side 2 is the second largest one (of equal
+    ones the one with the greater id), side 1 all the others."""
+    c = stored(components(without_edges(half, cut)), "parts")
+    size = c.groupBy("component").agg(F.count("*").alias("n"))
+    second = size.orderBy(F.desc("n"), "component").limit(2).groupBy().agg(F.count("*").alias("k"), F.min_by("component", F.struct("n", -F.col("component"))).alias("second"))
+    return c.crossJoin(F.broadcast(second)).select("id", "component", F.when((F.col("k") > 1) & (F.col("component") == F.col("second")), 2).otherwise(1).cast("long").alias("side"))  # second: one row
+
+
+def expand_pockets(half: DataFrame, source: DataFrame, sink: DataFrame) -> DataFrame:
+    """id, side: source (1) and sink (2) with all that only one of them reaches without passing the other."""
+    a, b = reachable(half, source, sink), reachable(half, sink, source)
+    one = source.select("id").union(a.join(b, "id", "left_anti")).distinct().select("id", F.lit(1).cast("long").alias("side"))
+    return one.unionByName(sink.select("id").union(b.join(a, "id", "left_anti")).distinct().select("id", F.lit(2).cast("long").alias("side")))
+
+
+def clip(segments: DataFrame, x_low: float, y_low: float, x_high: float, y_high: float) -> DataFrame:
+    """segments (u, v, x1, y1, x2, y2) cut at a closed frame: the part inside, with cut_u and cut_v where an end moved.
+    Segments that miss the frame, or touch it in a point, go."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    low, high, inside = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
+    for d, p, a, b in ((dx, "x1", x_low, x_high), (dy, "y1", y_low, y_high)):
+        t, s = (F.lit(a) - F.col(p)) / F.when(d != 0, d), (F.lit(b) - F.col(p)) / F.when(d != 0, d)
+        low.append(F.coalesce(F.least(t, s), F.lit(0.0)))
+        high.append(F.coalesce(F.greatest(t, s), F.lit(1.0)))
+        inside = inside & ((d != 0) | F.col(p).between(a, b))
+    s = segments.withColumns({"t0": F.greatest(*low), "t1": F.least(*high)}).where(inside & (F.col("t0") < F.col("t1")))
+    at = lambda p, d, t: F.col(p) + F.col(t) * d
+    return s.select("u", "v", at("x1", dx, "t0").alias("x1"), at("y1", dy, "t0").alias("y1"), at("x1", dx, "t1").alias("x2"), at("y1", dy, "t1").alias("y2"), (F.col("t0") > 0).alias("cut_u"), (F.col("t1") < 1).alias("cut_v"))

@@ -318,6 +318,64 @@ def near_duplicates(spark, d) -> DataFrame:
     return planar.nearest_within(T.points(spark, d), T.vertices(spark, d), EPS).select("point", "target", _r("dist"))
 
 
+@query(f"WITH {_V} SELECT id, if(gx < 20, 0, 20)::BIGINT AS component, if(gx < 20, 1, 2)::BIGINT AS side FROM v")
+def cut_components(spark, d) -> DataFrame:
+    return graph.parts_after_cut(_half(spark, d), T.edges(spark, d).where("u % 40 = 19 AND v = u + 1"))
+
+
+@query(f"WITH {_V} SELECT id, if(gx <= 3, 1, 2)::BIGINT AS side FROM v WHERE gy < 5 AND gx < 10 AND (gx <= 3 OR gx >= 6)")
+def expand_pockets(spark, d) -> DataFrame:
+    v = T.vertices(spark, d).where("gy < 5 AND gx < 10")
+    return graph.expand_pockets(graph.induced(_half(spark, d), v), v.where("gx = 3"), v.where("gx = 6"))
+
+
+@query(_GRAPH + """, s AS (SELECT u, e.v, a.x AS x1, a.y AS y1, (b.x - a.x)::DOUBLE AS dx, (b.y - a.y)::DOUBLE AS dy FROM e JOIN v a ON a.id = u JOIN v b ON b.id = e.v),
+t AS (SELECT *, greatest(0, coalesce(least((250 - x1) / nullif(dx, 0), (2050 - x1) / nullif(dx, 0)), 0), coalesce(least((150 - y1) / nullif(dy, 0), (1250 - y1) / nullif(dy, 0)), 0)) AS t0,
+  least(1, coalesce(greatest((250 - x1) / nullif(dx, 0), (2050 - x1) / nullif(dx, 0)), 1), coalesce(greatest((150 - y1) / nullif(dy, 0), (1250 - y1) / nullif(dy, 0)), 1)) AS t1 FROM s WHERE (dx <> 0 OR x1 BETWEEN 250 AND 2050) AND (dy <> 0 OR y1 BETWEEN 150 AND 1250))
+SELECT u, v, round(x1 + t0 * dx, 6) AS x1, round(y1 + t0 * dy, 6) AS y1, round(x1 + t1 * dx, 6) AS x2, round(y1 + t1 * dy, 6) AS y2, t0 > 0 AS cut_u, t1 < 1 AS cut_v FROM t WHERE t0 < t1""")
+def clip_box(spark, d) -> DataFrame:
+    c = graph.clip(planar.placed(T.edges(spark, d), T.vertices(spark, d)), 250.0, 150.0, 2050.0, 1250.0)
+    return c.select("u", "v", _r("x1"), _r("y1"), _r("x2"), _r("y2"), "cut_u", "cut_v")
+
+
+def _rings(f):
+    return f.select(F.col("face").alias("ring"), F.posexplode("ring").alias("pos", "id"))
+
+
+@query(_FACES + "SELECT face AS ring, unnest([0, 1, 2])::BIGINT AS at, unnest([b, a, d]) AS id FROM c")
+def ring_segment(spark, d) -> DataFrame:
+    f = _faces(spark, d)[1]
+    return D.ring_segment(_rings(f), f.selectExpr("face AS ring", "ring[3] AS first", "ring[1] AS last"))
+
+
+@query(_FACES + "SELECT face AS ring, unnest([a, d, c, b]) AS id, unnest([d, c, b, a]) AS after, unnest([b, a, d, c]) AS before FROM c")
+def ring_neighbours(spark, d) -> DataFrame:
+    return D.ring_neighbours(_rings(_faces(spark, d)[1])).select("ring", "id", "after", "before")
+
+
+@query(_FACES + ", k AS (SELECT id, count(*) AS n FROM (SELECT unnest([a, b, c, d]) AS id FROM c) GROUP BY id) SELECT face, round(sum((1 + k.id % 7) / k.n), 6) AS weight FROM (SELECT face, unnest([a, b, c, d]) AS id FROM c) JOIN k USING (id) GROUP BY face")
+def face_weights_from_vertices(spark, d) -> DataFrame:
+    t, f = _faces(spark, d)
+    return D.weights_from_vertices(t, f, T.vertices(spark, d).selectExpr("id", "1 + id % 7 AS weight")).select("face", _r("weight"))
+
+
+@query(_FACES + "SELECT face, (ax + bx + cx_ + dx) / 4 AS x, (ay + by_ + cy_ + dy) / 4 AS y FROM c")
+def face_centroid(spark, d) -> DataFrame:
+    return D.centroids(_faces(spark, d)[1])
+
+
+@query(_ALL + "SELECT region, face, sum(weight) OVER (PARTITION BY region ORDER BY face)::BIGINT AS upto, (sum(weight) OVER (PARTITION BY region) - sum(weight) OVER (PARTITION BY region ORDER BY face))::BIGINT AS rest FROM w")
+def prefix_weights(spark, d) -> DataFrame:
+    _, _, w, _, a = _weighed(spark, d)
+    return D.prefix_weights(a.join(w, "face").select(F.col("region").alias("root"), F.col("face").alias("pos"), "face", "weight")).select(F.col("root").alias("region"), "face", "upto", "rest")
+
+
+@query(_ALL + ", o AS (SELECT region, face, weight, sum(weight) OVER (PARTITION BY region ORDER BY face) AS upto, row_number() OVER (PARTITION BY region ORDER BY face) AS nth FROM w) SELECT region, face AS leaf, (upto - coalesce(lag(upto) OVER (PARTITION BY region ORDER BY face), 0))::BIGINT AS weight FROM o WHERE nth % 5 = 0")
+def leaf_groups(spark, d) -> DataFrame:
+    p = prefix_weights(spark, d).withColumn("nth", F.expr("row_number() OVER (PARTITION BY region ORDER BY face)")).where("nth % 5 = 0")
+    return D.leaf_groups(p.selectExpr("region AS root", "face AS leaf", "upto")).select(F.col("root").alias("region"), "leaf", "weight")
+
+
 # Regions
 
 

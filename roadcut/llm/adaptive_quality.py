@@ -12,7 +12,7 @@ from roadcut.llm import _io
 ONE = 1_000_000
 _WHITE = "\\\\x20\\\\x09-\\\\x0D"
 #: Least and most value that a fence may take: the adaptive threshold moves between them.
-FLOOR = {"sym": ONE // 10, "dup": 3 * ONE // 10}
+FLOOR = {"sym": ONE // 10, "dup": ONE // 2}
 CEILING = {"sym": 3 * ONE // 10, "dup": 7 * ONE // 10}
 _REPEATS = """transform(array(sort_array(transform(q2.hash, (h, i) -> struct(h, i)))), t ->
   transform(array(sort_array(transform(filter(t, (x, i) -> get(t, i - 1).h <=> x.h OR get(t, i + 1).h <=> x.h), x -> x.i))), p ->
@@ -140,7 +140,7 @@ q AS (
   FROM c GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(NOT base_failed AND sym <= least(greatest(sym75 + 3 * (sym75 - sym25), 100000), 300000)
-         AND dup <= least(greatest(dup75 + 3 * (dup75 - dup25), 300000), 700000)
+         AND dup <= least(greatest(dup75 + 3 * (dup75 - dup25), 500000), 700000)
          AND len >= least(len25 - 3 * (len75 - len25), len50 * 6 // 10)
          AND len <= greatest(len75 + 3 * (len75 - len25), len50 * 16 // 10), false) AS kept
 FROM b LEFT JOIN q ON b.lang IS NOT DISTINCT FROM q.lang AND b.source IS NOT DISTINCT FROM q.source

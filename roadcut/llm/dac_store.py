@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 
@@ -17,6 +16,8 @@ from roadcut.llm import _io, _seq, _tokens
 from roadcut.llm.chunk_bpe import _slices
 
 U = np.uint64
+#: Words that a worker's memo holds; about 200 bytes each, twice.
+MEMO = 500_000
 #: Words of 64 bits under one count of the rank directory; ids of a block.
 STRIDE, BLOCK = 4, 1 << 18
 _HEAD, _LEVEL = struct.Struct("<4sII"), struct.Struct("<I")
@@ -75,6 +76,22 @@ class Codes:
             levels.append((low, bits, directory))
         return cls(levels)
 
+    def slice(self, start: int, stop: int) -> np.ndarray:
+        """The values from start to stop: one rank a level, then the levels run along."""
+        out = np.zeros(stop - start, np.uint32)
+        to = slice(None)
+        for level, (low, bits, directory) in enumerate(self.levels):
+            out[to] |= low[start:stop].astype(np.uint32) << np.uint32(8 * level)
+            first, last = start >> 6, -(-stop // 64)
+            on = np.flatnonzero(np.unpackbits(bits[first:last].view(np.uint8), bitorder="little")[start - 64 * first : stop - 64 * first])
+            block = first // STRIDE
+            inside = bits[first] & ((U(1) << U(start & 63)) - U(1)) if start & 63 else U(0)
+            start = int(directory[block]) + int(np.bitwise_count(bits[block * STRIDE : first]).sum()) + int(np.bitwise_count(inside))
+            stop, to = start + len(on), on if level == 0 else to[on]
+            if not len(on):
+                break
+        return out
+
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at any places, in any order."""
         at = np.asarray(at, np.int64)
@@ -103,10 +120,10 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFram
     blocks in the shared folder; returns that table. A row holds whole documents: about BLOCK ids, or one longer one."""
     path = path or _tokens.vocabulary()
     d = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(12, math.ceil(_io.volume(d) / (8 << 20)))
+    parts = max(12, 3 * d.rdd.getNumPartitions())  # the input's own splits bound their texts
 
     def run(batches):
-        part, block, encoder = TaskContext.get().partitionId(), 0, _tokens.encoder(path)
+        part, block, encoder = TaskContext.get().partitionId(), 0, _tokens.encoder(path, MEMO)
         end = np.uint32(end_id).tobytes()
         ids, docs_, sizes, held = [], [], [], 0
 
@@ -117,7 +134,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFram
         for batch in batches:
             number, text = _io.longs(batch.column("doc_id")), batch.column("text")
             _, off = _io.text_bytes(text)
-            for a, b in _slices(off, 1 << 20):
+            for a, b in _slices(off, 4 << 20):
                 for n, raw in zip(number[a:b].tolist(), encoder.encode(text.slice(a, b - a).to_pylist())):
                     ids += [raw, end]
                     docs_.append(n)
@@ -141,7 +158,7 @@ def read(blocks: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 codes, sizes = Codes.from_bytes(r["codes"]), np.frombuffer(r["sizes"], "<u4").astype(np.int64)
                 start = np.cumsum(sizes) - sizes
-                raw = codes.access(np.arange(len(codes))).astype("<u4").tobytes()
+                raw = codes.slice(0, len(codes)).astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), sizes.tolist())]
                 number = np.frombuffer(r["doc_ids"], "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), r["part"]), pa.int32()), pa.array(np.full(len(sizes), r["block"]), pa.int32()), pa.array(number, pa.int64(), mask=number == -(2**63)), pa.array(start), pa.array(sizes), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "start", "n_tokens", "ids_crc32"])

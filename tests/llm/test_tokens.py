@@ -42,12 +42,25 @@ def test_chunk_joins_agree(library):
     assert reuse.hits >= reuse.misses > 0
 
 
+def test_words_agree(library):
+    """The memo's faster merger gives the library's ids."""
+    rng = random.Random(9)
+    e = _tokens.Encoder(_tokens.vocabulary(), most=50)
+    assert e.merger is not None
+    marks = list("aeiouthnrsLMÄéßñ0179.,;:!?'\"()-%&*#$|<>=/_+@~ ") + ["'s", "'LL", "don't", "<|", "endoftext", "|>", "日", "\n"]
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice(marks) for _ in range(rng.randint(1, 12))) for _ in range(60)) for _ in range(5)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_codes_round_trip():
     rng = np.random.default_rng(6)
     for v in (np.zeros(0), np.array([0]), rng.integers(0, 2**32, 3000), rng.integers(0, 50257, 5000), np.full(700, 255), np.full(700, 256)):
         c = dac_store.Codes.from_bytes(dac_store.Codes.of(v.astype(np.uint32)).to_bytes())
         at = rng.permutation(len(v))
         assert (c.access(at) == v[at]).all()
+        for a, b in ((0, len(v)), (len(v) // 3, len(v) // 2), (len(v), len(v)), (1, min(2, len(v)))):
+            assert (c.slice(min(a, b), b) == v[min(a, b) : b]).all()
 
 
 def test_store(docs, rows, none, library):

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadcut.llm import _io, _seq
 from roadcut.llm.chunk_bpe import _slices
@@ -13,8 +14,6 @@ from roadcut.llm.chunk_bpe import _slices
 U = np.uint64
 #: Words of a shingle; sketches of a text; shingles of a sketch.
 SHINGLE, SKETCHES, ORDERED = 5, 24, 2
-#: Pivots that a member of a bucket meets there before only its other buckets count.
-ROUNDS = 3
 
 
 def labelled(h: np.ndarray, of: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +171,21 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their roots, of buckets that hold more than one class."""
+    m = members.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    two = m.groupBy("no", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return m.join(two.select("no", "key"), ["no", "key"], "left_semi")
+
+
+def _ranked(members: DataFrame) -> DataFrame:
+    """no, key, rep, root, n, rank: ranks from 1 in each bucket; those first that meet most others in all open buckets."""
+    m = _io.stored(members.select("no", "key", "rep", "root", "n"), "buckets", light=True)
+    meets = m.groupBy("rep").agg(F.sum("n").alias("meets"))
+    rank = F.row_number().over(Window.partitionBy("no", "key").orderBy(F.desc("meets"), F.xxhash64("rep", "no"), "rep"))
+    return _io.stored(m.join(meets, "rep").withColumn("rank", rank).drop("meets"), "buckets", light=True)
+
+
 def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, class_id (the least doc_id of its class of near-duplicates), n_words.
 
@@ -179,10 +193,12 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     at least ``similarity``; classes are the connected components. Texts with the same words are one class at once and
     go on as one representative.
 
-    Candidates: texts that share a sketch of Order MinHash. No pairs are made inside a bucket: each sketch's bucket has
-    a pivot (the least member under a hash), to which the others are compared. What isn't linked to it meets the bucket's
-    second pivot (the least under a hash of the sketch, so another one in each bucket), then one among those left. Of 24
-    keys a pair with similarity 0.8 shares each with probability 0.41, so it meets in about ten buckets.
+    Candidates: texts that share a sketch of Order MinHash. Each sketch's bucket has a pivot (the least member under a
+    hash), to which the others are compared. Then, as long as a bucket holds members of two classes, more of its members
+    are pivots, linked or not: one, two, four and so on, those first that share most sketches with others (the middle of
+    a star does). A pivot meets the members that aren't of its class yet, so in the end every two members of a bucket are
+    compared or of one class. No pairs are made inside a class, but a bucket of texts that are all unlike is compared
+    pair by pair. Of 24 keys a pair with similarity 0.8 shares each with probability 0.41, so it meets in about ten buckets.
 
     Texts of fewer than five words link only to equal ones; texts without words are equal. Null text: empty. A null
     doc_id takes part as the least. Rows that repeat are returned each. An empty table gives no rows.
@@ -192,27 +208,27 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     reps = own.groupBy("whole").agg(F.min("doc_id").alias("rep"))
     one = own.join(reps, "whole").where(f"doc_id = rep AND n_words >= {shingle}").select("rep", "sketch").dropDuplicates(["rep"])
     keys = one.select("rep", F.posexplode("sketch").alias("no", "key"))
-    pivot = F.min_by("rep", F.xxhash64("rep", "no"))
-    buckets = keys.groupBy("no", "key").agg(F.min_by("rep", F.xxhash64("rep")).alias("pivot"), pivot.alias("second"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rest = _io.stored(keys.join(buckets, ["no", "key"]).where("rep <> pivot").select("no", "key", "rep", "pivot", "second"), "buckets", light=True)
-    pairs = rest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    need = rest.select("rep").union(rest.select("pivot")).union(rest.select("second")).distinct()
+    buckets = keys.groupBy("no", "key").agg(F.min_by("rep", F.xxhash64("rep")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = _io.stored(keys.join(buckets, ["no", "key"]), "buckets", light=True)
+    pairs = members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    need = members.select("rep").distinct()
     # a doc_id may stand for several texts; the representative's is meant
     texts = d.join(need, d["doc_id"] == need["rep"]).select("rep", "text")
     shingles = _io.stored(texts.mapInArrow(_shingled(shingle), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
     checked = _io.stored(_checked(pairs, shingles, similarity), "checked")
-    links = checked.where("yes")
-    for turn in range(1, ROUNDS):
-        met = rest.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(checked, ["a", "b"], "left")
-        rest = met.where("NOT coalesce(yes, false)").select("no", "key", "rep", *["second"] * (turn == 1))
-        if turn == 1:
-            rest = rest.withColumnRenamed("second", "pivot")
-        else:
-            rest = rest.join(rest.groupBy("no", "key").agg(pivot.alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), ["no", "key"])
-        rest = _io.stored(rest.where("rep <> pivot").select("no", "key", "rep", "pivot"), "buckets", light=True)
-        pairs = rest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    links, roots = checked.where("yes"), components(checked.where("yes"))
+    members, turn = _ranked(_open(members, roots)), 0
+    while not members.isEmpty():
+        pivots = members.where(F.col("rank").between(2**turn, 2 ** (turn + 1) - 1)).select("no", "key", F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"))
+        met = members.join(pivots, ["no", "key"]).where("root <> pivot_root")
+        pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = _io.stored(_checked(pairs, shingles, similarity), "checked")
-        checked, links = checked.unionByName(more), links.unionByName(more.where("yes"))
+        checked, turn = checked.unionByName(more), turn + 1
+        if not (new := more.where("yes")).isEmpty():
+            links = links.unionByName(new)
+            roots = components(links)
+        members = _open(members.drop("root"), roots).where(F.col("n") >= 2**turn)
+        members = _io.stored(members, "buckets", light=True)
     roots = components(links)
     out = own.select("doc_id", "whole", "n_words").join(reps, "whole").join(roots, F.col("rep") == F.col("node"), "left")
     return out.select(F.when(F.col("doc_id") > -(2**63), F.col("doc_id")).alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), "n_words")

@@ -74,6 +74,22 @@ def test_large_groups(spark):
     assert all(got[i] == 0 for i in range(150)) and all(got[i] == i for i in range(150, 300))
 
 
+def test_star(spark):
+    """A thousand copies that are like their original but not like each other are one class; so are those of a second."""
+    rng = random.Random(5)
+    rows = []
+    for k, size in ((0, 1000), (1, 60)):
+        w = [f"w{k}x{i}" for i in range(120)]
+        rows.append((5000 * k + 2500, " ".join(w)))
+        for i in range(size):
+            v = list(w)
+            for p in (rng.randrange(5, 55), rng.randrange(60, 115)):
+                v[p] = f"e{k}x{i}x{p}"
+            rows.append((5000 * k + i, " ".join(v)))
+    got = {r.doc_id: r.class_id for r in O.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 5000 * 5000 for i, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

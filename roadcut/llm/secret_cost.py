@@ -20,7 +20,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Contexts beyond the fixed pattern: group 1 is the value.
 _CONTEXT = re.compile(
-    r"""(?:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|credentials?|auth(?:orization)?|bearer)(?![a-z])["']?\x20*(?:[:=]>?|->|is|was)\x20*(?:bearer\x20+|basic\x20+)?["'`<]?|://[^\s:/@]{1,64}:(?=[^\s/]{1,256}@))([^\s"'`<>@,;]{6,256})""",
+    r"""(?:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|credentials?|auth(?:orization)?|bearer)(?![a-z])["']?\x20*(?:[:=]>?|->|is|was)\x20*(?:bearer\x20+|basic\x20+)?["'`<]?|://[^\s:/@]+:(?=[^\s/]+@))([^\s"'`<>@,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 _WORDS_IN = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "://")
@@ -58,50 +58,76 @@ def _bits(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON)) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value needs.
+def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of the value needs, or, once that is certain to reach
+    ``enough``, some number not less than ``enough``.
 
     best[j] is the cost of the first j characters: the least, over the last segment, of best[i] plus the segment's cost
     as a word (rank, capitals, character swaps), date, repeat of what stands before, keyboard walk or brute force, plus
     a constant for each segment. An empty value costs 0.
+
+    Costs are never negative, so a start that costs enough can't lead to less, and a value ends where only such starts
+    are left. Brute force is a sum, so the cheapest start is carried along. A walk or repeat that goes on is taken up at a
+    later character only where an earlier start of it isn't as cheap for all its ends. So long values take time in
+    proportion to their length, as a rule.
     """
     n, low = len(value), value.lower()
+    if len(low) != n:  # a capital whose small form is two characters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain, near = low.translate(_LEET), _neighbours()
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        for j in range(min(n, i + 10), i + 3, -1):
-            if _DATE.fullmatch(low, i, j):
-                dates.setdefault(i, []).append(j)
-    walk_end = [0] * n
-    for i in range(n - 1, -1, -1):
-        walk_end[i] = walk_end[i + 1] if i + 1 < n and low[i : i + 2] in near else i + 1
     by_first: dict[str, list[tuple[int, str]]] = {}
     for rank, w in enumerate(words, 2):
         by_first.setdefault(w[0], []).append((rank, w))
     step = math.log10(2)
+    brute, reach, walk_end, walks = math.inf, 0, 0, []
+    ends = [0] * 65  # of the run of each period
+    starts: list[dict[int, list[int]]] = [{} for _ in range(65)]  # where it was taken up, by place in the period
     for i in range(n):
-        here = best[i]
-        brute = here + step
-        for j in range(i + 1, n + 1):  # brute force is a sum, so growing by one character suffices
-            brute += _bits(value[j - 1])
-            if brute < best[j]:
-                best[j] = brute
+        here = best[i] = min(best[i], brute)
+        if here >= enough:
+            if i >= reach:
+                return here
+            brute += _bits(value[i])
+            continue
+        brute = min(brute, here + step) + _bits(value[i])
         for rank, w in by_first.get(plain[i], ()):
             if plain.startswith(w, i):
                 part = value[i : i + len(w)]
                 cost = math.log10(rank) + (0.3 if part[0].isupper() else 0) + 0.3 * sum(c.isupper() for c in part[1:]) + 0.3 * sum(a != b for a, b in zip(low[i:], w))
                 best[i + len(w)] = min(best[i + len(w)], here + step + cost)
-        for j in dates.get(i, ()):
-            best[j] = min(best[j], here + step + math.log10(365 * 120))
-        for j in range(i + 3, walk_end[i] + 1):
-            best[j] = min(best[j], here + step + math.log10(47 * 4 * (j - i)))
+                reach = max(reach, i + len(w))
+        for j in range(min(n, i + 10), i + 3, -1):
+            if _DATE.fullmatch(low, i, j):
+                best[j] = min(best[j], here + step + math.log10(365 * 120))
+                reach = max(reach, j)
+        if i >= walk_end:
+            walk_end, walks = i + 1, []
+            while walk_end < n and low[walk_end - 1 : walk_end + 1] in near:
+                walk_end += 1
+        if walk_end >= i + 3 and all(here - best[k] < math.log10((3 + i - k) / 3) - 1e-12 for k in walks):
+            walks.append(i)
+            for j in range(i + 3, walk_end + 1):
+                best[j] = min(best[j], here + step + math.log10(47 * 4 * (j - i)))
+            reach = max(reach, walk_end)
         for size in range(1, min(i, 64) + 1):  # the size characters before i, again and again
-            base, j, times = low[i - size : i], i, 1
-            while low.startswith(base, j):
-                j, times = j + size, times + 1
+            if i >= ends[size]:
+                end, starts[size] = i, {}
+                while end < n and low[end] == low[end - size]:
+                    end += 1
+                ends[size] = end if end > i else i + 1
+                if end == i:
+                    continue
+            if ends[size] - i < size or low[i] != low[i - size]:
+                continue
+            taken = starts[size].setdefault(i % size, [])
+            if any(here - best[k] >= math.log10((2 + (i - k) // size) / 2) - 1e-12 for k in taken):
+                continue
+            taken.append(i)
+            for times, j in enumerate(range(i + size, ends[size] + 1, size), 2):
                 best[j] = min(best[j], here + step + math.log10(times))
-    return best[n]
+                reach = max(reach, j)
+    return min(best[n], brute) if n else 0.0
 
 
 def spans(text: str, least: float = 10.0, hex_run: bool = True) -> list[tuple[int, int, int]]:
@@ -126,7 +152,7 @@ def spans(text: str, least: float = 10.0, hex_run: bool = True) -> list[tuple[in
             if len(value) < 6 or any(s < b and a < e for s, _, e in base):
                 continue
             mixed = any(c.isalpha() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
-            if mixed >= 2 and any(c.isdigit() for c in value) and guess_cost(value) >= least:
+            if mixed >= 2 and any(c.isdigit() for c in value) and guess_cost(value, enough=least) >= least:
                 out.append((a, 3, b))
     return sorted(out)
 

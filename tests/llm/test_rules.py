@@ -119,6 +119,19 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secret_cost.guess_cost("qwertyuiop") < secret_cost.guess_cost("qmxlapwofn")
 
 
+def test_long_values_are_covered_wholly():
+    token = "eyJ" + "".join("aZ3-x_Q7"[i * i % 31 % 8] for i in range(600))
+    assert secret_cost.spans(f"Authorization: Bearer {token} end") == [(22, 3, 22 + len(token))]
+    url = f"db://{'u' * 90}:{token}@host/x"
+    assert secret_cost.spans(url) == [(6 + 90, 3, 6 + 90 + len(token))]
+
+
+def test_enough_decides_as_the_exact_cost():
+    for v in ("aaaa" * 50, "abab12" * 20, "qwerty2024" * 9, "Zx1!Zx1!kf93", "password1999-12-31", "ab" * 5000, "x7Kq" * 3):
+        exact, soon = secret_cost.guess_cost(v), secret_cost.guess_cost(v, enough=9.0)
+        assert soon >= 9 if exact >= 9 else abs(soon - exact) < 1e-9
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
 def test_registered_queries_cover_the_operators():
     from roadcut.llm.queries import QUERIES

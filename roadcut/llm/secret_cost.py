@@ -18,9 +18,9 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Contexts beyond the fixed pattern: group 1 is the value.
+#: Contexts beyond the fixed pattern: group value is the value; prose: the forms in which plain words may follow.
 _CONTEXT = re.compile(
-    r"""(?:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|credentials?|auth(?:orization)?|bearer)(?![a-z])["']?\x20*(?:[:=]>?|->|is|was)\x20*(?:bearer\x20+|basic\x20+)?["'`<]?|://[^\s:/@]+:(?=[^\s/]+@))([^\s"'`<>@,;]{6,})""",
+    r"""(?:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|credentials?|auth(?:orization)?|bearer)(?![a-z])["']?\x20*(?:[:=]>?|->|(?P<prose>is|was))\x20*(?:bearer\x20+|basic\x20+)?["'`<]?|://[^\s:/@]+:(?=[^\s/]+@))(?P<value>[^\s"'`<>@,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 _WORDS_IN = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "://")
@@ -130,11 +130,22 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), enough: float
     return min(best[n], brute) if n else 0.0
 
 
+def _covered(a: int, b: int, base: list[tuple[int, int]]) -> bool:
+    """Whether the spans, in order, cover all of a to b."""
+    for s, e in base:
+        if s > a:
+            break
+        a = max(a, e)
+        if a >= b:
+            return True
+    return False
+
+
 def spans(text: str, least: float = 10.0, hex_run: bool = True) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every finding, in order.
 
-    Values in other credential contexts count when they cost 10**least guesses or more and mix letters, digits and
-    signs (prose behind such a word does not).
+    Values in other credential contexts count when they cost 10**least guesses or more and no other findings cover them
+    wholly. Behind "is" and "was", where prose stands, they must also have a digit, and letters or signs.
     """
     low = text.lower()
     out = []
@@ -145,14 +156,17 @@ def spans(text: str, least: float = 10.0, hex_run: bool = True) -> list[tuple[in
     if hex_run:
         out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if any(w in low for w in _WORDS_IN):
-        base = list(out)
+        base = sorted((s, e) for s, _, e in out)
         for m in _CONTEXT.finditer(text):
-            value = m[1].rstrip(".:!?)]}")
-            a, b = m.start(1), m.start(1) + len(value)
-            if len(value) < 6 or any(s < b and a < e for s, _, e in base):
+            value = m["value"].rstrip(".:!?)]}")
+            a, b = m.start("value"), m.start("value") + len(value)
+            if len(value) < 6 or _covered(a, b, base):
                 continue
-            mixed = any(c.isalpha() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
-            if mixed >= 2 and any(c.isdigit() for c in value) and guess_cost(value, enough=least) >= least:
+            if m["prose"]:
+                mixed = any(c.isalpha() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
+                if mixed < 2 or not any(c.isdigit() for c in value):
+                    continue
+            if guess_cost(value, enough=least) >= least:
                 out.append((a, 3, b))
     return sorted(out)
 

@@ -132,6 +132,14 @@ def test_enough_decides_as_the_exact_cost():
         assert soon >= 9 if exact >= 9 else abs(soon - exact) < 1e-9
 
 
+def test_cost_alone_decides_outside_prose():
+    assert secret_cost.spans("password: Summer2024!x9$Kq&7 end") == [(0, 0, 20), (10, 3, 28)]
+    assert secret_cost.spans("pwd: kJqXvZbWmLrTcN") == [(5, 3, 19)]
+    assert secret_cost.spans("postgres://app:KqXv!ZbWm#Lr@db") == [(15, 3, 27)]
+    assert secret_cost.spans("the password is extraordinarily long") == [] == secret_cost.spans("pwd: monkey")
+    assert secret_cost.spans("token: x9Kq77bbXz") == [(0, 0, 17)]
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
 def test_registered_queries_cover_the_operators():
     from roadcut.llm.queries import QUERIES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -104,83 +105,126 @@ register_algorithm("BUS", bubbles_in_turn)
 register_algorithm("BUP", bubbles_together)
 
 
-def rebalance(faces: DataFrame, dual: DataFrame, assignment: DataFrame, most: float, share: float = 0.25, rounds: int = 40) -> DataFrame:
+def rebalance(faces: DataFrame, dual: DataFrame, assignment: DataFrame, most: float, share: float = 0.25, rounds: int | None = None) -> DataFrame:
     """face, region with fewer or more even regions: first regions are dissolved into neighbours with room, as long as one
-    can be; then light regions are joined with a neighbour and divided anew while weights vary by more than a tenth.
+    can be; then light regions are joined with a neighbour and divided anew while weights vary by more than a tenth and
+    a join is accepted. ``rounds``: no more than so many rounds of each.
 
-    Each step works on one region and its neighbours; a join is kept if the cut doesn't grow (by half at most when the
-    light region passes half of most) and the weights come closer.
+    A round works on many regions that have no neighbour in common (on many pairs without a common region), each in a
+    worker. A join is kept if the cut doesn't grow (by half at most when the light region passes half of most) and the
+    weights come closer, so both loops end. A pair that was refused is tried again when one of its regions has changed.
     """
-    now = assignment
-    for _ in range(rounds):
+    return _evened(faces, dual, _fewer(faces, dual, assignment, most, rounds), most, rounds)
+
+
+def _turns(rounds: int | None):
+    return itertools.count() if rounds is None else range(rounds)
+
+
+def _fewer(faces: DataFrame, dual: DataFrame, now: DataFrame, most: float, rounds: int | None) -> DataFrame:
+    failed = None  # regions that couldn't be dissolved since the last pass over all began
+    gone = False
+    for _ in _turns(rounds):
         weights = stored(regions.region_weights(faces, now), "weights")
         links = stored(regions.region_graph(dual, now), "links")
-        room = regions.neighbour_capacity(links, weights, most).where("capacity >= weight")
-        gone = None
-        for r in regions.best_half(room).toLocalIterator():
-            moved = _dissolved(faces, dual, now, links, weights, r.region, most)
-            if moved:
-                gone = moved
-                break
-        if gone is None:
+        able = regions.best_half(regions.neighbour_capacity(links, weights, most).where("capacity >= weight"))
+        able = stored(able.select("region", F.struct(F.col("capacity").alias("capacity"), F.xxhash64("region").alias("turn")).alias("score")), "able")
+        left = able if failed is None else stored(able.join(failed, "region", "left_anti"), "able")
+        if failed is not None and left.isEmpty() and gone:
+            failed, gone, left = None, False, able
+        if left.isEmpty():
             break
-        now = _moved(now, gone)
+        chosen = stored(_apart(left, links), "chosen")
+        moved = stored(_dissolved(faces, dual, now, links, chosen, most), "moved")
+        done = moved.select(F.col("group").alias("region")).distinct()
+        gone = gone or not moved.isEmpty()
+        lost = chosen.join(done, "region", "left_anti")
+        failed = stored(lost if failed is None else failed.unionByName(lost), "failed")
+        now = _moved(now, moved)
+    return now
+
+
+def _apart(able: DataFrame, links: DataFrame) -> DataFrame:
+    """region: those whose score is greater than that of all others in reach of two steps."""
+    best = able
+    for _ in range(2):
+        near = links.join(best.withColumnRenamed("region", "r2"), "r2").select(F.col("r1").alias("region"), "score")
+        best = best.unionByName(near).groupBy("region").agg(F.max("score").alias("score"))
+    return able.join(best, ["region", "score"], "left_semi").select("region")
+
+
+def _grouped(faces: DataFrame, dual: DataFrame, now: DataFrame, groups: DataFrame, kernel: Callable) -> DataFrame:
+    """kernel(group, nodes, rows) -> face: new region, or None; for each group (group, region) of regions, by itself."""
+    f = faces.select("face", *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "weight")))
+    nodes = stored(now.join(groups, "region").join(f, "face").select("group", "face", "region", "cx", "cy", "weight"), "nodes")
+    a = nodes.select(F.col("face").alias("f1"), "group")
+    b = nodes.select(F.col("face").alias("f2"), F.col("group").alias("g2"))
+    rows = dual.where("f1 < f2").join(a, "f1").join(b, "f2").where("group = g2").select(F.col("group").alias("of_group"), "f1", "f2", "length")
+
+    def run(key, nodes, rows):
+        import pandas as pd
+
+        found = kernel(key[0], list(nodes[["face", "region", "cx", "cy", "weight"]].itertuples(index=False, name=None)), list(rows[["f1", "f2", "length"]].itertuples(index=False, name=None))) or {}
+        return pd.DataFrame({"group": [key[0]] * len(found), "face": list(found), "new": list(found.values())}).astype("int64")
+
+    return nodes.groupBy("group").cogroup(rows.groupBy("of_group")).applyInPandas(run, "group long, face long, new long")
+
+
+def _dissolved(faces: DataFrame, dual: DataFrame, now: DataFrame, links: DataFrame, chosen: DataFrame, most: float) -> DataFrame:
+    """group (the region that went), face, new."""
+    group = chosen.withColumnRenamed("region", "group")
+    groups = group.select("group", F.col("group").alias("region")).unionByName(links.join(group, F.col("r1") == F.col("group")).select("group", F.col("r2").alias("region")))
+
+    def kernel(region, nodes, rows):
+        total: dict[int, float] = {}
+        for _, r, _, _, w in nodes:
+            total[r] = total.get(r, 0.0) + w
+        total.pop(region)
+        return kernels.dissolve(region, {n[0]: n[1] for n in nodes}, {n[0]: n[4] for n in nodes}, kernels.adjacency(rows), total, most)
+
+    return _grouped(faces, dual, now, groups, kernel)
+
+
+def _evened(faces: DataFrame, dual: DataFrame, now: DataFrame, most: float, rounds: int | None) -> DataFrame:
     tried: set[tuple[int, int]] = set()
-    for _ in range(rounds):
+    for _ in _turns(rounds):
         weights = stored(regions.region_weights(faces, now), "weights")
         s = weights.agg(F.stddev_pop("weight").alias("d"), F.avg("weight").alias("m")).first()
         if not s.m or s.d <= 0.1 * s.m:
             break
-        links = stored(regions.region_graph(dual, now), "links")
-        change = None
-        for r in regions.lightest(weights).toLocalIterator():
-            near = links.where(F.col("r1") == r.region).join(weights.select(F.col("region").alias("r2"), "weight"), "r2").orderBy(F.desc("weight"), "r2")
-            for n in near.toLocalIterator():
-                if (r.region, n.r2) in tried:
-                    continue
-                tried.add((r.region, n.r2))
-                change = _rejoined(faces, dual, now, (r.region, r.weight), (n.r2, n.weight), most)
-                if change:
-                    break
-            if change:
-                break
-        if not change:
+        light = regions.lightest(weights).select(F.col("region").alias("r1"), F.col("weight").alias("w1"))
+        near = regions.region_graph(dual, now).join(F.broadcast(light), "r1").join(weights.select(F.col("region").alias("r2"), "weight"), "r2")
+        pairs, used = [], set()
+        for r in near.orderBy("w1", "r1", F.desc("weight"), "r2").toLocalIterator():
+            if (r.r1, r.r2) not in tried and not used & {r.r1, r.r2}:
+                used |= {r.r1, r.r2}
+                pairs.append((r.r1, r.r2))
+        if not pairs:
             break
-        now = _moved(now, change)
+        tried |= set(pairs)
+        groups = now.sparkSession.createDataFrame([(a, r) for a, b in pairs for r in (a, b)], "group long, region long")
+        moved = stored(_grouped(faces, dual, now, groups, lambda light, nodes, rows: _rejoined(light, nodes, rows, most)), "moved")
+        done = {r.group for r in moved.select("group").distinct().collect()}
+        new = {r for p in pairs if p[0] in done for r in p} | {r.new for r in moved.select("new").distinct().collect()}
+        tried = {p for p in tried if not new & set(p)}
+        now = _moved(now, moved)
     return now
 
 
-def _moved(now: DataFrame, change: dict[int, int]) -> DataFrame:
-    c = now.sparkSession.createDataFrame(list(change.items()), "face long, new long")
-    return stored(now.join(c, "face", "left").select("face", F.coalesce("new", "region").alias("region")), "assignment")
-
-
-def _local(faces: DataFrame, dual: DataFrame, now: DataFrame, ids: list[int]):
-    """Faces and edges of a few regions, which are bounded by the maximum weight."""
-    own = now.where(F.col("region").isin(ids))
-    nodes = [tuple(r) for r in own.join(faces, "face").select("face", "region", F.col("cx").cast("double"), F.col("cy").cast("double"), F.col("weight").cast("double")).collect()]
-    k = own.select("face")
-    rows = dual.where("f1 < f2").join(k.withColumnRenamed("face", "f1"), "f1", "left_semi").join(k.withColumnRenamed("face", "f2"), "f2", "left_semi").select("f1", "f2", "length")
-    return nodes, [tuple(r) for r in rows.collect()]
-
-
-def _dissolved(faces, dual, now, links, weights, region: int, most: float) -> dict[int, int] | None:
-    near = [r.r2 for r in links.where(F.col("r1") == region).collect()]
-    nodes, rows = _local(faces, dual, now, [region, *near])
-    total = {r.region: r.weight for r in weights.where(F.col("region").isin(near)).collect()}
-    return kernels.dissolve(region, {n[0]: n[1] for n in nodes}, {n[0]: n[4] for n in nodes}, kernels.adjacency(rows), total, most)
+def _moved(now: DataFrame, moved: DataFrame) -> DataFrame:
+    return stored(now.join(moved.select("face", "new"), "face", "left").select("face", F.coalesce("new", "region").alias("region")), "assignment")
 
 
-def _rejoined(faces, dual, now, light: tuple, other: tuple, most: float) -> dict[int, int] | None:
-    nodes, rows = _local(faces, dual, now, [light[0], other[0]])
-    part, cut = kernels.bisect([(f, x, y, w) for f, _, x, y, w in nodes], rows, max(0.05, min(0.45, 1 - most / max(light[1] + other[1], 1e-9))))
+def _rejoined(light: int, nodes: list[tuple], rows: list[tuple], most: float) -> dict[int, int] | None:
     of = {n[0]: n[1] for n in nodes}
+    own, other = (sum(n[4] for n in nodes if (n[1] == light) == mine) for mine in (True, False))
+    part, cut = kernels.bisect([(f, x, y, w) for f, _, x, y, w in nodes], rows, max(0.05, min(0.45, 1 - most / max(own + other, 1e-9))))
     before = sum(w for a, b, w in rows if of[a] != of[b])
     w = [sum(n[4] for n in nodes if part[n[0]] == p) for p in (0, 1)]
     adj = kernels.adjacency(rows)
     whole = all(len(kernels.connected({f for f, p in part.items() if p == q}, adj)) == 1 for q in (0, 1))
-    slack = 1.5 if min(w) > most / 2 >= light[1] else 1.0
-    if not whole or max(w) >= most or cut > slack * before or abs(w[0] - w[1]) >= abs(light[1] - other[1]):
+    slack = 1.5 if min(w) > most / 2 >= own else 1.0
+    if not whole or max(w) >= most or cut > slack * before or abs(w[0] - w[1]) >= abs(own - other) - 1e-9:
         return None
     name = {p: min(f for f, q in part.items() if q == p) for p in (0, 1)}
     return {f: name[p] for f, p in part.items()}

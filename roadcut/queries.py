@@ -533,7 +533,7 @@ def bubble_parallel(spark, d) -> DataFrame:
 @query()
 def rebalance(spark, d) -> DataFrame:
     w, dual, a = _divided(spark, d, "IF")
-    return divide.rebalance(w, dual, a, MOST, rounds=4)
+    return divide.rebalance(w, dual, a, MOST)
 
 
 @query()

@@ -190,6 +190,18 @@ def test_rebalance(lattice):
     assert after.count() == 108 and regions.region_weights(faces, after).where("weight > 60").count() == 0
 
 
+def test_rebalance_goes_on_until_done(spark):
+    """Sixty regions of one face in a row, of which all but a few can be dissolved."""
+    faces = spark.createDataFrame([(i, i + 0.5, 0.5, 1.0) for i in range(60)], "face long, cx double, cy double, weight double").coalesce(1)
+    dual = spark.createDataFrame([(i, j, 1.0) for i in range(60) for j in (i - 1, i + 1) if 0 <= j < 60], "f1 long, f2 long, length double").coalesce(1)
+    after = divide.rebalance(faces, dual, faces.selectExpr("face", "face AS region"), 20.0)
+    check(faces, dual, after, 20.0)
+    n = after.select("region").distinct().count()
+    assert n < 20
+    room = regions.neighbour_capacity(regions.region_graph(dual, after), regions.region_weights(faces, after), 20.0).where("capacity >= weight")
+    assert room.count() < 2 or n < 8
+
+
 def test_registered_algorithm(lattice):
     divide.register_algorithm("one", lambda faces, dual, most: faces.selectExpr("face", "0L AS region"))
     assert divide.divide("one", *lattice, 1.0).select("region").distinct().count() == 1

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as P
 
 
@@ -18,3 +20,11 @@ def test_stages(spark, docs, none, tmp_path):
 
 def test_names_and_order():
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "bpe"]
+
+
+def test_near_duplicates_compares_rows_without_or_with_one_id(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, c), (9, d)]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,8 +14,8 @@ from roadcut.functions import geometry as G
 from roadcut.operators.planar import gridded
 from roadcut.plans.store import stored
 
-#: A half-edge's number is src * FAN + its rank around src.
-FAN = 4096
+#: A half-edge's number is src * FAN + its rank around src; vertices with more half-edges, or ids beyond MOST_ID, are refused.
+FAN, MOST_ID = 4096, 2**51 - 1
 
 
 def angular(half: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -26,7 +30,8 @@ def angular(half: DataFrame, vertices: DataFrame) -> DataFrame:
         "rank": (F.row_number().over(order) - 1).cast("long"), "degree": F.count("*").over(around),
         "ccw": F.coalesce(F.lead("dst").over(order), F.first("dst").over(whole)), "cw": F.coalesce(F.lag("dst").over(order), F.last("dst").over(whole)),
     })
-    return h.withColumn("hid", F.col("src") * FAN + F.col("rank"))
+    fits = (F.col("rank") < FAN) & F.col("src").between(0, MOST_ID)
+    return h.withColumn("hid", F.when(fits, F.col("src") * FAN + F.col("rank")).otherwise(F.raise_error(F.lit(f"a vertex has more than {FAN} half-edges, or an id outside 0..{MOST_ID}"))))
 
 
 def successors(h: DataFrame) -> DataFrame:
@@ -35,29 +40,94 @@ def successors(h: DataFrame) -> DataFrame:
     return h.join(twin, (h["src"] == twin["t_dst"]) & (h["dst"] == twin["t_src"])).select("hid", "src", "dst", "length", "x1", "y1", "nxt")
 
 
+def _near(s: DataFrame) -> Column:
+    """Where a half-edge starts, as one number that is close for close places (bits of x and y in turn)."""
+    box = s.agg(F.min("x1"), F.max("x1"), F.min("y1"), F.max("y1")).first()
+    cells = [F.floor((F.col(c) - (low or 0.0)) / max((high or 0.0) - (low or 0.0), 1e-9) * 1023).cast("long") for c, low, high in (("x1", *box[:2]), ("y1", *box[2:]))]
+    bits = [F.shiftleft(F.shiftright(c, i).bitwiseAND(1), 2 * i + k) for k, c in enumerate(cells) for i in range(10)]
+    return reduce(lambda a, b: a + b, bits)
+
+
+def _doubled(before: np.ndarray, value: np.ndarray, join) -> tuple[np.ndarray, np.ndarray]:
+    """Pointers ``before`` (a node without one points at itself) and what lies on their ways, joined."""
+    for _ in range(len(before).bit_length() + 1):
+        value, before = join(value, value[before]), before[before]
+    return before, value
+
+
+def _chains(batches):
+    """Chains of a part's half-edges: head, at (steps from the head), and at the head of an open chain n, out (the half-edge
+    that follows its last one), low (the least half-edge) and low_at. A closed chain's head is its least half-edge."""
+    got = [pa.Table.from_batches([b]) for b in batches]
+    if not got:
+        return
+    t = pa.concat_tables(got)
+    if not t.num_rows:
+        return
+    t = t.take(pa.array(np.argsort(t["hid"].to_numpy())))
+    hid, nxt = t["hid"].to_numpy(), t["nxt"].to_numpy()
+    n, itself = len(hid), np.arange(len(hid))
+    to = np.minimum(np.searchsorted(hid, nxt), n - 1)
+    inside = hid[to] == nxt
+    before = itself.copy()
+    before[to[inside]] = itself[inside]
+    end, least = _doubled(before, itself, np.minimum)
+    closed = before[end] != end  # no end was met
+    closed |= (before == itself) & (to == itself) & inside
+    before = np.where(closed & (least == itself), itself, before)
+    head, at = _doubled(before, (before != itself).astype(np.int64), np.add)
+    tail = ~inside
+    size, out, low, low_at = (np.full(n, -1) for _ in range(4))
+    size[head[tail]], out[head[tail]] = at[tail] + 1, nxt[tail]
+    order = np.lexsort((itself, head))
+    first = order[np.r_[True, np.diff(head[order]) != 0]] if n else order
+    low[head[first]], low_at[head[first]] = hid[first], at[first]
+    begins = ~closed & (head == itself)
+    rows = t.select(["hid", "src", "dst", "length", "x1", "y1"])
+    for name, v in (("head", hid[head]), ("at", at), ("n", size), ("out", out), ("low", low), ("low_at", low_at)):
+        rows = rows.append_column(name, pa.array(v, pa.int64(), mask=None if name in ("head", "at") else ~begins))
+    yield from rows.combine_chunks().to_batches(1 << 16)
+
+
 def trace(h: DataFrame) -> DataFrame:
     """Half-edges with face (the least hid of the orbit) and pos (steps from that half-edge).
 
-    Pointers double: after k rounds a half-edge knows the least one among the next 2^k; when nothing changes, orbits are
-    labelled. Cut open before the least one, the orbits are ranked in the same way.
+    Half-edges are dealt out by place, and each part joins its own to chains; most faces close there. What crosses parts
+    goes on as one row a chain: pointers double (four steps a round); when nothing changes, orbits are labelled. Cut open
+    before the chain that holds the least half-edge, the orbits' chains are ranked in the same way.
     """
     s = stored(successors(h), "next")
-    at = stored(s.select("hid", F.col("nxt").alias("to"), F.least("hid", "nxt").alias("face")), "orbit")
+    types = "hid long, src long, dst long, length double, x1 double, y1 double, head long, at long, n long, out long, low long, low_at long"
+    s = s.select("hid", "nxt", *(F.col(c).cast(t).alias(c) for t, names in (("long", ("src", "dst")), ("double", ("length", "x1", "y1"))) for c in names))
+    s = stored(s.repartitionByRange(_near(s), "src").mapInArrow(_chains, types), "chains")
+    c = stored(s.where("n IS NOT NULL").select("head", "n", "out", "low", "low_at"), "open")
+    done = s.select("hid", "src", "dst", "length", "x1", "y1", "head", "at")
+    if c.isEmpty():
+        return done.withColumnsRenamed({"head": "face", "at": "pos"})
+    at = c.select("head", F.col("out").alias("to"), F.col("low").alias("face"))
+    moved = True
+    while moved:
+        was = at
+        for _ in range(2):
+            far = at.select(F.col("head").alias("to"), F.col("to").alias("to2"), F.col("face").alias("face2"))
+            at = at.join(far, "to").select("head", F.col("to2").alias("to"), F.least("face", "face2").alias("face"))
+        at = stored(at, "orbit")
+        moved = not at.join(was.select("head", F.col("face").alias("was")), "head").where("was <> face").isEmpty()
+    c = stored(c.join(at.select("head", "face"), "head"), "orbits")
+    first = c.where("low = face").select(F.col("head").alias("out"), F.lit(True).alias("last"))
+    left = c.join(first, "out", "left").select("head", F.when(F.col("last").isNull(), F.col("out")).alias("to"), "n")
     while True:
-        far = at.select(F.col("hid").alias("to"), F.col("to").alias("to2"), F.col("face").alias("face2"))
-        new = stored(at.join(far, "to").select("hid", F.col("to2").alias("to"), F.least("face", "face2").alias("face"), (F.col("face2") < F.col("face")).alias("moved")), "orbit")
-        done = new.where("moved").isEmpty()
-        at = new.select("hid", "to", "face")
-        if done:
+        for _ in range(2):
+            far = left.select(F.col("head").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
+            left = left.join(far, "to", "left").select("head", F.col("to2").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
+        left = stored(left, "rank")
+        if left.where("to IS NOT NULL").isEmpty():
             break
-    s = stored(s.join(at.select("hid", "face"), "hid"), "faces")
-    left = stored(s.select("hid", F.when(F.col("nxt") != F.col("face"), F.col("nxt")).alias("to"), F.lit(1).cast("long").alias("n")), "rank")
-    while not left.where("to IS NOT NULL").isEmpty():
-        far = left.select(F.col("hid").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
-        left = stored(left.join(far, "to", "left").select("hid", F.col("to2").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "rank")
-    size = Window.partitionBy("face")
-    s = s.join(left.select("hid", F.col("n").alias("left")), "hid")
-    return s.withColumn("pos", F.max("left").over(size) - F.col("left")).drop("left", "nxt")
+    orbit = Window.partitionBy("face")
+    c = c.join(left.select("head", F.col("n").alias("left")), "head")
+    c = c.select("head", "face", F.sum("n").over(orbit).alias("total"), (F.sum("n").over(orbit) - F.col("left") - F.max(F.when(F.col("low") == F.col("face"), F.col("low_at"))).over(orbit)).alias("shift"))
+    done = done.join(stored(c, "shifts"), "head", "left")
+    return done.select("hid", "src", "dst", "length", "x1", "y1", F.coalesce("face", "head").alias("face"), F.when(F.col("face").isNull(), F.col("at")).otherwise(F.expr("pmod(shift + at, total)")).alias("pos"))
 
 
 def faces(traced: DataFrame) -> DataFrame:

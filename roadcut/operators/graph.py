@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +48,55 @@ def linked_vertices(vertices: DataFrame, half: DataFrame) -> DataFrame:
     return vertices.join(half.select(F.col("src").alias("id")), "id", "left_semi")
 
 
+def _forest(batches):
+    """Of a part's edges (src, dst): the nodes, each with the least node of its component in this part."""
+    got = [np.stack([b.column("src").to_numpy(), b.column("dst").to_numpy()]) for b in batches]
+    if not got:
+        return
+    ends = np.concatenate(got, axis=1)
+    node, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(ends.shape)
+    root = np.arange(len(node))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for place in (root[a], root[b], a, b):
+            np.minimum.at(new, place, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    for i in range(0, len(node), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(node[root[i : i + (1 << 16)]])], names=["id", "root"])
+
+
 def components(half: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    """id, component (its least id), by label propagation with shortcuts; vertices without edges are components."""
-    label = half.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("n")).select("id", F.least("id", "n").alias("component"))
+    """id, component (its least id); vertices without edges are components.
+
+    Each part of the edges (a range of ids) is contracted by itself to one root a component. What is left joins the roots
+    of vertices that stand in several parts; labels spread over that with shortcuts, in rounds.
+    """
+    links = half.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src < dst")
+    local = stored(links.repartitionByRange("src").mapInArrow(_forest, "id long, root long"), "local")
+    own = stored(local.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")), "own")
+    label = own.select("id", F.col("low").alias("component"))
+    split = own.where("low <> high").select("id", "low")
+    over = stored(local.join(split, "id").where("root <> low").select("low", "root").distinct(), "over")
+    if not over.isEmpty():
+        both = over.selectExpr("low AS src", "root AS dst").unionByName(over.selectExpr("root AS src", "low AS dst"))
+        top = _spread(stored(both, "over")).select(F.col("id").alias("component"), F.col("component").alias("top"))
+        label = label.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     if vertices is not None:
-        alone = vertices.select("id").join(half.select(F.col("src").alias("id")), "id", "left_anti")
+        alone = vertices.select(F.col("id").cast("long").alias("id")).join(own.select("id"), "id", "left_anti").distinct()
         label = label.unionByName(alone.select("id", F.col("id").alias("component")))
-    label = stored(label, "labels")
-    links = half.select("src", "dst")
+    return label
+
+
+def _spread(links: DataFrame) -> DataFrame:
+    """id, component of the ends of links (src, dst; both directions): each takes the least label around it, then that
+    one's label, until nothing changes."""
+    label = stored(links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("n")).select("id", F.least("id", "n").alias("component")), "labels")
     while True:
         of = label.select(F.col("id").alias("dst"), F.col("component").alias("near"))
         near = links.join(of, "dst").groupBy(F.col("src").alias("id")).agg(F.min("near").alias("near"))

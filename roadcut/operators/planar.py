@@ -43,20 +43,16 @@ def crossings(segments: DataFrame, cell: float, strict_bbox: bool = False) -> Da
     p = p.where(G.segments_meet(*ends, strict_bbox=strict_bbox))
     x, y, _ = G.meeting_point(*ends)
     p = p.withColumns({"x": x, "y": y})
-    apart = "a_u <> b_u AND a_u <> b_v AND a_v <> b_u AND a_v <> b_v"
-    true = p.where(f"x IS NOT NULL AND {apart}").select("a_seg", "b_seg", "x", "y")
-    flat = p.where("x IS NULL")  # parallel: each end that lies inside the other segment
-    inside = []
+    apart = F.expr("a_u <> b_u AND a_u <> b_v AND a_v <> b_u AND a_v <> b_v")
+    inside = []  # of parallel ones: each end that lies inside the other segment
     for s, o in ("ab", "ba"):
         for i in "12":
             px, py = f"{s}_x{i}", f"{s}_y{i}"
             other = [f"{o}_x1", f"{o}_y1", f"{o}_x2", f"{o}_y2"]
             end = (F.col(px) == F.col(other[0])) & (F.col(py) == F.col(other[1])) | (F.col(px) == F.col(other[2])) & (F.col(py) == F.col(other[3]))
-            inside.append(flat.where(G.on_segment(px, py, *other) & ~end).select("a_seg", "b_seg", F.col(px).alias("x"), F.col(py).alias("y")))
-    out = true
-    for i in inside:
-        out = out.unionByName(i)
-    return out
+            inside.append(F.when(G.on_segment(px, py, *other) & ~end, F.struct(F.col(px).alias("x"), F.col(py).alias("y"))))
+    at = F.when(F.col("x").isNull(), F.array_compact(F.array(*inside))).otherwise(F.array_compact(F.array(F.when(apart, F.struct("x", "y")))))
+    return p.select("a_seg", "b_seg", F.explode(at).alias("at")).select("a_seg", "b_seg", "at.x", "at.y")
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, eps: float) -> DataFrame:

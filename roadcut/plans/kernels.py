@@ -221,26 +221,29 @@ def bisect(nodes: list[tuple[int, float, float, float]], rows, share: float) ->
 
 
 def bubbles_in_turn(nodes, rows, most: float) -> dict[int, int]:
-    """Grows one region at a time from the leftmost free face, by the least rating, until none fits."""
+    """Grows one region at a time from the leftmost free face, by the least rating, until none fits. A face that doesn't
+    fit is passed over as long as another does."""
     weight, x = {f: w for f, _, _, w in nodes}, {f: cx for f, cx, _, _ in nodes}
     adj, out = adjacency(rows), {}
+    whole = {f: sum(n.values()) for f, n in adj.items()}
     for f in sorted(x, key=lambda f: (x[f], f)):
         if f in out:
             continue
-        label, total, border = f, weight[f], sum(adj.get(f, {}).values())
+        label, total = f, weight[f]
         out[f] = label
         shared = {v: w for v, w in adj.get(f, {}).items() if v not in out}
         while shared:
-            fit = {v: s for v, s in shared.items() if total + weight[v] <= most}
-            if not fit:
+            best = None
+            for v, s in shared.items():
+                if total + weight[v] <= most:
+                    change = whole[v] - 2 * s
+                    rating = ((most - total) * change * change / s if s else float("inf"), v)
+                    if best is None or rating < best:
+                        best = rating
+            if best is None:
                 break
-
-            def rating(v):
-                change = sum(adj[v].values()) - 2 * fit[v]
-                return ((most - total) * change * change / fit[v] if fit[v] else float("inf"), v)
-
-            v = min(fit, key=rating)
-            border += sum(adj[v].values()) - 2 * shared.pop(v)
+            v = best[1]
+            del shared[v]
             out[v] = label
             total += weight[v]
             for u, w in adj[v].items():

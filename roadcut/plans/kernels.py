@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 from collections import deque
 
+import numpy as np
+
 Adjacency = dict[int, dict[int, float]]
 
 
@@ -252,42 +254,60 @@ def bubbles_in_turn(nodes, rows, most: float) -> dict[int, int]:
     return out
 
 
+class _Medoid:
+    """The member with the least sum of distances to all members, kept up as members come."""
+
+    def __init__(self) -> None:
+        self.id, self.xy, self.sum, self.n = np.zeros(8, np.int64), np.zeros((8, 2)), np.zeros(8), 0
+
+    def add(self, v: int, at: tuple[float, float]) -> int:
+        if self.n == len(self.id):
+            self.id, self.sum, self.xy = np.resize(self.id, 2 * self.n), np.resize(self.sum, 2 * self.n), np.resize(self.xy, (2 * self.n, 2))
+        d = np.hypot(*(self.xy[: self.n] - at).T)
+        self.sum[: self.n] += d
+        self.id[self.n], self.xy[self.n], self.sum[self.n] = v, at, d.sum()
+        self.n += 1
+        s = np.round(self.sum[: self.n], 6)
+        return int(self.id[: self.n][s == s.min()].min())
+
+
 def bubbles_together(nodes, rows, seeds: list[int], most: float) -> dict[int, int]:
     """Grows all regions by a face each in rounds, by the least rating, seeds moving to their medoids; faces that no region
     can take under the cap start regions of their own, grown in turn."""
     weight, at = {f: w for f, _, _, w in nodes}, {f: (cx, cy) for f, cx, cy, _ in nodes}
-    adj, out, total, seed = adjacency(rows), {}, {}, {}
+    adj, out = adjacency(rows), {s: s for s in seeds}
+    whole = {f: sum(n.values()) for f, n in adj.items()}
+    total, seed, middle = {s: weight[s] for s in seeds}, {s: s for s in seeds}, {s: _Medoid() for s in seeds}
+    near = {s: {v: w for v, w in adj.get(s, {}).items() if v not in out} for s in seeds}  # free faces around, with the shared border
     for s in seeds:
-        out[s], total[s], seed[s] = s, weight[s], s
-    coefficient = (max(sum(weight.values()), 1e-9) / most) ** 0.5
-    active = list(seed)
-    members = {s: {s} for s in seeds}
+        middle[s].add(s, at[s])
+    coefficient = (max(sum(weight[f] for f in sorted(weight)), 1e-9) / most) ** 0.5
+    active = list(seeds)
     while active:
         still = []
         for b in active:
-            near = {}
-            for u in members[b]:
-                for v, w in adj.get(u, {}).items():
-                    if v not in out and total[b] + weight[v] <= most:
-                        near[v] = near.get(v, 0.0) + w
-            if not near:
-                continue
-            sx, sy = at[seed[b]]
-
-            def rating(v):
-                change = sum(adj[v].values()) - 2 * near[v]
+            (sx, sy), best, gone = at[seed[b]], None, []
+            for v, s in near[b].items():
+                if v in out or total[b] + weight[v] > most:  # a region never gets lighter: what doesn't fit now never will
+                    gone.append(v)
+                    continue
                 d = ((at[v][0] - sx) ** 2 + (at[v][1] - sy) ** 2) ** 0.5
-                return ((1 - weight[v] / most) ** 2 * (coefficient * change + d), v)
-
-            v = min(near, key=rating)
+                rating = ((1 - weight[v] / most) ** 2 * (coefficient * (whole[v] - 2 * s) + d), v)
+                if best is None or rating < best:
+                    best = rating
+            for v in gone:
+                del near[b][v]
+            if best is None:
+                continue
+            v = best[1]
+            del near[b][v]
             out[v] = b
-            members[b].add(v)
             total[b] += weight[v]
+            for u, w in adj[v].items():
+                if u not in out:
+                    near[b][u] = near[b].get(u, 0.0) + w
+            seed[b] = middle[b].add(v, at[v])
             still.append(b)
-        for b in still:
-            m = members[b]
-            cx, cy = sum(at[v][0] for v in m) / len(m), sum(at[v][1] for v in m) / len(m)
-            seed[b] = min(m, key=lambda v: ((at[v][0] - cx) ** 2 + (at[v][1] - cy) ** 2, v))
         active = still
     rest = [n for n in nodes if n[0] not in out]
     if rest:

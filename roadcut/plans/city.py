@@ -56,7 +56,7 @@ def run(spark: SparkSession, algorithm: str, graph_path: str, points_path: str,
     points = text.to_plane(text.read_points(spark, points_path), ref)
     f = divide.reduced(weigh(p, points, cell), most)
     began = time.time()
-    options = {"share": share} if algorithm == "IF" else {}
+    options = {"share": share, "traced": p.traced} if algorithm == "IF" else {}
     a = divide.rebalance(f, p.dual, divide.divide(algorithm, f, p.dual, most, **options), most)
     took = time.time() - began
     weights, cuts = regions.region_weights(f, a), regions.cut_per_region(p.dual, a)

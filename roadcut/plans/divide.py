@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from roadcut.operators import graph, regions
 from roadcut.plans import kernels
 from roadcut.plans.store import stored
 
+#: Faces of a region that one worker takes; larger regions are first cut along clusters of faces. A worker goes on with
+#: pieces of up to FINISH faces by itself. CELLS: the grid of clusters over a large region, each way.
+BOUND, FINISH, CELLS = 100_000, 4_000, 64
+
 _ALGORITHMS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -31,73 +37,145 @@ def reduced(faces: DataFrame, most: float) -> DataFrame:
     return faces.withColumns({"weight_full": F.col("weight").cast("double"), "weight": G.reduced(F.col("weight").cast("double"), most)})
 
 
-def _inside(dual: DataFrame, assignment: DataFrame) -> DataFrame:
-    a = assignment.select(F.col("face").alias("f1"), "region")
-    b = assignment.select(F.col("face").alias("f2"), F.col("region").alias("r2"))
-    return dual.where("f1 < f2").join(a, "f1").join(b, "f2").where("region = r2").select(F.col("region").alias("of_region"), "f1", "f2", "length")
+_LISTS = {"near": "array<long>", "border": "array<double>", "src": "array<long>", "dst": "array<long>", "length": "array<double>", "x": "array<double>", "y": "array<double>"}
 
 
-def _per_region(kernel: Callable, faces: DataFrame, dual: DataFrame, assignment: DataFrame) -> DataFrame:
-    """kernel(nodes, rows) -> face: part, for each region by itself; a region must fit one worker."""
+def shapes(faces: DataFrame, dual: DataFrame, traced: DataFrame | None = None) -> DataFrame:
+    """face, cx, cy, weight and lists of its neighbours and, of traced ones, its half-edges: all that a worker needs to know
+    of a face stands in one row."""
+    out = faces.select(F.col("face").cast("long").alias("face"), *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "weight")))
+    near = dual.groupBy(F.col("f1").alias("face")).agg(F.sort_array(F.collect_list(F.struct(F.col("f2").alias("near"), F.col("length").alias("border")))).alias("n"))
+    out, lists = out.join(near, "face", "left"), {"near": "n.near", "border": "n.border"}
+    if traced is not None:
+        edges = traced.groupBy("face").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "length", F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("e"))
+        out = out.join(edges, "face", "left")
+        lists |= {c: f"e.{c}" for c in ("src", "dst", "length", "x", "y")}
+    return stored(out.select("face", "cx", "cy", "weight", *(F.coalesce(F.col(at).cast(_LISTS[c]), F.expr(f"cast(array() AS {_LISTS[c]})")).alias(c) for c, at in lists.items())), "shapes")
+
+
+def _flat(t: pa.Table, lists: list[str]) -> list[tuple]:
+    """Rows (entries of the lists, face) of a worker's faces."""
+    cols = [t[c].combine_chunks() for c in lists]
+    n = np.diff(cols[0].offsets.to_numpy())
+    return list(zip(*(c.flatten().to_pylist() for c in cols), np.repeat(t["face"].to_numpy(), n).tolist()))
 
-    def run(key, nodes, rows):
-        import pandas as pd
 
-        if not len(nodes):
-            return pd.DataFrame({"face": [], "region": []}).astype("int64")
-        part = kernel(list(zip(nodes.face.tolist(), nodes.cx.tolist(), nodes.cy.tolist(), nodes.weight.tolist())), list(zip(rows.f1.tolist(), rows.f2.tolist(), rows.length.tolist())))
+def _inside(t: pa.Table) -> tuple[list[tuple], list[tuple], list[tuple] | None]:
+    """Of a worker's faces, in order of face: nodes (face, cx, cy, weight), borders among them (f1 < f2, length), and the
+    half-edges (src, dst, length, face, x, y) where they are known."""
+    t = t.sort_by("face")
+    nodes = list(zip(*(t[c].to_pylist() for c in ("face", "cx", "cy", "weight"))))
+    own = {n[0] for n in nodes}
+    rows = [(f, g, w) for g, w, f in _flat(t, ["near", "border"]) if f < g and g in own]
+    plane = [(a, b, w, f, x, y) for a, b, w, x, y, f in _flat(t, ["src", "dst", "length", "x", "y"])] if "src" in t.column_names else None
+    return nodes, rows, plane
+
+
+def _per_region(kernel: Callable, shape: DataFrame, assignment: DataFrame, count: int) -> DataFrame:
+    """kernel(nodes, rows, plane) -> face: part, for each of count regions by itself; a region's parts are named by their
+    least face."""
+
+    def run(t):
+        part = kernel(*_inside(t))
         least: dict[int, int] = {}
         for f, p in part.items():
             least[p] = min(f, least.get(p, f))
-        return pd.DataFrame({"face": list(part), "region": [least[p] for p in part.values()]})
+        return pa.table({"face": pa.array(list(part), pa.int64()), "region": pa.array([least[p] for p in part.values()], pa.int64())})
 
-    n = assignment.join(faces.select("face", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"), F.col("weight").cast("double").alias("weight")), "face")
-    return n.groupBy("region").cogroup(_inside(dual, assignment).groupBy("of_region")).applyInPandas(run, "face long, region long")
+    work = assignment.select("face", "region").join(shape, "face").repartition(_tasks(shape, count), "region")
+    return work.groupBy("region").applyInArrow(run, "face long, region long")
 
 
-def _start(faces: DataFrame, dual: DataFrame) -> DataFrame:
-    """Connected components of the face graph, each a first region."""
-    half = dual.select(F.col("f1").alias("src"), F.col("f2").alias("dst"), "length")
-    return stored(graph.components(half, faces.select(F.col("face").alias("id"))).select(F.col("id").alias("face"), F.col("component").alias("region")), "assignment")
+def _tasks(df: DataFrame, count: int) -> int:
+    """Enough partitions for so many groups, several times those that run at once at most."""
+    return max(1, min(3 * count, 8 * df.sparkSession.sparkContext.defaultParallelism))
 
 
-def inertial_flow(faces: DataFrame, dual: DataFrame, most: float, share: float = 0.25) -> DataFrame:
-    """face, region: every region that weighs most or more is divided by a least cut between its ends, all open regions of
-    a round in parallel, until none is left. A single face stays as it is."""
+def _start(faces: DataFrame, dual: DataFrame) -> DataFrame:
+    """First regions: connected components of the face graph, the larger ones in pieces of up to BOUND faces."""
+    half = dual.select(F.col("f1").alias("src"), F.col("f2").alias("dst"), "length")
+    c = graph.components(half, faces.select(F.col("face").alias("id")))
+    return _bounded(faces, dual, stored(c.select(F.col("id").alias("face"), F.col("component").alias("region")), "assignment"))
 
-    def kernel(nodes, rows):
-        part, _ = kernels.bisect(nodes, rows, share)
-        adj = kernels.adjacency(rows)
-        out, label = {}, 0
-        for side in (0, 1):  # a side may fall apart: each piece goes on by itself
-            for comp in kernels.connected({f for f, p in part.items() if p == side}, adj):
-                out |= dict.fromkeys(comp, label)
-                label += 1
-        return out
 
+def _bounded(faces: DataFrame, dual: DataFrame, now: DataFrame) -> DataFrame:
+    """Cuts regions of more than BOUND faces in two until there are none, without gathering one: the faces of a grid cell
+    are joined to connected clusters, and a worker cuts the graph of the clusters."""
+    cells = CELLS
+    while True:
+        big = stored(now.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > BOUND).select("region"), "big")
+        count = big.count()
+        if not count:
+            return now
+        f = now.join(F.broadcast(big), "region", "left_semi").join(faces.select("face", *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "weight"))), "face")
+        f = stored(f, "large")
+        box = f.groupBy("region").agg(F.min("cx").alias("xl"), F.max("cx").alias("xh"), F.min("cy").alias("yl"), F.max("cy").alias("yh"))
+        step = F.greatest(F.col("xh") - F.col("xl"), F.col("yh") - F.col("yl"), F.lit(1e-9)) / cells
+        at = f.join(F.broadcast(box), "region")  # big and box: a row for every BOUND faces at most
+        at = stored(at.select("face", "region", F.struct("region", F.floor((F.col("cx") - F.col("xl")) / step), F.floor((F.col("cy") - F.col("yl")) / step)).alias("cell")), "cells")
+        a, b = at.select(F.col("face").alias("f1"), F.col("cell").alias("c1")), at.select(F.col("face").alias("f2"), F.col("cell").alias("c2"))
+        d = stored(dual.join(a, "f1").join(b, "f2").where("c1.region = c2.region"), "inside")
+        cluster = graph.components(d.where("c1 = c2").select(F.col("f1").alias("src"), F.col("f2").alias("dst"), "length"), f.select(F.col("face").alias("id")))
+        cluster = stored(f.join(cluster.withColumnRenamed("id", "face"), "face").select("face", "region", "cx", "cy", "weight", F.col("component").alias("cluster")), "clusters")
+        a, b = (cluster.select(F.col("face").alias(f"f{i}"), F.col("cluster").alias(f"k{i}")) for i in (1, 2))
+        coarse = cluster.groupBy("region", F.col("cluster").alias("face")).agg(*(F.avg(c).alias(c) for c in ("cx", "cy")), F.sum("weight").alias("weight"))
+        borders = d.where("c1 <> c2").join(a, "f1").join(b, "f2").groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(F.sum("length").alias("length"))
+        coarse = stored(coarse, "coarse")
+        got = _per_region(lambda n, r, p: _halves(n, r), shapes(coarse, borders), coarse, count)
+        got = stored(cluster.drop("region").join(got.withColumnRenamed("face", "cluster"), "cluster").select("face", "region"), "halves")
+        if got.select("region").distinct().count() == count:
+            cells *= 4
+        now = stored(now.join(F.broadcast(big), "region", "left_anti").select("face", "region").unionByName(got), "assignment")
+
+
+def _halves(nodes, rows, share: float = 0.25, plane=None) -> dict[int, int]:
+    part, _ = kernels.bisect(nodes, rows, share, plane)
+    adj, out, label = kernels.adjacency(rows), {}, 0
+    for side in (0, 1):  # a side may fall apart: each piece goes on by itself
+        for comp in kernels.connected({f for f, p in part.items() if p == side}, adj):
+            out |= dict.fromkeys(comp, label)
+            label += 1
+    return out
+
+
+def inertial_flow(faces: DataFrame, dual: DataFrame, most: float, share: float = 0.25, traced: DataFrame | None = None) -> DataFrame:
+    """face, region: every region that weighs most or more is divided by a cut between its ends, all open regions of a
+    round in parallel, until none is left. A single face stays as it is.
+
+    With the traced half-edges, cuts are short and even ways through the plane graph, else least cuts by maximum flow."""
+    shape = shapes(faces, dual, traced)
     now = _start(faces, dual)
     while True:
-        w = now.join(faces.select("face", "weight"), "face").groupBy("region").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+        w = now.join(shape.select("face", "weight"), "face").groupBy("region").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
         heavy = stored(w.where((F.col("w") >= most) & (F.col("n") > 1)).select("region"), "open")
-        if heavy.isEmpty():
+        if not (count := heavy.count()):
             return now
-        split = _per_region(kernel, faces, dual, now.join(heavy, "region", "left_semi"))
+        split = _per_region(lambda n, r, p: kernels.divided(n, r, p, most, share, FINISH), shape, now.join(heavy, "region", "left_semi"), count)
         now = stored(now.join(heavy, "region", "left_anti").select("face", "region").unionByName(split), "assignment")
 
 
+def _grown(kernel: Callable, faces: DataFrame, dual: DataFrame) -> DataFrame:
+    start = _start(faces, dual)
+    count = start.select("region").distinct().count()
+    return stored(_per_region(kernel, shapes(faces, dual), start, count), "assignment")
+
+
 def bubbles_in_turn(faces: DataFrame, dual: DataFrame, most: float) -> DataFrame:
-    return stored(_per_region(lambda n, r: kernels.bubbles_in_turn(n, r, most), faces, dual, _start(faces, dual)), "assignment")
+    """face, region: regions grown one after the other from the leftmost free face."""
+    return _grown(lambda n, r, p: kernels.bubbles_in_turn(n, r, most), faces, dual)
 
 
 def bubbles_together(faces: DataFrame, dual: DataFrame, most: float) -> DataFrame:
-    def kernel(nodes, rows):
+    """face, region: regions grown at once from seeds."""
+
+    def kernel(nodes, rows, _):
         total = sum(n[3] for n in nodes)
         count = max(1, int(total // (0.9 * most)))
         order = sorted(nodes, key=lambda n: (round((n[1] ** 2 + n[2] ** 2) ** 0.5, 6), n[0]))
         step = max(1, len(order) // count)
-        return kernels.bubbles_together(nodes, rows, [n[0] for n in order[:: step][:count]], most)
+        return kernels.bubbles_together(nodes, rows, [n[0] for n in order[::step][:count]], most)
 
-    return stored(_per_region(kernel, faces, dual, _start(faces, dual)), "assignment")
+    return _grown(kernel, faces, dual)
 
 
 register_algorithm("IF", inertial_flow)

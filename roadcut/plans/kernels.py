@@ -7,6 +7,8 @@ from collections import deque
 
 import numpy as np
 
+from roadcut.plans.planecut import Plane
+
 Adjacency = dict[int, dict[int, float]]
 
 
@@ -52,19 +54,20 @@ def dijkstra(adj: Adjacency, sources, blocked=frozenset()) -> tuple[dict[int, fl
     return dist, pred
 
 
-def grow(order: list[int], start: int, target: float, weight: dict[int, float], adj: Adjacency, taken: set[int], index: int) -> set[int]:
+def grow(order: list[int], start: int, target: float, weight: dict[int, float], adj: Adjacency, taken: set[int], index: int, place: dict[int, int] | None = None) -> set[int]:
     """Nodes met breadth-first from start until their weight reaches the target, none of taken; a node may be entered only
     if its place in the order is less than half the region away from index."""
-    place = {v: i for i, v in enumerate(order)}
     if start in taken:
         return set()
+    place = place or {v: i for i, v in enumerate(order)}
+    far = max(1, len(order) / 2)
     out, total, todo, seen = set(), 0.0, deque([start]), {start}
     while todo and total < target:
         u = todo.popleft()
         out.add(u)
         total += weight[u]
-        for v in sorted(adj.get(u, ()), key=place.__getitem__):
-            if v not in seen and v not in taken and abs(place[v] - index) < max(1, len(order) / 2):
+        for v in sorted((v for v in adj.get(u, ()) if v not in seen and v not in taken), key=place.__getitem__):
+            if abs(place[v] - index) < far:
                 seen.add(v)
                 todo.append(v)
     return out
@@ -129,57 +132,13 @@ def max_flow(adj: Adjacency, source: set[int], sink: set[int]) -> tuple[float, s
                 path.pop()
 
 
-def planar_cut(rings: dict[int, list[int]], lengths: dict[tuple[int, int], float], source: set[int], sink: set[int]) -> float:
-    """Least cut between two connected sets of faces on the rim of a region, as the shortest way through the plane graph.
+def bisect(nodes: list[tuple[int, float, float, float]], rows, share: float, plane: Plane | None = None) -> tuple[dict[int, int], float]:
+    """Divides a region in two: source and sink sets at the ends of its longest direction, and a cut between them.
 
-    In a plane graph a cut of the dual between source and sink is a way along primal edges. Where both sets touch the
-    region's rim, the rim falls into two stretches between them, and the least cut is the shortest way from one stretch
-    to the other that doesn't run inside either set: edges on the rim cost nothing, since no face lies beyond.
-    Returns infinity when a set doesn't touch the rim.
-    """
-    side: dict[tuple[int, int], int] = {}
-    for f, r in rings.items():
-        for a, b in zip(r, r[1:] + r[:1]):
-            side[a, b] = f
-    rim = {}
-    for (a, b), f in side.items():
-        if (b, a) not in side:
-            rim[a] = (b, f)
-    if not rim:
-        return float("inf")
-    start = min(rim)
-    walk, v = [], start
-    while True:
-        b, f = rim[v]
-        walk.append((v, 1 if f in source else 2 if f in sink else 0))
-        v = b
-        if v == start or v not in rim:
-            break
-    if not any(k == 1 for _, k in walk) or not any(k == 2 for _, k in walk):
-        return float("inf")
-    at = next(i for i, (_, k) in enumerate(walk) if k == 1)
-    walk = walk[at:] + walk[:at]
-    last1 = max(i for i, (_, k) in enumerate(walk) if k == 2)
-    first2 = next(i for i, (_, k) in enumerate(walk) if k == 2)
-    end1 = max(i for i, (_, k) in enumerate(walk[:first2]) if k == 1)
-    n = len(walk)
-    one = {walk[i % n][0] for i in range(end1 + 1, first2 + 1)}
-    two = {walk[i % n][0] for i in range(last1 + 1, n + 1)}
-    adj: Adjacency = {}
-    for (a, b), f in side.items():
-        g = side.get((b, a))
-        if g is None or f in source and g in source or f in sink and g in sink:
-            continue
-        adj.setdefault(a, {})[b] = adj.setdefault(b, {})[a] = lengths[a, b]
-    dist, _ = dijkstra(adj, one)
-    return min((dist[v] for v in two if v in dist), default=float("inf"))
-
-
-def bisect(nodes: list[tuple[int, float, float, float]], rows, share: float) -> tuple[dict[int, int], float]:
-    """Divides a region in two: source and sink sets at the ends of its longest direction, joined by the least cut.
-
-    nodes: face, cx, cy, weight. Returns part 0 or 1 of each face, connected where the region is, and the cut. Falls back
-    to halves by projection if a side would be empty.
+    nodes: face, cx, cy, weight. Returns part 0 or 1 of each face and the cut's length. With the region's plane graph the
+    cut is a short and even one; without it, or where the sets touch no common rim, it is the least one by maximum
+    flow. Falls back to halves by projection if a side would be empty. A start that an earlier one has reached in vain isn't
+    tried again.
     """
     from roadcut.operators.regions import LINES
 
@@ -191,15 +150,17 @@ def bisect(nodes: list[tuple[int, float, float, float]], rows, share: float) ->
         spread = max(p.values()) - min(p.values())
         if spread > best + 1e-9:
             best, order = spread, sorted(p, key=lambda f: (round(p[f], 6), f))
-    target, n = share * sum(weight.values()), len(order)
+    target, n = share * sum(weight[f] for f in order), len(order)
+    place = {v: i for i, v in enumerate(order)}
 
     def choose(indices, taken):
-        top, top_w = set(), -1.0
+        top, top_w, tried = set(), -1.0, set()
         for i in indices:
-            if order[i] in taken:
+            if order[i] in taken or order[i] in tried:
                 continue
-            got = grow(order, order[i], target, weight, adj, taken, i)
-            w = sum(weight[v] for v in got)
+            got = grow(order, order[i], target, weight, adj, taken, i, place)
+            tried |= got
+            w = sum(weight[v] for v in sorted(got))
             if got and w > top_w:
                 top, top_w = got, w
             if w >= target:
@@ -213,15 +174,42 @@ def bisect(nodes: list[tuple[int, float, float, float]], rows, share: float) ->
     if not sink:
         source, sink = {order[0]}, {order[-1]}
     source, sink = pockets(set(order), adj, source, sink)
-    value, side = max_flow(adj, source, sink)
+    got = plane.balanced_cut(source, sink, weight) if plane else None
+    if got is None or got[1] & sink:
+        got = max_flow(adj, source, sink)
+    value, side = got
     part = {f: 0 if f in side else 1 for f in order}
     if len(set(part.values())) < 2:
-        half = order[: n // 2]
-        part = {f: 0 if f in set(half) else 1 for f in order}
+        half = set(order[: n // 2])
+        part = {f: 0 if f in half else 1 for f in order}
         value = sum(w for a, row in adj.items() for b, w in row.items() if part[a] < part[b])
     return part, value
 
 
+def divided(nodes: list[tuple[int, float, float, float]], rows, plane_rows, most: float, share: float, whole: int) -> dict[int, int]:
+    """Label of each face: the region is bisected, and so is each piece that weighs most or more, if it has no more than
+    ``whole`` faces; larger pieces are left to the next round."""
+    out, label, todo, first = {}, 0, [[n[0] for n in nodes]], True
+    node, adj = {n[0]: n for n in nodes}, adjacency(rows)
+    near: dict[int, list] = {}
+    for r in plane_rows or ():
+        near.setdefault(r[3], []).append(r)
+    while todo:
+        faces = todo.pop()
+        heavy = sum(node[f][3] for f in sorted(faces)) >= most and len(faces) > 1
+        if not heavy or not first and len(faces) > whole:
+            out |= dict.fromkeys(faces, label)
+            label += 1
+            continue
+        first, own = False, set(faces)
+        inside = [(a, b, w) for a in faces for b, w in adj.get(a, {}).items() if a < b and b in own]
+        plane = Plane([r for f in faces for r in near[f]]) if plane_rows else None
+        part, _ = bisect([node[f] for f in sorted(faces)], inside, share, plane)
+        for side in (0, 1):  # a side may fall apart: each piece goes on by itself
+            todo += [sorted(c) for c in connected({f for f, p in part.items() if p == side}, adj)]
+    return out
+
+
 def bubbles_in_turn(nodes, rows, most: float) -> dict[int, int]:
     """Grows one region at a time from the leftmost free face, by the least rating, until none fits. A face that doesn't
     fit is passed over as long as another does."""

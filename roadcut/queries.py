@@ -510,9 +510,9 @@ def convex_hull(spark, d) -> DataFrame:
 
 
 def _divided(spark, d, algorithm: str):
-    _, _, w, dual, _ = _weighed(spark, d)
+    t, _, w, dual, _ = _weighed(spark, d)
     w = stored(divide.reduced(w, MOST), "reduced")
-    return w, dual, divide.divide(algorithm, w, dual, MOST)
+    return w, dual, divide.divide(algorithm, w, dual, MOST, **({"traced": t} if algorithm == "IF" else {}))
 
 
 @query()

@@ -183,41 +183,43 @@ register_algorithm("BUS", bubbles_in_turn)
 register_algorithm("BUP", bubbles_together)
 
 
-def rebalance(faces: DataFrame, dual: DataFrame, assignment: DataFrame, most: float, share: float = 0.25, rounds: int | None = None) -> DataFrame:
+def rebalance(faces: DataFrame, dual: DataFrame, assignment: DataFrame, most: float, rounds: int | None = None) -> DataFrame:
     """face, region with fewer or more even regions: first regions are dissolved into neighbours with room, as long as one
     can be; then light regions are joined with a neighbour and divided anew while weights vary by more than a tenth and
     a join is accepted. ``rounds``: no more than so many rounds of each.
 
-    A round works on many regions that have no neighbour in common (on many pairs without a common region), each in a
-    worker. A join is kept if the cut doesn't grow (by half at most when the light region passes half of most) and the
-    weights come closer, so both loops end. A pair that was refused is tried again when one of its regions has changed.
+    A round tries all candidates at once, each in a worker, and carries out those that don't touch each other, the best
+    ones first. A join is kept if the cut doesn't grow (by half at most when the light region passes half of most) and the
+    weights come closer, so both loops end.
     """
-    return _evened(faces, dual, _fewer(faces, dual, assignment, most, rounds), most, rounds)
+    shape = shapes(faces, dual)
+    return _evened(shape, dual, _fewer(shape, dual, assignment, most, rounds), most, rounds)
 
 
 def _turns(rounds: int | None):
     return itertools.count() if rounds is None else range(rounds)
 
 
-def _fewer(faces: DataFrame, dual: DataFrame, now: DataFrame, most: float, rounds: int | None) -> DataFrame:
-    failed = None  # regions that couldn't be dissolved since the last pass over all began
-    gone = False
+def _fewer(shape: DataFrame, dual: DataFrame, now: DataFrame, most: float, rounds: int | None) -> DataFrame:
+    failed = None  # regions that can't be dissolved as long as nothing around them changes
     for _ in _turns(rounds):
-        weights = stored(regions.region_weights(faces, now), "weights")
+        weights = stored(regions.region_weights(shape, now), "weights")
         links = stored(regions.region_graph(dual, now), "links")
         able = regions.best_half(regions.neighbour_capacity(links, weights, most).where("capacity >= weight"))
         able = stored(able.select("region", F.struct(F.col("capacity").alias("capacity"), F.xxhash64("region").alias("turn")).alias("score")), "able")
         left = able if failed is None else stored(able.join(failed, "region", "left_anti"), "able")
-        if failed is not None and left.isEmpty() and gone:
-            failed, gone, left = None, False, able
-        if left.isEmpty():
+        if not (count := left.count()):
             break
-        chosen = stored(_apart(left, links), "chosen")
-        moved = stored(_dissolved(faces, dual, now, links, chosen, most), "moved")
-        done = moved.select(F.col("group").alias("region")).distinct()
-        gone = gone or not moved.isEmpty()
-        lost = chosen.join(done, "region", "left_anti")
-        failed = stored(lost if failed is None else failed.unionByName(lost), "failed")
+        moved = stored(_dissolved(shape, now, links, left.select("region"), most, count), "moved")
+        can = stored(left.join(moved.select(F.col("a").alias("region")), "region", "left_semi"), "can")
+        if can.isEmpty():
+            break
+        chosen = stored(_apart(can, links), "chosen")
+        moved = stored(moved.join(chosen.withColumnRenamed("region", "a"), "a", "left_semi"), "moved")
+        lost = left.select("region").join(can.select("region"), "region", "left_anti")
+        changed = moved.select(F.col("new").alias("region")).unionByName(chosen.select("region")).distinct()
+        near = links.join(changed.withColumnRenamed("region", "r2"), "r2", "left_semi").select(F.col("r1").alias("region")).unionByName(changed)
+        failed = stored((lost if failed is None else lost.unionByName(failed)).join(near, "region", "left_anti"), "failed")
         now = _moved(now, moved)
     return now
 
@@ -231,61 +233,55 @@ def _apart(able: DataFrame, links: DataFrame) -> DataFrame:
     return able.join(best, ["region", "score"], "left_semi").select("region")
 
 
-def _grouped(faces: DataFrame, dual: DataFrame, now: DataFrame, groups: DataFrame, kernel: Callable) -> DataFrame:
-    """kernel(group, nodes, rows) -> face: new region, or None; for each group (group, region) of regions, by itself."""
-    f = faces.select("face", *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "weight")))
-    nodes = stored(now.join(groups, "region").join(f, "face").select("group", "face", "region", "cx", "cy", "weight"), "nodes")
-    a = nodes.select(F.col("face").alias("f1"), "group")
-    b = nodes.select(F.col("face").alias("f2"), F.col("group").alias("g2"))
-    rows = dual.where("f1 < f2").join(a, "f1").join(b, "f2").where("group = g2").select(F.col("group").alias("of_group"), "f1", "f2", "length")
-
-    def run(key, nodes, rows):
-        import pandas as pd
+def _grouped(shape: DataFrame, now: DataFrame, groups: DataFrame, kernel: Callable, count: int) -> DataFrame:
+    """a, b, face, new: kernel(a, b, regions, nodes, rows) -> face: new region, or None; for each of count groups (a, b,
+    region) of regions, by itself. A face goes to each group that holds its region."""
+    work = now.select("face", "region").join(groups, "region").join(shape, "face").repartition(_tasks(shape, count), "a", "b")
 
-        found = kernel(key[0], list(nodes[["face", "region", "cx", "cy", "weight"]].itertuples(index=False, name=None)), list(rows[["f1", "f2", "length"]].itertuples(index=False, name=None))) or {}
-        return pd.DataFrame({"group": [key[0]] * len(found), "face": list(found), "new": list(found.values())}).astype("int64")
+    def run(key, t):
+        a, b = (k.as_py() for k in key)
+        of = dict(zip(t["face"].to_pylist(), t["region"].to_pylist()))
+        nodes, rows, _ = _inside(t)
+        found = kernel(a, b, of, nodes, rows) or {}
+        names = {"a": [a] * len(found), "b": [b] * len(found), "face": list(found), "new": list(found.values())}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in names.items()})
 
-    return nodes.groupBy("group").cogroup(rows.groupBy("of_group")).applyInPandas(run, "group long, face long, new long")
+    return work.groupBy("a", "b").applyInArrow(run, "a long, b long, face long, new long")
 
 
-def _dissolved(faces: DataFrame, dual: DataFrame, now: DataFrame, links: DataFrame, chosen: DataFrame, most: float) -> DataFrame:
-    """group (the region that went), face, new."""
-    group = chosen.withColumnRenamed("region", "group")
-    groups = group.select("group", F.col("group").alias("region")).unionByName(links.join(group, F.col("r1") == F.col("group")).select("group", F.col("r2").alias("region")))
+def _dissolved(shape: DataFrame, now: DataFrame, links: DataFrame, chosen: DataFrame, most: float, count: int) -> DataFrame:
+    """a (a region that can be dissolved), face, new."""
+    own = chosen.select(F.col("region").alias("a"), F.col("region").alias("b"), "region")
+    groups = own.unionByName(links.join(own.select("a", "b"), F.col("r1") == F.col("a")).select("a", "b", F.col("r2").alias("region")))
 
-    def kernel(region, nodes, rows):
+    def kernel(region, _, of, nodes, rows):
         total: dict[int, float] = {}
-        for _, r, _, _, w in nodes:
-            total[r] = total.get(r, 0.0) + w
+        for f, _, _, w in nodes:
+            total[of[f]] = total.get(of[f], 0.0) + w
         total.pop(region)
-        return kernels.dissolve(region, {n[0]: n[1] for n in nodes}, {n[0]: n[4] for n in nodes}, kernels.adjacency(rows), total, most)
+        return kernels.dissolve(region, of, {n[0]: n[3] for n in nodes}, kernels.adjacency(rows), total, most)
 
-    return _grouped(faces, dual, now, groups, kernel)
+    return _grouped(shape, now, groups, kernel, count)
 
 
-def _evened(faces: DataFrame, dual: DataFrame, now: DataFrame, most: float, rounds: int | None) -> DataFrame:
-    tried: set[tuple[int, int]] = set()
+def _evened(shape: DataFrame, dual: DataFrame, now: DataFrame, most: float, rounds: int | None) -> DataFrame:
     for _ in _turns(rounds):
-        weights = stored(regions.region_weights(faces, now), "weights")
+        weights = stored(regions.region_weights(shape, now), "weights")
         s = weights.agg(F.stddev_pop("weight").alias("d"), F.avg("weight").alias("m")).first()
         if not s.m or s.d <= 0.1 * s.m:
             break
         light = regions.lightest(weights).select(F.col("region").alias("r1"), F.col("weight").alias("w1"))
-        near = regions.region_graph(dual, now).join(F.broadcast(light), "r1").join(weights.select(F.col("region").alias("r2"), "weight"), "r2")
-        pairs, used = [], set()
-        for r in near.orderBy("w1", "r1", F.desc("weight"), "r2").toLocalIterator():
-            if (r.r1, r.r2) not in tried and not used & {r.r1, r.r2}:
-                used |= {r.r1, r.r2}
-                pairs.append((r.r1, r.r2))
-        if not pairs:
+        near = regions.region_graph(dual, now).join(light, "r1").join(weights.select(F.col("region").alias("r2"), F.col("weight").alias("w2")), "r2")
+        pairs = near.select(F.col("r1").alias("a"), F.col("r2").alias("b"), F.struct(-F.col("w1"), -F.col("r1"), "w2", -F.col("r2")).alias("score"))
+        pairs = stored(pairs, "pairs")  # the lightest region first, and its heaviest neighbour
+        groups = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("region"))
+        moved = stored(_grouped(shape, now, groups, lambda a, b, of, n, r: _rejoined(a, of, n, r, most), pairs.count()), "moved")
+        can = stored(pairs.join(moved.select("a", "b"), ["a", "b"], "left_semi"), "can")
+        if can.isEmpty():
             break
-        tried |= set(pairs)
-        groups = now.sparkSession.createDataFrame([(a, r) for a, b in pairs for r in (a, b)], "group long, region long")
-        moved = stored(_grouped(faces, dual, now, groups, lambda light, nodes, rows: _rejoined(light, nodes, rows, most)), "moved")
-        done = {r.group for r in moved.select("group").distinct().collect()}
-        new = {r for p in pairs if p[0] in done for r in p} | {r.new for r in moved.select("new").distinct().collect()}
-        tried = {p for p in tried if not new & set(p)}
-        now = _moved(now, moved)
+        best = can.select("score", F.explode(F.array("a", "b")).alias("region")).groupBy("region").agg(F.max("score").alias("score"))
+        chosen = can.join(best.select(F.col("region").alias("a"), "score"), ["a", "score"], "left_semi").join(best.select(F.col("region").alias("b"), "score"), ["b", "score"], "left_semi")
+        now = _moved(now, moved.join(chosen.select("a", "b"), ["a", "b"], "left_semi"))
     return now
 
 
@@ -293,12 +289,11 @@ def _moved(now: DataFrame, moved: DataFrame) -> DataFrame:
     return stored(now.join(moved.select("face", "new"), "face", "left").select("face", F.coalesce("new", "region").alias("region")), "assignment")
 
 
-def _rejoined(light: int, nodes: list[tuple], rows: list[tuple], most: float) -> dict[int, int] | None:
-    of = {n[0]: n[1] for n in nodes}
-    own, other = (sum(n[4] for n in nodes if (n[1] == light) == mine) for mine in (True, False))
-    part, cut = kernels.bisect([(f, x, y, w) for f, _, x, y, w in nodes], rows, max(0.05, min(0.45, 1 - most / max(own + other, 1e-9))))
+def _rejoined(light: int, of: dict[int, int], nodes: list[tuple], rows: list[tuple], most: float) -> dict[int, int] | None:
+    own, other = (sum(n[3] for n in nodes if (of[n[0]] == light) == mine) for mine in (True, False))
+    part, cut = kernels.bisect(nodes, rows, max(0.05, min(0.45, 1 - most / max(own + other, 1e-9))))
     before = sum(w for a, b, w in rows if of[a] != of[b])
-    w = [sum(n[4] for n in nodes if part[n[0]] == p) for p in (0, 1)]
+    w = [sum(n[3] for n in nodes if part[n[0]] == p) for p in (0, 1)]
     adj = kernels.adjacency(rows)
     whole = all(len(kernels.connected({f for f, p in part.items() if p == q}, adj)) == 1 for q in (0, 1))
     slack = 1.5 if min(w) > most / 2 >= own else 1.0

@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadcut.plans.store import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset (one machine), a new one."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="roadcut-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
 
+def shares(count: int, share: int = 5000) -> int:
+    """Into how many shares a key's rows are dealt out, so that even a key of all ``count`` rows gives about ``share`` a task."""
+    return max(8, -(-count // share))
 
-def stored(df: DataFrame, name: str, light: bool = False) -> DataFrame:
-    """df written as a table in the shared folder and read back: lineage ends there, and lost executors cost nothing.
 
-    light: rows are few bytes and cheap to make, so a file a core will do rather than one a partition.
-    """
-    spark = df.sparkSession
-    df = df.coalesce(spark.sparkContext.defaultParallelism) if light else df
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spread(rows: DataFrame, key: list[str], other: DataFrame, by: str, count: int | None = None, with_rows=None) -> DataFrame:
+    """rows joined with other by key, of which a few values may hold a large part of all rows: a key's rows are dealt out by
+    ``by`` to shares, other goes to each share that a key has, and rows meet it there. count: of rows, about, where
+    they aren't a stored table. with_rows: applied to rows after their keys were taken."""
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(by, F.lit(7)), F.lit(shares(rows.count() if count is None else count))))
+    there = dealt.select(*key, "_share").distinct().join(other, key)
+    return (dealt if with_rows is None else with_rows(dealt)).join(there, [*key, "_share"]).drop("_share")
 
 
 def small_batches(df: DataFrame) -> DataFrame:

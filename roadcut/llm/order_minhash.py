@@ -10,10 +10,15 @@ from pyspark.sql.window import Window
 
 from roadcut.llm import _io, _seq
 from roadcut.llm.chunk_bpe import _slices
+from roadcut.operators import graph
 
 U = np.uint64
 #: Words of a shingle; sketches of a text; shingles of a sketch.
 SHINGLE, SKETCHES, ORDERED = 5, 24, 2
+#: A key joins a sketch with those so many places on (all differences are different).
+JOINED = (1, 5)
+#: Bytes of a shingle's hash that tell the shingles of compared texts apart.
+WIDTH = 6
 
 
 def labelled(h: np.ndarray, of: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +39,7 @@ def labelled(h: np.ndarray, of: np.ndarray, shingle: int) -> tuple[np.ndarray, n
 def sketches(g: np.ndarray, t: np.ndarray, texts: int, count: int = SKETCHES, ordered: int = ORDERED) -> np.ndarray:
     """Order MinHash of each text (text, sketch): the ``ordered`` smallest labelled shingles under the sketch's own hash,
     joined in the order in which they stand in the text. Texts with fewer shingles join those they have; none: 0. A key
-    joins two neighbouring sketches, so that texts that share a passage only seldom meet."""
+    joins three sketches, so that texts that share a passage only seldom meet; no two keys have two sketches in common."""
     out = np.zeros((texts, count), U)
     if not len(g):
         return out
@@ -55,7 +60,10 @@ def sketches(g: np.ndarray, t: np.ndarray, texts: int, count: int = SKETCHES, or
         for p in picks:
             key = np.where(p >= 0, _seq.mix(key * U(0x9E3779B97F4A7C15) ^ g[np.maximum(p, 0)]), key)
         out[row, j] = key
-    return _seq.mix(out * U(0x9E3779B97F4A7C15) + np.roll(out, -1, 1))
+    key = out.copy()
+    for apart in JOINED:
+        key = _seq.mix(key * U(0x9E3779B97F4A7C15) + np.roll(out, -apart, 1))
+    return key
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -111,7 +119,8 @@ def _sketched(shingle: int):
                 first = np.cumsum(n) - n
                 whole = _seq.spans_hash(h, first, first + n).astype(np.int64)
                 off = pa.array(np.arange(0, (j - i + 1) * SKETCHES, SKETCHES), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(whole), pa.array(n, pa.int64()), pa.ListArray.from_arrays(off, pa.array(keys.astype(np.int64).ravel()))], names=["doc_id", "whole", "n_words", "sketch"])
+                same = [batch.column(c).slice(i, j - i) for c in ("doc_id", "same")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(whole), pa.array(n, pa.int64()), pa.ListArray.from_arrays(off, pa.array(keys.astype(np.int64).ravel()))], names=["doc_id", "same", "whole", "n_words", "sketch"])
 
     return run
 
@@ -122,117 +131,180 @@ def _shingled(shingle: int):
             for i, j, h, of, n in _words(batch.column("text")):
                 g, t = labelled(h, of, shingle)
                 cut = np.searchsorted(t, np.arange(j - i + 1))
-                g = (g >> U(16)).astype("<u8")  # six bytes suffice to tell the shingles of two texts apart
-                flat = g.view(np.uint8).reshape(-1, 8)[:, :6]
+                flat = (g >> U(64 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
                 yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["rep", "shingles"])
 
     return run
 
 
-def _verified(similarity: float):
-    def back(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return out.view("<u8").ravel()
+def _numbers(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
+
 
+def _verified(similarity: float):
     def run(batches):
         for batch in batches:
             a, b = batch.column("a_shingles").to_pylist(), batch.column("b_shingles").to_pylist()
-            yes = [aligned(back(x), back(y), similarity) for x, y in zip(a, b)]
+            yes, at, known = [], None, None
+            for x, y in zip(a, b):
+                if x is not at and x != at:
+                    at, known = x, _numbers(x)
+                yes.append(aligned(known, _numbers(y), similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], names=["a", "b", "yes"])
 
     return run
 
 
 def _checked(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """a, b, yes for pairs (a, b) of representatives."""
+    """a, b, yes for pairs (a, b): a is a pivot, whose shingles travel once for each share of its partners."""
     left = shingles.select(F.col("rep").alias("a"), F.col("shingles").alias("a_shingles"))
     right = shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("b_shingles"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_shingles", "b_shingles")
-    return both.mapInArrow(_verified(similarity), "a long, b long, yes boolean")
+    both = _io.spread(pairs, ["a"], left, "b", with_rows=lambda p: p.join(right, "b"))
+    return both.select("a", "b", "a_shingles", "b_shingles").mapInArrow(_verified(similarity), "a long, b long, yes boolean")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for the nodes of undirected edges (a, b): root is the least node of the component.
+def _rarest(similarity: float):
+    """The prefix of a text's shingles, the rarest first, of which two texts of that similarity must share one."""
 
-    Each round every node takes the least label among its neighbours' labels, and then its label's label, so distances
-    halve; labels are written to the shared folder each round.
-    """
-    both = _io.stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", light=True)
-    label = _io.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("root")), "labels", light=True)
-    while True:
-        of = label.select(F.col("node").alias("b"), F.col("root").alias("near"))
-        near = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        new = _io.stored(step.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("upper", "root")).alias("root")), "labels", light=True)
-        if new.where("was <> root").isEmpty():
-            return new.select("node", "root")
-        label = new.select("node", "root")
+    def run(batches):
+        for batch in batches:
+            many = batch.column("many")
+            n = batch.column("n").to_numpy()
+            off, flat = many.offsets.to_numpy(), many.flatten().to_numpy()
+            key = batch.column("key").flatten().to_numpy()
+            take = []
+            for i in range(batch.num_rows):
+                a, b = off[i], off[i + 1]
+                order = np.lexsort((key[a:b], flat[a:b])) + a
+                alone = n[i] - (b - a)  # shingles that no other text has come first, and need no place
+                take.append(order[: max(0, int(n[i] - np.ceil(similarity * n[i] - 1e-9)) + 1 - alone)])
+            size = [len(t) for t in take]
+            at = np.concatenate([np.zeros(0, np.int64), *take])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), size))), pa.array(key[at])], names=["rep", "key"])
+
+    return run
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with their roots, of buckets that hold more than one class."""
-    m = members.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-    two = m.groupBy("no", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return m.join(two.select("no", "key"), ["no", "key"], "left_semi")
+def _unpacked(batches):
+    for batch in batches:
+        raw = [_numbers(x) for x in batch.column("shingles").to_pylist()]
+        n = [len(x) for x in raw]
+        rep = batch.column("rep").take(pa.array(np.repeat(np.arange(len(n)), n)))
+        flat = np.concatenate([np.zeros(0, "<u8"), *raw]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([rep, pa.array(flat)], names=["rep", "key"])
 
 
-def _ranked(members: DataFrame) -> DataFrame:
-    """no, key, rep, root, n, rank: ranks from 1 in each bucket; those first that meet most others in all open buckets."""
-    m = _io.stored(members.select("no", "key", "rep", "root", "n"), "buckets", light=True)
-    meets = m.groupBy("rep").agg(F.sum("n").alias("meets"))
-    rank = F.row_number().over(Window.partitionBy("no", "key").orderBy(F.desc("meets"), F.xxhash64("rep", "no"), "rep"))
-    return _io.stored(m.join(meets, "rep").withColumn("rank", rank).drop("meets"), "buckets", light=True)
+def _postings(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """key, rep: of the texts in open_ the shingles by which an exact prefix filter joins them. Any two of these texts that
+    are similar have a key in common: the rarest shingles, as many as a text may lack, and one more."""
+    s = shingles.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_unpacked, "rep long, key long")
+    s = _io.stored(s, "unpacked")
+    many = s.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    known = _io.spread(s, ["key"], many, "rep")
+    size = s.groupBy("rep").agg(F.count("*").alias("n"))
+    lists = known.groupBy("rep").agg(F.collect_list("many").alias("many"), F.collect_list("key").alias("key")).join(size, "rep")
+    return lists.select("rep", "n", "many", "key").mapInArrow(_rarest(similarity), "rep long, key long")
+
+
+def _buckets(members: DataFrame, count: int) -> DataFrame:
+    """key, rep, n (members) of the buckets with two members or more; count: rows, about."""
+    many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return _io.stored(_io.spread(members.select("key", "rep"), ["key"], many, "rep", count), "buckets")
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, rep, n, root: the members of buckets that hold more than one class."""
+    m = members.select("key", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    m = _io.stored(m, "members")
+    two = m.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return _io.stored(_io.spread(m, ["key"], two, "rep"), "members")
+
+
+def _pivots(members: DataFrame, meets: DataFrame, first: int, last: int) -> DataFrame:
+    """key, pivot, pivot_root: those ranked first to last in each bucket, the ones that meet most others being first. Ranked
+    in shares of a bucket, then among the shares' first."""
+    m = members.join(meets, "rep").withColumn("share", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(_io.shares(members.count()))))
+    order = [F.desc("meets"), F.xxhash64("rep"), F.col("rep")]
+    near = m.withColumn("rank", F.row_number().over(Window.partitionBy("key", "share").orderBy(*order))).where(F.col("rank") <= last)
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
+    return best.where(F.col("rank").between(first, last)).select("key", F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """node, root for the ends of links (a, b)."""
+    half = links.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return _io.stored(graph.components(half, dealt=True).select(F.col("id").alias("node"), F.col("component").alias("root")), "roots")
+
+
+def _linked(members: DataFrame, sizes: DataFrame, shingles: DataFrame, similarity: float, checked: DataFrame | None, turns: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs that were compared (a, b, yes), roots, and the open buckets (as _open) after so many turns; with None, when no
+    bucket holds two classes that haven't been compared. members: key, rep, n of buckets."""
+    checked = members.sparkSession.createDataFrame([], "a long, b long, yes boolean") if checked is None else checked
+    roots = _components(checked.where("yes"))
+    rows, turn = _open(members, roots), 0
+    meets = _io.stored(members.groupBy("rep").agg(F.sum("n").alias("meets")), "meets")
+    while not rows.isEmpty() and turn != turns:
+        pivots = _pivots(rows, meets, 2**turn, 2 ** (turn + 1) - 1)
+        met = _io.spread(rows, ["key"], pivots, "rep").where("root <> pivot_root")
+        # a pair of which each is the other's pivot goes once, from the lesser one
+        pairs = met.select(F.least("pivot", "rep").alias("lo"), F.greatest("pivot", "rep").alias("hi"), "pivot").groupBy("lo", "hi").agg(F.min("pivot").alias("a"))
+        pairs = pairs.join(checked.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
+        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+        x, y = (sizes.select(F.col("rep").alias(k), F.col("size").alias(f"{k}_size")) for k in "ab")
+        fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
+        pairs = _io.stored(_io.spread(pairs, ["a"], x, "b", rows.count(), lambda p: p.join(y, "b")).where(fits).select("a", "b"), "pairs")
+        more = _io.stored(_checked(pairs, shingles, similarity), "checked")
+        checked, turn = checked.unionByName(more), turn + 1
+        if not more.where("yes").isEmpty():
+            roots = _components(checked.where("yes"))
+        rows = _open(rows, roots).where(F.col("n") >= 2**turn)
+    return checked, roots, rows
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, class_id (the least doc_id of its class of near-duplicates), n_words.
+    """Per row: doc_id, class_id (the least doc_id of its class of near-duplicates), n_words, class_key (a number that tells
+    the class apart even where rows share a doc_id), same (hash of the text as it stands).
 
     Two texts are linked if the best alignment of their shingles of five words keeps m of them, with m / (n1 + n2 - m)
     at least ``similarity``; classes are the connected components. Texts with the same words are one class at once and
-    go on as one representative.
+    go on as one.
 
-    Candidates: texts that share a sketch of Order MinHash. Each sketch's bucket has a pivot (the least member under a
-    hash), to which the others are compared. Then, as long as a bucket holds members of two classes, more of its members
-    are pivots, linked or not: one, two, four and so on, those first that share most sketches with others (the middle of
-    a star does). A pivot meets the members that aren't of its class yet, so in the end every two members of a bucket are
-    compared or of one class. No pairs are made inside a class, but a bucket of texts that are all unlike is compared
-    pair by pair. Of 24 keys a pair with similarity 0.8 shares each with probability 0.41, so it meets in about ten buckets.
+    Candidates: texts that share a key of Order MinHash. In each key's bucket the others are compared to a pivot, the
+    member that meets most others (the middle of a star). Texts in buckets that still hold two classes go through an exact
+    prefix filter: any two similar ones of them share one of their rarest shingles, so each such shingle is a bucket
+    again, in which pivots (one, two, four and so on, linked or not) meet the members that aren't of their class until
+    all are compared or of one class. Of 24 keys a pair with similarity 0.8 shares each with probability 0.26, so 99 of
+    100 such pairs meet; more where similarity is higher. Buckets, pivots' partners and classes are joined in shares, so
+    no task gets one that holds a large part of all rows.
 
     Texts of fewer than five words link only to equal ones; texts without words are equal. Null text: empty. A null
-    doc_id takes part as the least. Rows that repeat are returned each. An empty table gives no rows.
+    doc_id is the class's only where no row has another. Rows that repeat are returned each. Rows with
+    one doc_id and different texts are different texts. An empty table gives no rows. Long texts go through in slices,
+    whole. Columns other than doc_id and text are not read.
     """
-    d = _io.small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = _io.stored(d.mapInArrow(_sketched(shingle), "doc_id long, whole long, n_words long, sketch array<long>"), "sketches")
-    reps = own.groupBy("whole").agg(F.min("doc_id").alias("rep"))
-    one = own.join(reps, "whole").where(f"doc_id = rep AND n_words >= {shingle}").select("rep", "sketch").dropDuplicates(["rep"])
-    keys = one.select("rep", F.posexplode("sketch").alias("no", "key"))
-    buckets = keys.groupBy("no", "key").agg(F.min_by("rep", F.xxhash64("rep")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = _io.stored(keys.join(buckets, ["no", "key"]), "buckets", light=True)
-    pairs = members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    need = members.select("rep").distinct()
-    # a doc_id may stand for several texts; the representative's is meant
-    texts = d.join(need, d["doc_id"] == need["rep"]).select("rep", "text")
-    shingles = _io.stored(texts.mapInArrow(_shingled(shingle), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
-    checked = _io.stored(_checked(pairs, shingles, similarity), "checked")
-    links, roots = checked.where("yes"), components(checked.where("yes"))
-    members, turn = _ranked(_open(members, roots)), 0
-    while not members.isEmpty():
-        pivots = members.where(F.col("rank").between(2**turn, 2 ** (turn + 1) - 1)).select("no", "key", F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"))
-        met = members.join(pivots, ["no", "key"]).where("root <> pivot_root")
-        pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = _io.stored(_checked(pairs, shingles, similarity), "checked")
-        checked, turn = checked.unionByName(more), turn + 1
-        if not (new := more.where("yes")).isEmpty():
-            links = links.unionByName(new)
-            roots = components(links)
-        members = _open(members.drop("root"), roots).where(F.col("n") >= 2**turn)
-        members = _io.stored(members, "buckets", light=True)
-    roots = components(links)
-    out = own.select("doc_id", "whole", "n_words").join(reps, "whole").join(roots, F.col("rep") == F.col("node"), "left")
-    return out.select(F.when(F.col("doc_id") > -(2**63), F.col("doc_id")).alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), "n_words")
+    d = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = d.withColumn("same", F.xxhash64("text"))
+    own = _io.stored(d.mapInArrow(_sketched(shingle), "doc_id long, same long, whole long, n_words long, sketch array<long>"), "sketches")
+    texts = _io.stored(own.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "texts")
+    buckets = _buckets(texts.select(F.col("whole").alias("rep"), F.explode("sketch").alias("key")), texts.count() * SKETCHES)
+    need = buckets.select("rep").distinct().join(texts.select(F.col("whole").alias("rep"), "same", (F.col("n_words") - shingle + 1).alias("size")), "rep")
+    need = _io.stored(need, "need")
+    said = d.groupBy("same").agg(F.first("text").alias("text")).join(need.select("same", "rep"), "same").select("rep", "text")
+    shingles = _io.stored(said.mapInArrow(_shingled(shingle), "rep long, shingles binary"), "shingles")
+    sizes = need.select("rep", "size")
+    checked, roots, rows = _linked(buckets, sizes, shingles, similarity, None, 1)
+    if not rows.isEmpty():
+        rare = _io.stored(_postings(rows, shingles, similarity), "rare")
+        _, roots, _ = _linked(_buckets(rare, rare.count()), sizes, shingles, similarity, checked, None)
+    least = own.groupBy("whole").agg(F.min("doc_id").alias("least"))
+    least = _io.stored(least.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("class_key"), "least"), "least")
+    of = least.groupBy("class_key").agg(F.min("least").alias("first"))
+    of = _io.spread(least.select("whole", "class_key"), ["class_key"], of, "whole").select("whole", "class_key", F.col("first").alias("class_id"))
+    out = _io.spread(own.select("doc_id", "same", "whole", "n_words"), ["whole"], _io.stored(of, "classes"), "doc_id")
+    return out.select("doc_id", "class_id", "n_words", "class_key", "same")
 
 
 def op7_order_minhash(spark, sf_dir: str) -> DataFrame:
-    return classes(_io.table(spark, sf_dir, "documents"))
+    return classes(_io.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_words")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from roadcut.llm import _seq, order_minhash as O
+from roadcut.llm import _io, _seq, order_minhash as O
 
 
 def words_hash(w):
@@ -90,17 +90,42 @@ def test_star(spark):
     assert got == {i: i // 5000 * 5000 for i, _ in rows}
 
 
-def test_components(spark):
-    rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
-    got = {r.node: r.root for r in O.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    parent = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        return x if parent[x] == x else find(parent[x])
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    assert got == {x: find(x) for x in parent}
+def test_shared_and_missing_ids(spark):
+    """Rows with one doc_id, or none, are told apart by their texts."""
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abc")
+    rows = [(5, a), (5, b), (2, b), (None, c), (None, a + " x"), (7, a), (None, None), (5, "")]
+    got = O.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = {(r.doc_id, r.same): r for r in got.collect()}
+    assert got.count() == len(rows)
+    by = {}
+    for r, (i, t) in zip(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS same").collect(), rows):
+        by.setdefault(key[r.doc_id, r.same].class_key, set()).add(((t or "")[:1], key[r.doc_id, r.same].class_id))
+    assert sorted(by.values(), key=str) == sorted([{("", 5)}, {("a", 5)}, {("b", 2)}, {("c", None)}], key=str)
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    """Texts that differ from each other in a few words up to many: any two similar ones share a posting."""
+    rng = random.Random(6)
+    w = [f"w{i}" for i in range(60)]
+    said = []
+    for i in range(80):
+        v = list(w)
+        for p in rng.sample(range(60), rng.randint(0, 5)):
+            v[p] = f"e{i}x{p}" if rng.random() < 0.7 else "same"
+        said.append(v[: rng.randint(50, 60)])
+    sh = [words_hash(v) for v in said]
+    flat = lambda g: (g >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    shingles = spark.createDataFrame([(i, bytearray(flat(g))) for i, g in enumerate(sh)], "rep long, shingles binary")
+    keys = {}
+    for r in O._postings(shingles.select("rep"), shingles, 0.8).collect():
+        keys.setdefault(r.rep, set()).add(r.key)
+    similar = [(i, j) for i in range(80) for j in range(i) if brute(sh[i], sh[j]) >= 0.8]
+    assert len(similar) > 50 and all(keys.get(i, set()) & keys.get(j, set()) for i, j in similar)
+
+
+def test_spread(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 2 else None, i) for i in range(100)], "k long, v long")
+    other = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k long, w string")
+    got = sorted(map(tuple, _io.spread(rows, ["k"], other, "v").select("k", "v", "w").collect()))
+    assert got == sorted(map(tuple, rows.join(other, "k").select("k", "v", "w").collect()))

@@ -80,13 +80,13 @@ def components(half: DataFrame, vertices: DataFrame | None = None, dealt: bool =
     """
     links = half.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src < dst")
     local = stored((links.repartition("src", "dst") if dealt else links.repartitionByRange("src")).mapInArrow(_forest, "id long, root long"), "local")
-    own = stored(local.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")), "own")
+    own = local.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     label = own.select("id", F.col("low").alias("component"))
     split = own.where("low <> high").select("id", "low")
     over = stored(local.join(split, "id").where("root <> low").select("low", "root").distinct(), "over")
     if not over.isEmpty():
         both = over.selectExpr("low AS src", "root AS dst").unionByName(over.selectExpr("root AS src", "low AS dst"))
-        top = _spread(stored(both, "over")).select(F.col("id").alias("component"), F.col("component").alias("top"))
+        top = _spread(both).select(F.col("id").alias("component"), F.col("component").alias("top"))
         label = label.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     if vertices is not None:
         alone = vertices.select(F.col("id").cast("long").alias("id")).join(own.select("id"), "id", "left_anti").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +19,9 @@ SHINGLE, SKETCHES, ORDERED = 5, 24, 2
 JOINED = (1, 5)
 #: Bytes of a shingle's hash that tell the shingles of compared texts apart.
 WIDTH = 6
+MEMBER = ("key", "rep", "size", "at", "n")
+#: Pivots that have met a bucket grow by this factor a turn.
+MORE = 8
 
 
 def labelled(h: np.ndarray, of: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,15 +177,15 @@ def _rarest(similarity: float):
             n = batch.column("n").to_numpy()
             off, flat = many.offsets.to_numpy(), many.flatten().to_numpy()
             key = batch.column("key").flatten().to_numpy()
-            take = []
+            take, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
                 a, b = off[i], off[i + 1]
                 order = np.lexsort((key[a:b], flat[a:b])) + a
                 alone = n[i] - (b - a)  # shingles that no other text has come first, and need no place
                 take.append(order[: max(0, int(n[i] - np.ceil(similarity * n[i] - 1e-9)) + 1 - alone)])
-            size = [len(t) for t in take]
-            at = np.concatenate([np.zeros(0, np.int64), *take])
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), size))), pa.array(key[at])], names=["rep", "key"])
+                at.append(alone + 1 + np.arange(len(take[-1])))
+            row = np.repeat(np.arange(batch.num_rows), [len(t) for t in take[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(key[np.concatenate(take)]), pa.array(n[row]), pa.array(np.concatenate(at))], names=["rep", "key", "size", "at"])
 
     return run
 
@@ -197,39 +200,45 @@ def _unpacked(batches):
 
 
 def _postings(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """key, rep: of the texts in open_ the shingles by which an exact prefix filter joins them. Any two of these texts that
-    are similar have a key in common: the rarest shingles, as many as a text may lack, and one more."""
+    """key, rep, size, at: of the texts in open_ the shingles by which an exact prefix filter joins them: the rarest ones, as
+    many as a text may lack and one more, with their places in that order. Any two of these texts that are similar have
+    one in common at places that _near allows."""
     s = shingles.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_unpacked, "rep long, key long")
     s = _io.stored(s, "unpacked")
     many = s.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     known = _io.spread(s, ["key"], many, "rep")
     size = s.groupBy("rep").agg(F.count("*").alias("n"))
     lists = known.groupBy("rep").agg(F.collect_list("many").alias("many"), F.collect_list("key").alias("key")).join(size, "rep")
-    return lists.select("rep", "n", "many", "key").mapInArrow(_rarest(similarity), "rep long, key long")
+    return lists.select("rep", "n", "many", "key").mapInArrow(_rarest(similarity), "rep long, key long, size long, at long")
 
 
 def _buckets(members: DataFrame, count: int) -> DataFrame:
-    """key, rep, n (members) of the buckets with two members or more; count: rows, about."""
+    """key, rep, size, at, n (members) of the buckets with two members or more; count: rows, about."""
     many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return _io.stored(_io.spread(members.select("key", "rep"), ["key"], many, "rep", count), "buckets")
+    return _io.stored(_io.spread(members.select("key", "rep", "size", "at"), ["key"], many, "rep", count), "buckets")
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, rep, n, root: the members of buckets that hold more than one class."""
-    m = members.select("key", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-    m = _io.stored(m, "members")
+def _near(similarity: float) -> Column:
+    """Whether rows of a bucket can be similar: what stands before and at the key's places leaves shingles enough."""
+    share = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("pivot_size")) - 1e-9)
+    return (F.col("at") + share <= F.col("size") + 1) & (F.col("pivot_at") + share <= F.col("pivot_size") + 1)
+
+
+def _open(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """key, rep, size, at, n, root: the members of buckets of ``least`` members or more that hold more than one class."""
+    m = members.where(F.col("n") >= least).select(*MEMBER).join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
     two = m.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return _io.stored(_io.spread(m, ["key"], two, "rep"), "members")
+    return _io.stored(_io.spread(m, ["key"], two, "rep", members.count()), "members")
 
 
 def _pivots(members: DataFrame, meets: DataFrame, first: int, last: int) -> DataFrame:
-    """key, pivot, pivot_root: those ranked first to last in each bucket, the ones that meet most others being first. Ranked
+    """key, pivot, pivot_root, pivot_size, pivot_at: those ranked first to last in each bucket, the ones that meet most others being first. Ranked
     in shares of a bucket, then among the shares' first."""
     m = members.join(meets, "rep").withColumn("share", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(_io.shares(members.count()))))
     order = [F.desc("meets"), F.xxhash64("rep"), F.col("rep")]
     near = m.withColumn("rank", F.row_number().over(Window.partitionBy("key", "share").orderBy(*order))).where(F.col("rank") <= last)
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
-    return best.where(F.col("rank").between(first, last)).select("key", F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"))
+    return best.where(F.col("rank").between(first, last)).select("key", F.col("rep").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in ("root", "size", "at")))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -238,29 +247,30 @@ def _components(links: DataFrame) -> DataFrame:
     return _io.stored(graph.components(half, dealt=True).select(F.col("id").alias("node"), F.col("component").alias("root")), "roots")
 
 
-def _linked(members: DataFrame, sizes: DataFrame, shingles: DataFrame, similarity: float, checked: DataFrame | None, turns: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked: DataFrame | None, turns: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs that were compared (a, b, yes), roots, and the open buckets (as _open) after so many turns; with None, when no
-    bucket holds two classes that haven't been compared. members: key, rep, n of buckets."""
-    checked = members.sparkSession.createDataFrame([], "a long, b long, yes boolean") if checked is None else checked
-    roots = _components(checked.where("yes"))
-    rows, turn = _open(members, roots), 0
+    bucket holds two classes that haven't been compared. members: as of _buckets."""
+    if checked is None:
+        checked, roots = members.sparkSession.createDataFrame([], "a long, b long, yes boolean"), None
+        rows = members.select(*MEMBER, F.col("rep").alias("root"))
+    else:
+        roots = _components(checked.where("yes"))
+        rows = _open(members, roots, 2)
+    first, last, turn = 1, 1, 0
     meets = _io.stored(members.groupBy("rep").agg(F.sum("n").alias("meets")), "meets")
     while not rows.isEmpty() and turn != turns:
-        pivots = _pivots(rows, meets, 2**turn, 2 ** (turn + 1) - 1)
-        met = _io.spread(rows, ["key"], pivots, "rep").where("root <> pivot_root")
+        pivots = _pivots(rows, meets, first, last)
+        met = _io.spread(rows, ["key"], pivots, "rep").where(_near(similarity) & (F.col("root") != F.col("pivot_root")))
         # a pair of which each is the other's pivot goes once, from the lesser one
         pairs = met.select(F.least("pivot", "rep").alias("lo"), F.greatest("pivot", "rep").alias("hi"), "pivot").groupBy("lo", "hi").agg(F.min("pivot").alias("a"))
         pairs = pairs.join(checked.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
-        x, y = (sizes.select(F.col("rep").alias(k), F.col("size").alias(f"{k}_size")) for k in "ab")
-        fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
-        pairs = _io.stored(_io.spread(pairs, ["a"], x, "b", rows.count(), lambda p: p.join(y, "b")).where(fits).select("a", "b"), "pairs")
+        pairs = _io.stored(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "pairs")
         more = _io.stored(_checked(pairs, shingles, similarity), "checked")
-        checked, turn = checked.unionByName(more), turn + 1
-        if not more.where("yes").isEmpty():
+        checked, first, last, turn = checked.unionByName(more), last + 1, MORE * last, turn + 1
+        if roots is None or not more.where("yes").isEmpty():
             roots = _components(checked.where("yes"))
-        rows = _open(rows, roots).where(F.col("n") >= 2**turn)
-    return checked, roots, rows
+        rows = _open(rows, roots, first)
+    return checked, _components(checked.where("yes")) if roots is None else roots, rows
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
@@ -274,7 +284,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     Candidates: texts that share a key of Order MinHash. In each key's bucket the others are compared to a pivot, the
     member that meets most others (the middle of a star). Texts in buckets that still hold two classes go through an exact
     prefix filter: any two similar ones of them share one of their rarest shingles, so each such shingle is a bucket
-    again, in which pivots (one, two, four and so on, linked or not) meet the members that aren't of their class until
+    again, in which pivots (one, eight, 64 and so on, linked or not) meet the members that aren't of their class until
     all are compared or of one class. Of 24 keys a pair with similarity 0.8 shares each with probability 0.26, so 99 of
     100 such pairs meet; more where similarity is higher. Buckets, pivots' partners and classes are joined in shares, so
     no task gets one that holds a large part of all rows.
@@ -288,16 +298,15 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     d = d.withColumn("same", F.xxhash64("text"))
     own = _io.stored(d.mapInArrow(_sketched(shingle), "doc_id long, same long, whole long, n_words long, sketch array<long>"), "sketches")
     texts = _io.stored(own.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "texts")
-    buckets = _buckets(texts.select(F.col("whole").alias("rep"), F.explode("sketch").alias("key")), texts.count() * SKETCHES)
-    need = buckets.select("rep").distinct().join(texts.select(F.col("whole").alias("rep"), "same", (F.col("n_words") - shingle + 1).alias("size")), "rep")
-    need = _io.stored(need, "need")
+    size = (F.col("n_words") - shingle + 1).alias("size")
+    buckets = _buckets(texts.select(F.col("whole").alias("rep"), size, F.lit(1).cast("long").alias("at"), F.explode("sketch").alias("key")), texts.count() * SKETCHES)
+    need = _io.stored(buckets.select("rep").distinct().join(texts.select(F.col("whole").alias("rep"), "same"), "rep"), "need")
     said = d.groupBy("same").agg(F.first("text").alias("text")).join(need.select("same", "rep"), "same").select("rep", "text")
     shingles = _io.stored(said.mapInArrow(_shingled(shingle), "rep long, shingles binary"), "shingles")
-    sizes = need.select("rep", "size")
-    checked, roots, rows = _linked(buckets, sizes, shingles, similarity, None, 1)
+    checked, roots, rows = _linked(buckets, shingles, similarity, None, 1)
     if not rows.isEmpty():
         rare = _io.stored(_postings(rows, shingles, similarity), "rare")
-        _, roots, _ = _linked(_buckets(rare, rare.count()), sizes, shingles, similarity, checked, None)
+        _, roots, _ = _linked(_buckets(rare, rare.count()), shingles, similarity, checked, None)
     least = own.groupBy("whole").agg(F.min("doc_id").alias("least"))
     least = _io.stored(least.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("class_key"), "least"), "least")
     of = least.groupBy("class_key").agg(F.min("least").alias("first"))

@@ -71,15 +71,15 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(node[root[i : i + (1 << 16)]])], names=["id", "root"])
 
 
-def components(half: DataFrame, vertices: DataFrame | None = None, dealt: bool = False) -> DataFrame:
+def components(half: DataFrame, vertices: DataFrame | None = None, dealt: int | None = None) -> DataFrame:
     """id, component (its least id); vertices without edges are components.
 
-    Each part of the edges (a range of ids; with ``dealt``, which suits vertices with very many edges, a random part) is
+    Each part of the edges (a range of ids; with ``dealt`` one of so many random parts, which suits vertices with very many edges) is
     contracted by itself to one root a component. What is left joins the roots of vertices that stand in several parts;
     labels spread over that with shortcuts, in rounds.
     """
     links = half.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src < dst")
-    local = stored((links.repartition("src", "dst") if dealt else links.repartitionByRange("src")).mapInArrow(_forest, "id long, root long"), "local")
+    local = stored((links.repartition(dealt) if dealt else links.repartitionByRange("src")).mapInArrow(_forest, "id long, root long"), "local")
     own = local.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     label = own.select("id", F.col("low").alias("component"))
     split = own.where("low <> high").select("id", "low")

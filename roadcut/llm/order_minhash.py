@@ -21,7 +21,9 @@ JOINED = (1, 5)
 WIDTH = 6
 MEMBER = ("key", "rep", "size", "at", "n")
 #: Pivots that have met a bucket grow by this factor a turn.
-MORE = 8
+MORE = 32
+#: Pairs that a task joins to classes, about.
+PART = 200_000
 
 
 def labelled(h: np.ndarray, of: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,10 +243,11 @@ def _pivots(members: DataFrame, meets: DataFrame, first: int, last: int) -> Data
     return best.where(F.col("rank").between(first, last)).select("key", F.col("rep").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in ("root", "size", "at")))
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """node, root for the ends of links (a, b)."""
-    half = links.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-    return _io.stored(graph.components(half, dealt=True).select(F.col("id").alias("node"), F.col("component").alias("root")), "roots")
+def _components(checked: DataFrame) -> DataFrame:
+    """node, root for the ends of the pairs that were found alike."""
+    half = checked.where("yes").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    parts = 1 + checked.count() // PART
+    return _io.stored(graph.components(half, dealt=parts).select(F.col("id").alias("node"), F.col("component").alias("root")), "roots")
 
 
 def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked: DataFrame | None, turns: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -254,7 +257,7 @@ def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked:
         checked, roots = members.sparkSession.createDataFrame([], "a long, b long, yes boolean"), None
         rows = members.select(*MEMBER, F.col("rep").alias("root"))
     else:
-        roots = _components(checked.where("yes"))
+        roots = _components(checked)
         rows = _open(members, roots, 2)
     first, last, turn = 1, 1, 0
     meets = _io.stored(members.groupBy("rep").agg(F.sum("n").alias("meets")), "meets")
@@ -265,12 +268,15 @@ def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked:
         pairs = met.select(F.least("pivot", "rep").alias("lo"), F.greatest("pivot", "rep").alias("hi"), "pivot").groupBy("lo", "hi").agg(F.min("pivot").alias("a"))
         pairs = pairs.join(checked.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
         pairs = _io.stored(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "pairs")
-        more = _io.stored(_checked(pairs, shingles, similarity), "checked")
-        checked, first, last, turn = checked.unionByName(more), last + 1, MORE * last, turn + 1
-        if roots is None or not more.where("yes").isEmpty():
-            roots = _components(checked.where("yes"))
+        first, last, turn = last + 1, MORE * last, turn + 1
+        found = False
+        if not pairs.isEmpty():
+            more = _io.stored(_checked(pairs, shingles, similarity), "checked")
+            checked, found = checked.unionByName(more), not more.where("yes").isEmpty()
+        if roots is None or found:
+            roots = _components(checked)
         rows = _open(rows, roots, first)
-    return checked, _components(checked.where("yes")) if roots is None else roots, rows
+    return checked, _components(checked) if roots is None else roots, rows
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
@@ -284,7 +290,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     Candidates: texts that share a key of Order MinHash. In each key's bucket the others are compared to a pivot, the
     member that meets most others (the middle of a star). Texts in buckets that still hold two classes go through an exact
     prefix filter: any two similar ones of them share one of their rarest shingles, so each such shingle is a bucket
-    again, in which pivots (one, eight, 64 and so on, linked or not) meet the members that aren't of their class until
+    again, in which pivots (one, 32 times as many and so on, linked or not) meet the members that aren't of their class until
     all are compared or of one class. Of 24 keys a pair with similarity 0.8 shares each with probability 0.26, so 99 of
     100 such pairs meet; more where similarity is higher. Buckets, pivots' partners and classes are joined in shares, so
     no task gets one that holds a large part of all rows.

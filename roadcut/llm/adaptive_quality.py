@@ -10,6 +10,8 @@ from roadcut.llm import _io
 
 #: Shares and lengths are held in millionths.
 ONE = 1_000_000
+#: Fences that are broadcast (some 100 bytes each); more are joined by their keys.
+FEW = 50_000
 _WHITE = "\\\\x20\\\\x09-\\\\x0D"
 #: Least and most value that a fence may take: the adaptive threshold moves between them.
 FLOOR = {"sym": ONE // 10, "dup": ONE // 2}
@@ -90,9 +92,14 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with their columns. Measures are taken twice rather than written with texts."""
-    f = fences(_base(measures(docs.select("text", "lang", "source"))))
-    return _joined(_base(measures(docs)), f).where("q_kept").select(*docs.columns)
+    """The rows of docs that ``judge`` keeps, with their columns, whatever their names. Rows and measures are written once; the
+    fences, a row for each language and source, go to the rows as long as there are few of them."""
+    m = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
+    m = _io.stored(_base(measures(m)).drop("text"), "measures")
+    f = _io.stored(fences(m), "fences")
+    if f.count() <= FEW:
+        f = F.broadcast(f)
+    return _joined(m, f).where("q_kept").select("row.*")
 
 
 def op9_adaptive_quality(spark, sf_dir: str) -> DataFrame:

@@ -187,16 +187,18 @@ def scan(docs: DataFrame, least: float = 10.0, redact: str | None = None, keep:
     commas, end exclusive); and, with ``redact``, clean_text: the text with that mark in place of each finding.
 
     Null text: empty, no findings. Texts are scanned whole. Rows that repeat are reported each; an empty table gives no
-    rows. ``keep``: columns to carry along; others are not read.
+    rows. ``keep``: columns to carry along, but those named like a result, which gives way to the result; others are not
+    read.
     """
-    kept = [*dict.fromkeys(keep)]
-    d = _io.small_batches(docs).select(*kept, F.coalesce("text", F.lit("")).alias("scan_text"))
     names = ["n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"] + ["clean_text"] * (redact is not None)
+    kept = [k for k in dict.fromkeys(keep) if k not in names]
+    source = "_".join(["text", *kept])  # no column's name
+    d = _io.small_batches(docs).select(*kept, F.coalesce("text", F.lit("")).alias(source))
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
         for batch in batches:
-            text = batch.column("scan_text")
+            text = batch.column(source)
             data, off = _io.text_bytes(text)
             runs = _long_hex(data, off)
             rows = []

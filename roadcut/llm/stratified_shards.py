@@ -17,7 +17,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 17, stratum: str =
     """Puts every row into one of the shards, whose row counts differ by one at most and whose mixtures of the stratum
     match the corpus's.
 
-    Rows of a stratum are shuffled by a seeded hash of doc_id; row r of n gets the fractional rank (r + 1/2) / n. All
+    Rows of a stratum are shuffled by a seeded hash of doc_id and text, so that rows without an id don't fall together; row r of n gets the fractional rank (r + 1/2) / n. All
     rows are sorted by fractional rank and cut into equal shards. Neither rank needs a stratum in one task: rows fall
     into buckets by hash (or by fractional rank), bucket counts are summed up, and rows are ranked inside buckets.
 
@@ -28,7 +28,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 17, stratum: str =
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(_RANGE)).alias("draw"),
+        F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.crc32(text)), F.lit(_RANGE)).alias("draw"),
     )
     rows = _io.stored(rows, "sizes")
     total = rows.count()

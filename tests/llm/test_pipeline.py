@@ -28,3 +28,22 @@ def test_near_duplicates_compares_rows_without_or_with_one_id(spark):
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, c), (9, d)]
     got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
+
+
+def test_columns_may_have_any_names(spark):
+    """Columns named like the stages' own, in any case of null, come through as they were."""
+    names = ["spans", "clean_text", "scan_text", "n_assign", "base_sha256", "q_words", "q_base", "q1", "sym_most", "id", "same", "row", "class_key", "one", "p_id", "none", "kept0", "once"]
+    rng = random.Random(3)
+    rows = []
+    for i in range(30):
+        text = " ".join(f"word{rng.randrange(10**4)}" for _ in range(60)) + ("\npassword: hunter2xyz\n" if i % 7 == 0 else "")
+        rows.append((i if i % 5 else None, text if i != 4 else None, "en", "a" if i % 2 else None, 99, *(f"{c}{i}" for c in names)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for stage in (P.quality, P.near_duplicates, P.secrets):
+        out = stage(spark, df, "")
+        assert out.columns == df.columns
+        got = sorted(tuple(r[c] for c in names) for r in out.collect())
+        assert got and set(got) <= {r[5:] for r in rows}
+        assert stage is P.quality or len(got) == 30
+    clean = {r.spans: r for r in P.secrets(spark, df, "").collect()}
+    assert clean["spans4"].text is None and clean["spans7"].text.endswith("\n[secret]\n") and clean["spans7"].n_chars == len(clean["spans7"].text) and clean["spans8"].n_chars == 99

@@ -83,7 +83,7 @@ def components(half: DataFrame, vertices: DataFrame | None = None, dealt: int |
     own = local.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     label = own.select("id", F.col("low").alias("component"))
     split = own.where("low <> high").select("id", "low")
-    over = stored(local.join(split, "id").where("root <> low").select("low", "root").distinct(), "over")
+    over = stored(local.join(split, "id").where("root <> low").select("low", "root").distinct(), "over", local.count())
     if not over.isEmpty():
         both = over.selectExpr("low AS src", "root AS dst").unionByName(over.selectExpr("root AS src", "low AS dst"))
         top = _spread(both).select(F.col("id").alias("component"), F.col("component").alias("top"))

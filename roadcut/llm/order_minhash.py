@@ -24,6 +24,8 @@ MEMBER = ("key", "rep", "size", "at", "n")
 MORE = 32
 #: Pairs that a task joins to classes, about.
 PART = 200_000
+#: Texts or pairs of texts that a task works on at least.
+HEAVY = 1000
 
 
 def labelled(h: np.ndarray, of: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +208,7 @@ def _postings(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     many as a text may lack and one more, with their places in that order. Any two of these texts that are similar have
     one in common at places that _near allows."""
     s = shingles.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_unpacked, "rep long, key long")
-    s = _io.stored(s, "unpacked")
+    s = _io.stored(s, "unpacked", shingles.count(), HEAVY)
     many = s.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     known = _io.spread(s, ["key"], many, "rep")
     size = s.groupBy("rep").agg(F.count("*").alias("n"))
@@ -214,10 +216,10 @@ def _postings(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     return lists.select("rep", "n", "many", "key").mapInArrow(_rarest(similarity), "rep long, key long, size long, at long")
 
 
-def _buckets(members: DataFrame, count: int) -> DataFrame:
-    """key, rep, size, at, n (members) of the buckets with two members or more; count: rows, about."""
+def _buckets(members: DataFrame, count: int, left: int) -> DataFrame:
+    """key, rep, size, at, n (members) of the buckets with two members or more; count: rows, left: of these, about."""
     many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return _io.stored(_io.spread(members.select("key", "rep", "size", "at"), ["key"], many, "rep", count), "buckets")
+    return _io.stored(_io.spread(members.select("key", "rep", "size", "at"), ["key"], many, "rep", count), "buckets", left)
 
 
 def _near(similarity: float) -> Column:
@@ -228,9 +230,10 @@ def _near(similarity: float) -> Column:
 
 def _open(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """key, rep, size, at, n, root: the members of buckets of ``least`` members or more that hold more than one class."""
+    count = members.count()
     m = members.where(F.col("n") >= least).select(*MEMBER).join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
     two = m.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return _io.stored(_io.spread(m, ["key"], two, "rep", members.count()), "members")
+    return _io.stored(_io.spread(m, ["key"], two, "rep", count), "members", count)
 
 
 def _pivots(members: DataFrame, meets: DataFrame, first: int, last: int) -> DataFrame:
@@ -246,8 +249,8 @@ def _pivots(members: DataFrame, meets: DataFrame, first: int, last: int) -> Data
 def _components(checked: DataFrame) -> DataFrame:
     """node, root for the ends of the pairs that were found alike."""
     half = checked.where("yes").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-    parts = 1 + checked.count() // PART
-    return _io.stored(graph.components(half, dealt=parts).select(F.col("id").alias("node"), F.col("component").alias("root")), "roots")
+    count = checked.count()
+    return _io.stored(graph.components(half, dealt=1 + count // PART).select(F.col("id").alias("node"), F.col("component").alias("root")), "roots", count)
 
 
 def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked: DataFrame | None, turns: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -260,18 +263,18 @@ def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked:
         roots = _components(checked)
         rows = _open(members, roots, 2)
     first, last, turn = 1, 1, 0
-    meets = _io.stored(members.groupBy("rep").agg(F.sum("n").alias("meets")), "meets")
+    meets = _io.stored(members.groupBy("rep").agg(F.sum("n").alias("meets")), "meets", members.count())
     while not rows.isEmpty() and turn != turns:
         pivots = _pivots(rows, meets, first, last)
         met = _io.spread(rows, ["key"], pivots, "rep").where(_near(similarity) & (F.col("root") != F.col("pivot_root")))
         # a pair of which each is the other's pivot goes once, from the lesser one
         pairs = met.select(F.least("pivot", "rep").alias("lo"), F.greatest("pivot", "rep").alias("hi"), "pivot").groupBy("lo", "hi").agg(F.min("pivot").alias("a"))
         pairs = pairs.join(checked.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
-        pairs = _io.stored(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "pairs")
+        pairs = _io.stored(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "pairs", rows.count())
         first, last, turn = last + 1, MORE * last, turn + 1
         found = False
-        if not pairs.isEmpty():
-            more = _io.stored(_checked(pairs, shingles, similarity), "checked")
+        if count := pairs.count():
+            more = _io.stored(_checked(pairs, shingles, similarity), "checked", count, HEAVY)
             checked, found = checked.unionByName(more), not more.where("yes").isEmpty()
         if roots is None or found:
             roots = _components(checked)
@@ -303,21 +306,22 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     d = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("same", F.xxhash64("text"))
     own = _io.stored(d.mapInArrow(_sketched(shingle), "doc_id long, same long, whole long, n_words long, sketch array<long>"), "sketches")
-    texts = _io.stored(own.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "texts")
+    texts = _io.stored(own.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "texts", own.count())
+    count = texts.count()
     size = (F.col("n_words") - shingle + 1).alias("size")
-    buckets = _buckets(texts.select(F.col("whole").alias("rep"), size, F.lit(1).cast("long").alias("at"), F.explode("sketch").alias("key")), texts.count() * SKETCHES)
-    need = _io.stored(buckets.select("rep").distinct().join(texts.select(F.col("whole").alias("rep"), "same"), "rep"), "need")
+    buckets = _buckets(texts.select(F.col("whole").alias("rep"), size, F.lit(1).cast("long").alias("at"), F.explode("sketch").alias("key")), count * SKETCHES, count)
+    need = _io.stored(buckets.select("rep").distinct().join(texts.select(F.col("whole").alias("rep"), "same"), "rep"), "need", count)
     said = d.groupBy("same").agg(F.first("text").alias("text")).join(need.select("same", "rep"), "same").select("rep", "text")
-    shingles = _io.stored(said.mapInArrow(_shingled(shingle), "rep long, shingles binary"), "shingles")
+    shingles = _io.stored(said.mapInArrow(_shingled(shingle), "rep long, shingles binary"), "shingles", need.count(), HEAVY)
     checked, roots, rows = _linked(buckets, shingles, similarity, None, 1)
     if not rows.isEmpty():
-        rare = _io.stored(_postings(rows, shingles, similarity), "rare")
-        _, roots, _ = _linked(_buckets(rare, rare.count()), shingles, similarity, checked, None)
+        rare = _io.stored(_postings(rows, shingles, similarity), "rare", rows.count())
+        _, roots, _ = _linked(_buckets(rare, rare.count(), rare.count()), shingles, similarity, checked, None)
     least = own.groupBy("whole").agg(F.min("doc_id").alias("least"))
-    least = _io.stored(least.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("class_key"), "least"), "least")
+    least = _io.stored(least.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("class_key"), "least"), "least", count)
     of = least.groupBy("class_key").agg(F.min("least").alias("first"))
     of = _io.spread(least.select("whole", "class_key"), ["class_key"], of, "whole").select("whole", "class_key", F.col("first").alias("class_id"))
-    out = _io.spread(own.select("doc_id", "same", "whole", "n_words"), ["whole"], _io.stored(of, "classes"), "doc_id")
+    out = _io.spread(own.select("doc_id", "same", "whole", "n_words"), ["whole"], _io.stored(of, "classes", count), "doc_id")
     return out.select("doc_id", "class_id", "n_words", "class_key", "same")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,42 +120,91 @@ def largest_component(half: DataFrame) -> DataFrame:
 
 
 def reachable(half: DataFrame, start: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """id of what can be reached from start without entering blocked (start itself counts unless blocked)."""
+    """id of what can be reached from start without entering blocked (start itself counts unless blocked): the components
+    that hold a start once blocked is gone. half: both directions of every edge."""
     h = half if blocked is None else without_vertices(half, blocked)
-    front = start.select("id").distinct()
-    front = front if blocked is None else front.join(blocked.select("id"), "id", "left_anti")
-    seen = front = stored(front, "front")
-    while not front.isEmpty():
-        front = stored(h.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
-        seen = stored(seen.unionByName(front), "seen")
-    return seen
+    first = start.select("id").distinct()
+    first = first if blocked is None else first.join(blocked.select("id"), "id", "left_anti")
+    c = stored(components(h, first), "parts")
+    return c.join(c.join(first, "id", "left_semi").select("component").distinct(), "component", "left_semi").select("id")
+
+
+def _settle(key, edges: pa.Table, state: pa.Table) -> pa.Table:
+    """Shortest ways inside a block, from what has newly come in: kind 0, the block's vertices as far as they are known;
+    kind 1, what leaves to other blocks."""
+    near: dict[int, list] = {}
+    for s, d, w, to in zip(*(edges[c].to_pylist() for c in ("src", "dst", "length", "to"))):
+        near.setdefault(s, []).append((d, w, to))
+    best: dict[int, tuple] = {}
+    heap = []
+    for fresh, v, d, p in sorted(zip(*(state[c].to_pylist() for c in ("fresh", "id", "dist", "pred")))):
+        if v not in best or (d, p) < best[v]:
+            if fresh and (v not in best or d < best[v][0]):
+                heapq.heappush(heap, (d, v))
+            best[v] = (d, p)
+    own, out = key[0].as_py(), {}
+    while heap:
+        d, u = heapq.heappop(heap)
+        if d > best[u][0]:
+            continue
+        for v, w, to in near.get(u, ()):
+            new = (d + w, u)
+            if to != own:
+                if v not in out or new < out[v][:2]:
+                    out[v] = (*new, to)
+            elif v not in best or new[0] < best[v][0]:
+                best[v] = new
+                heapq.heappush(heap, (new[0], v))
+            elif new < best[v] and w > 0 and best[v][1] >= 0:
+                best[v] = new
+    rows = [(0, v, d, p, own) for v, (d, p) in best.items()] + [(1, v, d, p, to) for v, (d, p, to) in out.items()]
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "id", "dist", "pred", "block"), cols, (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int32()))})
 
 
 def shortest_paths(half: DataFrame, start: DataFrame) -> DataFrame:
-    """id, dist, pred (null at the start): from the nearest of start (id), by rounds of relaxation.
+    """id, dist, pred (null at the start): from the nearest of start (id). Of equally short ways the one over the least
+    vertex counts.
 
-    Each round only the vertices whose distance fell go on. Of equally short ways the one over the least vertex counts.
+    Edges lie in blocks of neighbouring ids. A round settles all blocks that something shorter has reached, each in a
+    worker, and passes on what leaves them; so there are as many rounds as a way crosses blocks, not as it has edges.
     """
-    best = stored(start.select("id").distinct().select("id", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")), "dist")
-    front = best
-    while not front.isEmpty():
-        step = half.join(front.select(F.col("id").alias("src"), "dist"), "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("length")).alias("dist"), F.col("src").alias("pred"))
-        step = step.groupBy("id").agg(F.min(F.struct("dist", "pred")).alias("new"))
-        both = best.join(step, "id", "full")
-        closer = "new IS NOT NULL AND (dist IS NULL OR new.dist < dist OR new.dist = dist AND pred IS NOT NULL AND new.pred < pred)"
-        both = stored(both.selectExpr("id", f"if({closer}, new.dist, dist) AS dist", f"if({closer}, new.pred, pred) AS pred", f"{closer} AS fell"), "dist")
-        best, front = both.select("id", "dist", "pred"), both.where("fell").select("id", "dist")
-    return best
+    h = half.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("length").cast("double").alias("length"))
+    h = stored(h.repartitionByRange("src").withColumn("block", F.spark_partition_id()), "blocks")
+    at = stored(h.groupBy(F.col("src").alias("id")).agg(F.min("block").alias("block")), "places")
+    h = stored(h.join(at.select(F.col("id").alias("dst"), F.col("block").alias("to")), "dst"), "blocks")
+    first = start.select(F.col("id").cast("long").alias("id")).distinct().join(at, "id", "left")
+    first = first.select("id", F.lit(0.0).alias("dist"), F.lit(-1).cast("long").alias("pred"), "block")
+    alone = first.where("block IS NULL").select("id", "dist", "pred")
+    new, known = stored(first.where("block IS NOT NULL"), "ways"), None
+    while not new.isEmpty():
+        state = new.withColumn("fresh", F.lit(True))
+        touched = new.select("block").distinct()
+        if known is not None:
+            state = state.unionByName(known.join(touched, "block", "left_semi").withColumn("fresh", F.lit(False)))
+        got = h.join(touched, "block", "left_semi").groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_settle, "kind int, id long, dist double, pred long, block int")
+        got = stored(got, "ways")
+        done = got.where("kind = 0").drop("kind")
+        known = done if known is None else stored(known.join(touched, "block", "left_anti").unionByName(done), "known")
+        new = got.where("kind = 1").groupBy("id", "block").agg(F.min(F.struct("dist", "pred")).alias("m")).select("id", "m.dist", "m.pred", "block")
+        old = known.select("id", F.struct("dist", "pred").alias("o"))
+        new = stored(new.join(old, "id", "left").where("o IS NULL OR dist < o.dist OR dist = o.dist AND o.pred >= 0 AND pred < o.pred").select("id", "dist", "pred", "block"), "ways")
+    out = alone if known is None else known.select("id", "dist", "pred").unionByName(alone)
+    return out.select("id", "dist", F.when(F.col("pred") >= 0, F.col("pred")).alias("pred"))
 
 
 def path_to(paths: DataFrame, target: DataFrame) -> DataFrame:
-    """target, pos (0 at the target), id: the way from each target back to its start."""
-    at = target.select(F.col("id").alias("target"), F.lit(0).alias("pos"), "id")
-    out = at
-    while not at.isEmpty():
-        at = stored(at.join(paths, "id").where("pred IS NOT NULL").select("target", (F.col("pos") + 1).alias("pos"), F.col("pred").alias("id")), "path")
-        out = out.unionByName(at)
-    return out
+    """target, pos (0 at the target), id: the way from each target back to its start. Known parts of the ways double each
+    round, by steps of twice the length."""
+    out = target.select(F.col("id").alias("target"), F.lit(0).alias("pos"), "id")
+    jump, step = paths.where("pred IS NOT NULL").select("id", F.col("pred").alias("to")), 1
+    while True:
+        more = stored(out.join(jump, "id").select("target", (F.col("pos") + step).alias("pos"), F.col("to").alias("id")), "path")
+        if more.isEmpty():
+            return out
+        out, step = stored(out.unionByName(more), "path"), 2 * step
+        far = jump.select(F.col("id").alias("to"), F.col("to").alias("to2"))
+        jump = stored(jump.join(far, "to").select("id", F.col("to2").alias("to")), "jumps")
 
 
 def parts_after_cut(half: DataFrame, cut: DataFrame) -> DataFrame:

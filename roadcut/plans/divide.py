@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roadcut.operators import graph, regions
 from roadcut.plans import kernels
+from roadcut.plans.planecut import Plane
 from roadcut.plans.store import stored
 
 #: Faces of a region that one worker takes; larger regions are first cut along clusters of faces. A worker goes on with
@@ -154,6 +155,24 @@ def inertial_flow(faces: DataFrame, dual: DataFrame, most: float, share: float =
         now = stored(now.join(heavy, "region", "left_anti").select("face", "region").unionByName(split), "assignment")
 
 
+def cuts(faces: DataFrame, dual: DataFrame, traced: DataFrame, assignment: DataFrame, share: float = 0.25) -> DataFrame:
+    """Of each region, between the sets grown from its ends: region, flow (the greatest flow), least and balanced (lengths of
+    the least and of the balanced way through the plane graph; null where the sets touch no common rim), apart (whether
+    both ways separate the sets)."""
+
+    def run(key, t):
+        nodes, rows, plane_rows = _inside(t)
+        adj, plane = kernels.adjacency(rows), Plane(plane_rows)
+        _, source, sink = kernels.ends(nodes, adj, share)
+        flow, _ = kernels.max_flow(adj, source, sink)
+        two = [plane.least_cut(source, sink), plane.balanced_cut(source, sink, {n[0]: n[3] for n in nodes})]
+        apart = all(c is None or source <= c[1] and not c[1] & sink for c in two)
+        return pa.table({"region": [key[0].as_py()], "flow": [flow], **{k: pa.array([c[0] if c else None], pa.float64()) for k, c in zip(("least", "balanced"), two)}, "apart": [apart]})
+
+    work = assignment.select("face", "region").join(shapes(faces, dual, traced), "face")
+    return work.groupBy("region").applyInArrow(run, "region long, flow double, least double, balanced double, apart boolean")
+
+
 def _grown(kernel: Callable, faces: DataFrame, dual: DataFrame) -> DataFrame:
     start = _start(faces, dual)
     count = start.select("region").distinct().count()

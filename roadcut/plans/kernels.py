@@ -39,14 +39,14 @@ def connected(nodes: set[int], adj: Adjacency) -> list[set[int]]:
 
 
 def dijkstra(adj: Adjacency, sources, blocked=frozenset()) -> tuple[dict[int, float], dict[int, int]]:
-    dist, pred, heap = {}, {}, [(0.0, s, None) for s in sorted(sources)]
+    dist, pred, heap = {}, {}, [(0.0, s, -1) for s in sorted(sources)]
     heapq.heapify(heap)
     while heap:
         d, u, p = heapq.heappop(heap)
         if u in dist:
             continue
         dist[u] = d
-        if p is not None:
+        if p >= 0:
             pred[u] = p
         for v, w in adj.get(u, {}).items():
             if v not in dist and v not in blocked:
@@ -137,13 +137,29 @@ def bisect(nodes: list[tuple[int, float, float, float]], rows, share: float, pla
 
     nodes: face, cx, cy, weight. Returns part 0 or 1 of each face and the cut's length. With the region's plane graph the
     cut is a short and even one; without it, or where the sets touch no common rim, it is the least one by maximum
-    flow. Falls back to halves by projection if a side would be empty. A start that an earlier one has reached in vain isn't
-    tried again.
+    flow. Falls back to halves by projection if a side would be empty.
     """
+    weight, adj = {f: w for f, _, _, w in nodes}, adjacency(rows)
+    order, source, sink = ends(nodes, adj, share)
+    n = len(order)
+    got = plane.balanced_cut(source, sink, weight) if plane else None
+    if got is None or got[1] & sink:
+        got = max_flow(adj, source, sink)
+    value, side = got
+    part = {f: 0 if f in side else 1 for f in order}
+    if len(set(part.values())) < 2:
+        half = set(order[: n // 2])
+        part = {f: 0 if f in half else 1 for f in order}
+        value = sum(w for a, row in adj.items() for b, w in row.items() if part[a] < part[b])
+    return part, value
+
+
+def ends(nodes: list[tuple[int, float, float, float]], adj: Adjacency, share: float) -> tuple[list[int], set[int], set[int]]:
+    """A region's faces in order along its longest direction, and the sets grown from both ends to a share of its weight.
+    A start that an earlier one has reached in vain isn't tried again."""
     from roadcut.operators.regions import LINES
 
     weight = {f: w for f, _, _, w in nodes}
-    adj = adjacency(rows)
     best, order = -1.0, []
     for k, vertical in LINES:
         p = {f: y if vertical else (x + k * y) / (1 + k * k) for f, x, y, _ in nodes}
@@ -173,17 +189,7 @@ def bisect(nodes: list[tuple[int, float, float, float]], rows, share: float, pla
     sink = choose(range(n - 1, -1, -1), source)
     if not sink:
         source, sink = {order[0]}, {order[-1]}
-    source, sink = pockets(set(order), adj, source, sink)
-    got = plane.balanced_cut(source, sink, weight) if plane else None
-    if got is None or got[1] & sink:
-        got = max_flow(adj, source, sink)
-    value, side = got
-    part = {f: 0 if f in side else 1 for f in order}
-    if len(set(part.values())) < 2:
-        half = set(order[: n // 2])
-        part = {f: 0 if f in half else 1 for f in order}
-        value = sum(w for a, row in adj.items() for b, w in row.items() if part[a] < part[b])
-    return part, value
+    return order, *pockets(set(order), adj, source, sink)
 
 
 def divided(nodes: list[tuple[int, float, float, float]], rows, plane_rows, most: float, share: float, whole: int) -> dict[int, int]:

@@ -168,7 +168,8 @@ class Plane:
         The shortest way from the source to the sink is crossed by every cut. Each of its vertices is a place to cross it:
         from there shortest ways run to the leaves on both stretches, on its own side of the way each; of all pairs of
         leaves that with the least sum of half its length and half the difference from an even cut counts. The vertex
-        is sought by halving: towards the sink while the source's side is the lighter one.
+        is sought by halving: towards the sink while the source's side is the lighter one. Where no way leads from the
+        source to the sink but along the rim, it is the least cut.
         """
         fr = self.frame(source, sink)
         if fr is None:
@@ -178,13 +179,13 @@ class Plane:
         dist, pred = ways(fr.links, sorted(v for v in rim if v in fr.links) or sorted(rim & goal))
         ends = [(dist[v], v) for v in goal if v in dist]
         if not ends:
-            return None
+            return self.least_cut(source, sink)
         way = back(pred, min(ends)[1])[::-1]
         wall = edges_of(way)
         free = set(self.ring) - source - sink
         sides = [self._beside(faces, wall, free) for faces in (fr.one_faces, fr.two_faces)]
         if sides[0] & sides[1]:
-            return None
+            return self.least_cut(source, sink)
         total = sum(weight.values())
         best, low, high = None, 0, len(way) - 1
         while low <= high:
@@ -197,7 +198,7 @@ class Plane:
             else:
                 high = at - 1
         if best is None:
-            return None
+            return self.least_cut(source, sink)
         return self.crossed(best[2]), self.flood(source, best[2])
 
     def _beside(self, faces: list[int], wall: set[Edge], free: set[int]) -> set[int]:

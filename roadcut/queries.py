@@ -188,29 +188,29 @@ def largest_component(spark, d) -> DataFrame:
     return graph.largest_component(_strips(spark, d))
 
 
-@query(_GRAPH + "SELECT id FROM v WHERE id NOT IN (SELECT u FROM e WHERE e.v = u + 40 UNION SELECT v FROM e WHERE e.v = u + 40) OR gy >= 0")
+@query(_GRAPH + "SELECT DISTINCT src AS id FROM h WHERE src % 7 <> 0 AND dst % 7 <> 0")
 def linked_vertices(spark, d) -> DataFrame:
-    return graph.linked_vertices(T.vertices(spark, d), _half(spark, d)).select("id")
+    v = T.vertices(spark, d)
+    return graph.linked_vertices(v, graph.without_vertices(_half(spark, d), v.where("id % 7 = 0"))).select("id")
 
 
-@query(f"WITH {_V} SELECT id, (gx + gy)::DOUBLE AS dist, CASE WHEN id = 0 THEN -1 WHEN gy > 0 THEN id - 40 ELSE id - 1 END AS pred FROM v WHERE gx < 8 AND gy < 5")
+@query(f"WITH {_V} SELECT id, (gx + gy)::DOUBLE AS dist, CASE WHEN id = 0 THEN -1 WHEN gy > 0 THEN id - 40 ELSE id - 1 END AS pred FROM v")
 def sssp_lattice(spark, d) -> DataFrame:
-    h = graph.induced(_half(spark, d), T.vertices(spark, d).where("gx < 8 AND gy < 5")).withColumn("length", F.lit(1.0))
+    h = _half(spark, d).withColumn("length", F.lit(1.0))
     return graph.shortest_paths(h, T.vertices(spark, d).where("id = 0")).select("id", "dist", F.coalesce("pred", F.lit(-1)).cast("long").alias("pred"))
 
 
-@query(f"WITH {_V}, t AS (SELECT max(id) AS t FROM v WHERE gx < 8 AND gy < 5), g AS (SELECT t % 40 AS gx, t // 40 AS gy, t FROM t), n AS (SELECT t AS target, unnest(range(0, gx + gy + 1)) AS pos, gx, gy FROM g) SELECT target, pos::INTEGER AS pos, if(pos <= gy, target - 40 * pos, gx - (pos - gy)) AS id FROM n")
+@query(f"WITH {_V}, t AS (SELECT max(id) AS t FROM v), g AS (SELECT t % 40 AS gx, t // 40 AS gy, t FROM t), n AS (SELECT t AS target, unnest(range(0, gx + gy + 1)) AS pos, gx, gy FROM g) SELECT target, pos::INTEGER AS pos, if(pos <= gy, target - 40 * pos, gx - (pos - gy)) AS id FROM n")
 def path_reconstruct(spark, d) -> DataFrame:
-    v = T.vertices(spark, d).where("gx < 8 AND gy < 5")
-    h = graph.induced(_half(spark, d), v).withColumn("length", F.lit(1.0))
-    paths = graph.shortest_paths(h, v.where("id = 0"))
+    v = T.vertices(spark, d)
+    paths = graph.shortest_paths(_half(spark, d).withColumn("length", F.lit(1.0)), v.where("id = 0"))
     return graph.path_to(paths, v.agg(F.max("id").alias("id")))
 
 
-@query(f"WITH {_V} SELECT id FROM v WHERE gx < 6 AND gy < 5")
+@query(f"WITH {_V} SELECT id FROM v WHERE gx < 6")
 def reachability_blocked(spark, d) -> DataFrame:
     v = T.vertices(spark, d)
-    return graph.reachable(graph.induced(_half(spark, d), v.where("gy < 5")), v.where("id = 0"), v.where("gx = 6"))
+    return graph.reachable(_half(spark, d), v.where("id = 0"), v.where("gx = 6"))
 
 
 # Angular order, faces, dual
@@ -323,10 +323,10 @@ def cut_components(spark, d) -> DataFrame:
     return graph.parts_after_cut(_half(spark, d), T.edges(spark, d).where("u % 40 = 19 AND v = u + 1"))
 
 
-@query(f"WITH {_V} SELECT id, if(gx <= 3, 1, 2)::BIGINT AS side FROM v WHERE gy < 5 AND gx < 10 AND (gx <= 3 OR gx >= 6)")
+@query(f"WITH {_V} SELECT id, if(gx <= 3, 1, 2)::BIGINT AS side FROM v WHERE gx <= 3 OR gx >= 6")
 def expand_pockets(spark, d) -> DataFrame:
-    v = T.vertices(spark, d).where("gy < 5 AND gx < 10")
-    return graph.expand_pockets(graph.induced(_half(spark, d), v), v.where("gx = 3"), v.where("gx = 6"))
+    v = T.vertices(spark, d)
+    return graph.expand_pockets(_half(spark, d), v.where("gx = 3"), v.where("gx = 6"))
 
 
 @query(_GRAPH + """, s AS (SELECT u, e.v, a.x AS x1, a.y AS y1, (b.x - a.x)::DOUBLE AS dx, (b.y - a.y)::DOUBLE AS dy FROM e JOIN v a ON a.id = u JOIN v b ON b.id = e.v),
@@ -536,6 +536,51 @@ def rebalance(spark, d) -> DataFrame:
     return divide.rebalance(w, dual, a, MOST)
 
 
+def _holds(kind: str):
+    """What holds of a division: a row of SQL that says so for all faces."""
+    return query(_ALL + f"SELECT '{kind}' AS division, count(*) AS faces, sum(weight)::DOUBLE AS weight, true AS light, true AS whole FROM w")
+
+
+def _checked(kind: str, w: DataFrame, dual: DataFrame, a: DataFrame) -> DataFrame:
+    """One row: the faces that have a region and their weight, whether no region is too heavy, whether all are connected."""
+    a = stored(a, "division")
+    heaviest = regions.region_weights(w, a).agg(F.max("weight").alias("heaviest"))
+    inside = dual.join(a.withColumnRenamed("face", "f1"), "f1").join(a.selectExpr("face AS f2", "region AS r2"), "f2").where("region = r2")
+    parts = graph.components(inside.selectExpr("f1 AS src", "f2 AS dst", "length"), a.selectExpr("face AS id")).agg(F.countDistinct("component").alias("parts"))
+    n = a.join(w.select("face", "weight"), "face").agg(F.countDistinct("face").alias("faces"), F.sum("weight").alias("weight"), F.countDistinct("region").alias("regions"))
+    return n.crossJoin(heaviest).crossJoin(parts).select(F.lit(kind).alias("division"), "faces", "weight", (F.col("heaviest") <= MOST).alias("light"), (F.col("parts") == F.col("regions")).alias("whole"))  # one row each
+
+
+@_holds("IF")
+def inertial_flow_holds(spark, d) -> DataFrame:
+    return _checked("IF", *_divided(spark, d, "IF"))
+
+
+@_holds("BUS")
+def bubble_sequential_holds(spark, d) -> DataFrame:
+    return _checked("BUS", *_divided(spark, d, "BUS"))
+
+
+@_holds("BUP")
+def bubble_parallel_holds(spark, d) -> DataFrame:
+    return _checked("BUP", *_divided(spark, d, "BUP"))
+
+
+@_holds("IF, rebalanced")
+def rebalance_holds(spark, d) -> DataFrame:
+    w, dual, a = _divided(spark, d, "IF")
+    return _checked("IF, rebalanced", w, dual, divide.rebalance(w, dual, a, MOST))
+
+
+@query(_ALL + "SELECT DISTINCT region, true AS same, true AS fits FROM w")
+def planar_cut(spark, d) -> DataFrame:
+    """Of each region: whether the least cut as a way through the plane graph is as long as that by maximum flow, and
+    whether the balanced cut is no shorter and keeps source and sink apart."""
+    t, _, w, dual, a = _weighed(spark, d)
+    c = divide.cuts(w, dual, t, a)
+    return c.select("region", (F.abs(F.col("least") - F.col("flow")) < 1e-6).alias("same"), (F.col("apart") & (F.col("balanced") >= F.col("least") - 1e-6)).alias("fits"))
+
+
 @query()
 def planarized_city(spark, d) -> DataFrame:
     """Faces of the lattice with crossing diagonals, planarized."""

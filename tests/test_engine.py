@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from roadcut.functions import geometry as G
 from roadcut.operators import faces as D
 from roadcut.operators import graph, planar, regions
-from roadcut.plans import city, divide, kernels
+from roadcut.plans import city, divide, kernels, planecut
 from roadcut.sources import text
 from tests import fixtures
 
@@ -32,21 +33,22 @@ def canonical(ring):
 
 
 def test_read_graph(spark, tmp_path):
-    v, h = read(spark, tmp_path, fixtures.F1.replace(" 10 10 ", " 10,0 10.0\n"))
-    assert v.count() == 8 and h.count() == 24
-    v, h = read(spark, tmp_path, fixtures.F3)
+    v, h = read(spark, tmp_path, fixtures.HUB.replace(" 12 8 ", " 12,0 8.0\n"))
+    assert v.count() == 8 and h.count() == 16
+    v, h = read(spark, tmp_path, fixtures.APART)
     assert graph.components(h).select("component").distinct().count() == 2
     v, h = read(spark, tmp_path, "0\n")
     assert v.count() == 0 and h.count() == 0
 
 
 @pytest.mark.parametrize(("raw", "rings", "outer"), [
-    (fixtures.F0, {(1, 2, 3, 4): -400.0}, 400.0),
-    (fixtures.F1, {(1, 6, 7, 6, 5, 2, 0): -75.0, (2, 3, 0): -100.0, (3, 4, 0): -100.0, (4, 1, 0): -100.0, (5, 6, 1): -25.0}, 400.0),
-    (fixtures.F2, {(1, 2, 8, 5, 6, 3, 1, 0): -340.5, (3, 4, 1): -7.5, (4, 7, 2, 1): -52.0}, 400.0),
+    (fixtures.BOX, {(11, 12, 13, 14): -15.0}, 15.0),
+    (fixtures.HUB, {(1, 2, 9): -16.0, (2, 3, 9): -24.0, (1, 9, 3, 4, 7, 4): -56.0}, 96.0),
+    (fixtures.BRIDGE, {(5, 6, 7): -2.0, (1, 2, 3, 4, 1, 5, 7, 6, 5): -98.0}, 100.0),
 ])
 def test_faces(spark, tmp_path, raw, rings, outer):
     v, h = read(spark, tmp_path, raw)
+    v = graph.linked_vertices(v, h)
     f = D.faces(D.trace(D.angular(h, v))).collect()
     assert {canonical(list(r.ring)): r.area for r in f if not r.is_external} == {canonical(list(k)): a for k, a in rings.items()}
     assert [r.area for r in f if r.is_external] == [outer]
@@ -55,22 +57,22 @@ def test_faces(spark, tmp_path, raw, rings, outer):
 
 
 def test_dual_edges(spark, tmp_path):
-    v, h = read(spark, tmp_path, fixtures.F1)
+    v, h = read(spark, tmp_path, fixtures.HUB)
     t, f = traced(v, h)
     name = {r.face: canonical(list(r.ring)) for r in f.collect()}
     got = {(name[r.f1], name[r.f2]): r.length for r in D.dual_edges(t, f).collect()}
-    a, b, c, d, e = (canonical(x) for x in ([1, 6, 7, 6, 5, 2, 0], [2, 3, 0], [3, 4, 0], [4, 1, 0], [5, 6, 1]))
-    want = {(a, b): 14, (b, c): 14, (c, d): 14, (a, d): 14, (a, e): 17}
+    a, b, c = (1, 2, 9), (2, 3, 9), (1, 9, 3, 4, 7, 4)
+    want = {(a, b): 6, (a, c): 6, (b, c): 9}
     assert got == want | {(y, x): w for (x, y), w in want.items()}
 
 
 def test_planarize(spark, tmp_path):
-    v, h = read(spark, tmp_path, fixtures.F1)
+    v, h = read(spark, tmp_path, fixtures.CROSSED)
     pv, pe = planar.planarize(v, graph.undirected(h), 7.0, 0.01)
-    assert pv.count() == 9 and pe.count() == 14
-    assert traced(pv, graph.half_edges(pe))[1].count() == 6
+    assert pv.count() == 9 and pe.count() == 11
+    assert traced(pv, graph.half_edges(pe))[1].count() == 3
     sv, se = planar.planarize(v, graph.undirected(h), 7.0, 0.01, strict_bbox=True)
-    assert sv.count() == 8 and se.count() == 12
+    assert sv.count() == 8 and se.count() == 9
 
 
 def test_planarize_random_segments(spark):
@@ -99,9 +101,9 @@ def test_collinear_overlap(spark):
 
 
 @pytest.mark.parametrize(("ring", "inside", "outside"), [
-    ([(2, 4), (4, 4), (3, 2)], [(3, 3), (3, 4)], [(5, 3)]),
-    ([(6, 9), (8, 8), (9, 7), (8, 6), (6, 7)], [(7, 7), (6, 8)], [(5, 3)]),
-    ([(16, 6), (17, 9), (19, 6), (21, 9), (22, 6), (19, 4)], [(18, 6)], [(19, 8)]),
+    ([(0, 0), (4, 1), (1, 5)], [(1, 2), (2, 2)], [(4, 4)]),
+    ([(10, 0), (14, 0), (15, 3), (12, 6), (9, 3)], [(12, 2), (11, 4)], [(15, 5)]),
+    ([(20, 0), (28, 0), (28, 6), (24, 2), (20, 6)], [(21, 2), (27, 1)], [(24, 4)]),
 ])
 def test_point_in_ring(spark, ring, inside, outside):
     shape = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring))
@@ -110,47 +112,99 @@ def test_point_in_ring(spark, ring, inside, outside):
 
 
 def test_paths_and_reach(spark):
-    pts = {1: (0, 0), 2: (1, 0), 3: (-1, 0), 4: (2, 0), 5: (1, 1), 6: (1, 4), 7: (-1, 2), 8: (0, 2), 9: (0, 3)}
-    e = [(1, 2), (2, 4), (1, 3), (2, 5), (4, 6), (1, 5), (5, 6), (3, 7), (1, 8), (7, 8), (6, 8), (6, 9), (7, 9)]
-    rows = [(a, b, ((pts[a][0] - pts[b][0]) ** 2 + (pts[a][1] - pts[b][1]) ** 2) ** 0.5) for a, b in e]
+    pts = {1: (0, 0), 2: (3, 0), 3: (0, 4), 4: (3, 4), 5: (7, 1), 6: (7, 5), 8: (5, 9), 9: (0, 9)}
+    rows = [(a, b, math.dist(pts[a], pts[b])) for a, b in ((1, 2), (1, 3), (2, 4), (3, 4), (2, 5), (4, 6), (5, 6), (6, 8), (4, 8), (3, 9), (8, 9))]
     h = graph.half_edges(spark.createDataFrame(rows, "u long, v long, length double"))
     start = spark.createDataFrame([(1,)], "id long")
-    got = {r.id: (r.dist, r.pred) for r in graph.shortest_paths(h, start).collect()}
-    dist, pred = kernels.dijkstra(kernels.adjacency(rows), [1])
-    assert {k: round(v[0], 9) for k, v in got.items()} == {k: round(v, 9) for k, v in dist.items()}
-    way = {r.pos: r.id for r in graph.path_to(graph.shortest_paths(h, start), spark.createDataFrame([(9,)], "id long")).collect()}
-    assert way[0] == 9 and way[max(way)] == 1
-    blocked = spark.createDataFrame([(2,), (5,), (8,)], "id long")
-    assert {r.id for r in graph.reachable(h, start, blocked).collect()} == {1, 3, 7, 9, 6, 4}
-
-
-def grid_region(n, m):
-    """Unit squares as faces with clockwise rings."""
-    v = lambda x, y: y * (n + 1) + x
-    rings = {y * n + x: [v(x, y), v(x, y + 1), v(x + 1, y + 1), v(x + 1, y)] for y in range(m) for x in range(n)}
-    return rings
-
-
-def test_planar_cut_equals_max_flow():
-    rng = random.Random(5)
-    for _ in range(40):
-        n, m = rng.randint(3, 7), rng.randint(3, 7)
-        rings = grid_region(n, m)
-        length = {}
-        for r in rings.values():
-            for a, b in zip(r, r[1:] + r[:1]):
-                length[a, b] = length[b, a] = length.get((b, a), rng.randint(1, 9))
-        rows = []
-        for f, r in rings.items():
-            for g, q in rings.items():
-                if f < g:
-                    both = {(a, b) for a, b in zip(r, r[1:] + r[:1])} & {(b, a) for a, b in zip(q, q[1:] + q[:1])}
-                    rows += [(f, g, float(length[e])) for e in both]
-        source, sink = {y * n for y in range(m)}, {y * n + n - 1 for y in range(m)}
-        flow, side = kernels.max_flow(kernels.adjacency(rows), source, sink)
-        assert source <= side and not side & sink
-        cut = sum(w for a, b, w in rows if (a in side) != (b in side))
-        assert flow == pytest.approx(cut) == pytest.approx(kernels.planar_cut(rings, length, source, sink))
+    got = {r.id: r.dist for r in graph.shortest_paths(h, start).collect()}
+    dist, _ = kernels.dijkstra(kernels.adjacency(rows), [1])
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in dist.items()}
+    way = {r.pos: r.id for r in graph.path_to(graph.shortest_paths(h, start), spark.createDataFrame([(8,)], "id long")).collect()}
+    assert way[0] == 8 and way[max(way)] == 1
+    blocked = spark.createDataFrame([(4,), (5,)], "id long")
+    assert {r.id for r in graph.reachable(h, start, blocked).collect()} == {1, 2, 3, 6, 8, 9}
+
+
+def rough_lattice(rng, w, h, missing):
+    """Faces of a jittered lattice with holes: half-edges (clockwise rings), centres."""
+    at = {j * (w + 1) + i: (100 * i + rng.uniform(-30, 30), 100 * j + rng.uniform(-30, 30)) for i in range(w + 1) for j in range(h + 1)}
+    half, centre = [], {}
+    for f in range(w * h):
+        if rng.random() >= missing:
+            v = f // w * (w + 1) + f % w
+            ring = [v, v + w + 1, v + w + 2, v + 1]
+            half += [(a, b, round(math.dist(at[a], at[b]), 6), f, *at[a]) for a, b in zip(ring, ring[1:] + ring[:1])]
+            centre[f] = tuple(sum(at[u][k] for u in ring) / 4 for k in (0, 1))
+    return half, centre
+
+
+def test_cuts_through_the_plane_graph():
+    """The least way is as long as the greatest flow; both ways separate the sets, and the balanced one is the more even."""
+    rng, seen, even = random.Random(5), 0, [0, 0]
+    for _ in range(150):
+        half, centre = rough_lattice(rng, rng.randint(1, 8), rng.randint(3, 12), rng.choice([0, 0.05, 0.15]))
+        side = {(a, b): f for a, b, _, f, _, _ in half}
+        rows = [(f, side[b, a], w) for a, b, w, f, _, _ in half if a < b and (b, a) in side]
+        adj = kernels.adjacency(rows)
+        faces = kernels.connected(set(centre), adj)[0]
+        if len(faces) < 4:
+            continue
+        rows, half = [r for r in rows if r[0] in faces], [r for r in half if r[3] in faces]
+        adj = kernels.adjacency(rows)
+        weight = {f: float(rng.randint(0, 50)) for f in faces}
+        _, source, sink = kernels.ends([(f, *centre[f], weight[f]) for f in sorted(faces)], adj, 0.25)
+        flow, _ = kernels.max_flow(adj, source, sink)
+        plane = planecut.Plane(half)
+        least, balanced = plane.least_cut(source, sink), plane.balanced_cut(source, sink, weight)
+        if least is None:
+            continue
+        seen += 1
+        for value, own in (least, balanced):
+            assert source <= own and not own & sink
+            assert value == pytest.approx(sum(w for a, b, w in rows if (a in own) != (b in own)))
+        assert least[0] == pytest.approx(flow) and balanced[0] >= least[0] - 1e-6
+        for k, (_, own) in enumerate((least, balanced)):
+            even[k] += abs(sum(weight[f] for f in own) - sum(weight.values()) / 2)
+    assert seen > 100 and even[1] < even[0]
+
+
+def test_large_regions_are_cut_along_clusters(spark, lattice, monkeypatch):
+    faces, dual = lattice
+    monkeypatch.setattr(divide, "BOUND", 30)
+    monkeypatch.setattr(divide, "CELLS", 4)
+    start = divide._start(faces, dual)
+    check(faces, dual, start, 1e9)
+    assert start.groupBy("region").count().agg({"count": "max"}).first()[0] <= 30
+
+
+def test_paths_across_blocks(spark):
+    """Shortest ways, reachability and components, with as many blocks as partitions."""
+    rng = random.Random(9)
+    edges = {(rng.randrange(60), rng.randrange(60)): float(rng.randint(1, 9)) for _ in range(90)}
+    half = {}
+    for (a, b), w in edges.items():
+        if a != b:
+            half[a, b] = half[b, a] = w
+    adj: dict = {}
+    for (a, b), w in half.items():
+        adj.setdefault(a, {})[b] = w
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        h = spark.createDataFrame([(a, b, w) for (a, b), w in half.items()], "src long, dst long, length double")
+        s = spark.createDataFrame([(3,), (17,), (99,)], "id long")
+        got = {r.id: (r.dist, r.pred) for r in graph.shortest_paths(h, s).collect()}
+        paths = graph.path_to(graph.shortest_paths(h, s), spark.createDataFrame([(v,) for v in sorted(adj)[:5]], "id long")).collect()
+        parts = {r.id: r.component for r in graph.components(h).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    dist, _ = kernels.dijkstra(adj, [3, 17, 99])
+    want = {v: (d, None if v in (3, 17, 99) else min(u for u in adj[v] if u in dist and dist[u] + adj[v][u] == d)) for v, d in dist.items()}
+    assert got == want
+    for v in sorted(adj)[:5]:
+        way = [r.id for r in sorted((r for r in paths if r.target == v), key=lambda r: r.pos)]
+        assert way[0] == v and (v not in dist or way[-1] in (3, 17, 99)) and all(want[a][1] == b for a, b in zip(way, way[1:]))
+    for comp in kernels.connected(set(adj), adj):
+        assert {parts[v] for v in comp} == {min(comp)}
 
 
 @pytest.fixture(scope="module")
@@ -208,7 +262,7 @@ def test_registered_algorithm(lattice):
 
 
 def test_sinks(spark, tmp_path, lattice):
-    v, h = read(spark, tmp_path, fixtures.F2)
+    v, h = read(spark, tmp_path, fixtures.BRIDGE)
     text.write_graph(v, h, str(tmp_path / "out"))
     part = next((tmp_path / "out").glob("part-*.txt"))
     v2, h2 = text.read_graph(spark, str(part))

@@ -6,8 +6,8 @@ import pytest
 from roadcut import queries as Q
 
 DATA = Path("/root/testdata/sf0.001")
-#: One of each kind; all of them are compared by the bench's --verify.
-NAMES = ["vertex_projection", "edge_angles", "segment_predicates", "undirected_closure", "components", "ccw_next", "face_center", "dual_edges", "point_in_face", "split_edges", "near_duplicates", "best_direction", "affinity_ratio", "part_stats", "part_boundary_edges"]
+#: All that have SQL.
+NAMES = sorted(Q.SQL)
 
 
 def compared(spark, name, folder):

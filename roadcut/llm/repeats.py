@@ -64,13 +64,13 @@ SEEN = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("many", "<i4")
 
 
 class Texts:
-    """Symbols of a home's documents, in the order (doc_id, text)."""
+    """Symbols of a home's documents, in the order (place, text): place is the doc_id, or for rows without one a number of
+    the text's below all ids."""
 
     def __init__(self, spec: Spec, t: pa.Table):
         self.spec = spec
-        t = t.append_column("null_id", pa.array(np.asarray(t["doc_id"].is_null()).astype(np.int8)))
-        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids, self.doc = t["doc_id"].combine_chunks(), _io.longs(t["doc_id"])
+        t = t.sort_by([("place", "ascending"), ("text", "ascending")])
+        self.ids, self.doc = t["doc_id"].combine_chunks(), _io.longs(t["place"])
         self.data, self.off = _io.text_bytes(t["text"])
         self._symbols()
 
@@ -78,7 +78,7 @@ class Texts:
     def again(cls, spec: Spec, t: pa.Table) -> tuple[Texts, np.ndarray]:
         """From documents that were kept with their numbers."""
         t, x = t.sort_by("ord"), cls.__new__(cls)
-        x.spec, x.ids, x.doc = spec, t["doc_id"].combine_chunks(), _io.longs(t["doc_id"])
+        x.spec, x.ids, x.doc = spec, t["doc_id"].combine_chunks(), _io.longs(t["n_symbols"])
         x.data, x.off = _io.text_bytes(t["body"])
         x._symbols()
         return x, t["ord"].to_numpy()
@@ -208,7 +208,7 @@ def _segments(spec: Spec, shards: int) -> Callable:
         out.append(_mid(0, len(rest), home=np.full(len(rest), home), doc_id=x.ids.take(pa.array(rest)), n_symbols=x.n[rest], n_removed=np.where(gone, x.n[rest], 0), n_spans=gone.astype(np.int64), kept_sha256=[none if g else x.digest(i, None) for i, g in zip(rest, gone)]))
         rest = np.flatnonzero(live)
         data = x.data.tobytes() if len(rest) else b""
-        out.append(_mid(1, len(rest), home=np.full(len(rest), home), ord=rest, key=lead[rest].astype(np.int64), doc_id=x.ids.take(pa.array(rest)), body=[data[x.off[i] : x.off[i + 1]] for i in rest]))
+        out.append(_mid(1, len(rest), home=np.full(len(rest), home), ord=rest, key=lead[rest].astype(np.int64), doc_id=x.ids.take(pa.array(rest)), n_symbols=x.doc[rest], body=[data[x.off[i] : x.off[i + 1]] for i in rest]))
         if (cold := may & ~hot).any():
             # 40 bits of hash and 24 of place: of equal minimizers in a window the first; a segment holds one occurrence
             gram = _seq.gram_hash(x.h, spec.m)
@@ -290,7 +290,7 @@ def _bodies(spec: Spec) -> Callable:
             head[name] = ask[name]
         length = ask["n"].astype(np.int64)
         at = _seq.gather(x.first[doc] + ask["at"], length)
-        body = x.h[at].astype(np.uint32) if spec.unit == "words" else x.data[at]
+        body = x.h[at] if spec.unit == "words" else x.data[at]
         ends, (u, cut) = np.r_[0, np.cumsum(length)], np.unique(ask["shard"], return_index=True)
         cut = np.r_[cut, len(ask)]
         blobs = [np.int64(q - p).tobytes() + head[p:q].tobytes() + body[ends[p] : ends[q]].tobytes() for p, q in zip(cut[:-1], cut[1:])]
@@ -307,13 +307,13 @@ def _answers(spec: Spec, solve: Callable) -> Callable:
         for b in t["body"].to_pylist():
             n = int(np.frombuffer(b, "<i8", 1)[0])
             heads.append(np.frombuffer(b, HEAD, n, 8))
-            bodies.append(np.frombuffer(b, np.uint32 if spec.unit == "words" else np.uint8, -1, 8 + n * HEAD.itemsize))
+            bodies.append(np.frombuffer(b, U if spec.unit == "words" else np.uint8, -1, 8 + n * HEAD.itemsize))
         head, body = np.concatenate(heads), np.concatenate(bodies)
         start = np.cumsum(head["n"], dtype=np.int64) - head["n"]
         order = np.lexsort((head["at"], head["ord"], head["home"], head["doc"]))
         head, start = head[order], start[order]
         # equal segments stand in the index once, as the earliest, with the number of their occurrences
-        sym = _seq.mix(body.astype(U) + U(1)) if spec.unit == "words" else _seq.byte_symbols(body)
+        sym = _seq.mix(body + U(1)) if spec.unit == "words" else _seq.byte_symbols(body)
         same, first, inv, count = np.unique(_seq.spans_hash(sym, start, start + head["n"]), return_index=True, return_inverse=True, return_counts=True)
         keep = np.sort(first)
         slot = np.searchsorted(keep, first)[inv]  # of each segment: its representative among those kept
@@ -383,7 +383,9 @@ def _removed(spec: Spec) -> Callable:
                 w = np.flatnonzero(on)
                 of = np.searchsorted(x.first + x.n, w, "right")
                 first = seen[at[w]]
-                on[w[(first["doc"] == x.doc[of]) & (first["at"] == w - x.first[of])]] = False
+                own = np.flatnonzero((first["doc"] == x.doc[of]) & (first["at"] == w - x.first[of]))
+                own = own[np.unique(at[w[own]], return_index=True)[1]]  # rows may share a doc_id; the first of them has it
+                on[w[own]] = False
             w = np.flatnonzero(on)
             cover[:n][w] += 1
             cover[L : L + n][w] -= 1
@@ -407,14 +409,15 @@ def remove(docs: DataFrame, spec: Spec, solve: Callable) -> DataFrame:
     """Per row of docs (doc_id, text): n_symbols, n_removed, n_spans (maximal removed runs), kept_sha256.
 
     Null texts are empty. Rows that repeat a doc_id are told apart by their texts; a row equal to another in both is a
-    copy of it. No rows give no rows. Columns other than doc_id and text are not read.
+    copy of it. Rows without a doc_id come before all others, in an order of their texts' hashes. No rows give no rows. Columns other than doc_id and text are not read.
     """
     docs = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = _io.volume(docs)
     homes = max(1, math.ceil(size / HOME_BYTES))
     syncs = size / (6 if spec.unit == "words" else 1) * 2 / (spec.k - spec.s + 1) * 8
     buckets, shards = max(8, math.ceil(syncs / BUCKET_BYTES)), max(8, math.ceil(size / SHARD_BYTES))
-    home = docs.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int"))
+    place = F.coalesce("doc_id", F.lit(-(2**62)) - F.pmod(F.xxhash64("text"), F.lit(2**61)))
+    home = docs.withColumn("place", place).withColumn("home", F.pmod(F.xxhash64("place"), F.lit(homes)).cast("int"))
     parts = max(12, math.ceil(size / (8 << 20)))
     home = home.repartition(parts, "home")
     packed = home.groupBy("home").applyInArrow(_anchors(spec, buckets), "kind int, bucket long, home int, blob binary")
@@ -424,7 +427,7 @@ def remove(docs: DataFrame, spec: Spec, solve: Callable) -> DataFrame:
     to = ["key", "home", "body"]
     told = mid.where("kind = 2").select(to).groupBy("key").applyInArrow(_announced(spec), _BACK)
     merged = mid.where("kind = 3").select(to).groupBy("key").applyInArrow(_merged(spec), _BACK)
-    live = mid.where("kind = 1").select("home", "ord", "key", "doc_id", "body")
+    live = mid.where("kind = 1").select("home", "ord", "key", "doc_id", "n_symbols", "body")
     sent = live.groupBy("home").cogroup(told.where("kind = 4").groupBy("home")).applyInArrow(_bodies(spec), "key long, home int, body binary")
     solved = sent.groupBy("key").applyInArrow(_answers(spec, solve), _BACK)
     done = mid.where("kind = 0").select("doc_id", "n_symbols", "n_removed", "n_spans", "kept_sha256")

@@ -54,6 +54,20 @@ def test_bytes(docs, rows, none):
     assert suffix_lpf.remove_later_copies(none).count() == 0
 
 
+def test_rows_without_or_with_one_id(spark, texts):
+    """A third of the rows have no id, some share one: each row counts for itself; those without come first."""
+    rows = [(None if i % 3 == 0 else 7 if i % 5 == 0 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple(map(str, r))
+    got = substring_fm.remove_repeated_words(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    want = [(rows[i][0], *r[1:]) for i, r in enumerate(sorted(brute_words(list(enumerate(texts)), 35)))]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    hashed = [r[0] for r in spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").selectExpr("pmod(xxhash64(t), 2305843009213693952L)").collect()]
+    place = [(k if k is not None else -(2**62) - h, t) for (k, t), h in zip(rows, hashed)]
+    got = suffix_lpf.remove_later_copies(df).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(r[1:] for r in brute_bytes(place, 100))
+
+
 def test_hot_anchors_take_the_other_way(docs, rows, monkeypatch, spark):
     """With every anchor hot, the merged windows alone must find the same."""
     from roadcut.llm import repeats
@@ -67,7 +81,7 @@ def test_hot_anchors_take_the_other_way(docs, rows, monkeypatch, spark):
     homes = collections.defaultdict(list)
     for k, t in rows:
         homes[k % 5].append((k, t or ""))
-    tables = {h: pa.table({"doc_id": pa.array([k for k, _ in v], pa.int64()), "text": pa.array([t for _, t in v])}) for h, v in homes.items()}
+    tables = {h: pa.table({"doc_id": pa.array([k for k, _ in v], pa.int64()), "place": pa.array([k for k, _ in v], pa.int64()), "text": pa.array([t for _, t in v])}) for h, v in homes.items()}
     key = lambda *x: tuple(pa.scalar(v) for v in x)
     packed = pa.concat_tables([repeats._anchors(spec, 4)(key(h), t) for h, t in tables.items()])
     groups = {(k, b) for k, b in zip(packed["kind"].to_pylist(), packed["bucket"].to_pylist())}

@@ -22,12 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None, each: int = 20_000) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, each: int = 40_000) -> DataFrame:
     """df written to the folder that all executors share (spark.checkpoint.dir) and read back. rows: how many it has, about;
-    then it is made in tasks of ``each`` rows, or in one a core if those are more, rather than in very small ones."""
+    then it is made in tasks and files of ``each`` rows, about, rather than in very small ones."""
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // each)))
+        df = df.coalesce(max(1, -(-rows // each)))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -263,7 +263,7 @@ def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked:
         roots = _components(checked)
         rows = _open(members, roots, 2)
     first, last, turn = 1, 1, 0
-    meets = _io.stored(members.groupBy("rep").agg(F.sum("n").alias("meets")), "meets", members.count())
+    meets = members.groupBy("rep").agg(F.sum("n").alias("meets"))
     while not rows.isEmpty() and turn != turns:
         pivots = _pivots(rows, meets, first, last)
         met = _io.spread(rows, ["key"], pivots, "rep").where(_near(similarity) & (F.col("root") != F.col("pivot_root")))

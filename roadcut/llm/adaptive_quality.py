@@ -92,13 +92,13 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with their columns, whatever their names. Rows and measures are written once; the
-    fences, a row for each language and source, go to the rows as long as there are few of them."""
-    m = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
-    m = _io.stored(_base(measures(m)).drop("text"), "measures")
-    f = _io.stored(fences(m), "fences")
+    """The rows of docs that ``judge`` keeps, with their columns, whatever their names. Measures are taken twice, which costs
+    no more than to write them with the texts; the fences, a row for each language and source, go to the rows as long as
+    there are few of them, so that texts stay where they are."""
+    f = _io.stored(fences(_base(measures(docs.select("text", "lang", "source")))), "fences")
     if f.count() <= FEW:
         f = F.broadcast(f)
+    m = _base(measures(docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")))
     return _joined(m, f).where("q_kept").select("row.*")
 
 

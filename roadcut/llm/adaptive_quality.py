@@ -92,9 +92,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with their columns, whatever their names. Measures are taken twice, which costs
-    no more than to write them with the texts; the fences, a row for each language and source, go to the rows as long as
-    there are few of them, so that texts stay where they are."""
+    """The rows of docs that ``judge`` keeps, with their columns, whatever their names. Measures are taken twice
+    rather than written with the texts, which takes less memory and disk but more time; the fences, a row for each language
+    and source, go to the rows as long as there are few of them, so that texts stay where they are."""
     f = _io.stored(fences(_base(measures(docs.select("text", "lang", "source")))), "fences")
     if f.count() <= FEW:
         f = F.broadcast(f)

@@ -305,7 +305,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     """
     d = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("same", F.xxhash64("text"))
-    own = _io.stored(d.mapInArrow(_sketched(shingle), "doc_id long, same long, whole long, n_words long, sketch array<long>"), "sketches")
+    own = _io.stored(d.mapInArrow(_sketched(shingle), "doc_id long, same long, whole long, n_words long, sketch array<long>"), "sketches", d.count(), 2 * HEAVY)
     texts = _io.stored(own.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "texts", own.count())
     count = texts.count()
     size = (F.col("n_words") - shingle + 1).alias("size")

@@ -24,10 +24,10 @@ def spread(rows: DataFrame, key: list[str], other: DataFrame, by: str, count: in
     return (dealt if with_rows is None else with_rows(dealt)).join(there, [*key, "_share"]).drop("_share")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; from now on its session sends at most 8 MB at once to a Python worker, so that rows with long texts don't add
-    up (the default is 64 MB, several times in each worker)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+def small_batches(df: DataFrame, size: str = "2m") -> DataFrame:
+    """df; from now on its session sends about so much at once to a Python worker, so that rows with long texts don't add
+    up, neither there nor in the buffers of the executor (the default is 64 MB, several times in each worker)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
 
 

@@ -119,7 +119,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFram
     """Encodes docs in ascending order of doc_id and writes the ids, ``end_id`` behind each document, as a table of
     blocks in the shared folder; returns that table. A row holds whole documents: about BLOCK ids, or one longer one."""
     path = path or _tokens.vocabulary()
-    d = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = _io.small_batches(docs, "8m").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(12, 3 * d.rdd.getNumPartitions())  # the input's own splits bound their texts
 
     def run(batches):

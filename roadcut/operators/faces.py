@@ -90,13 +90,18 @@ def _chains(batches):
 
 
 def trace(h: DataFrame) -> DataFrame:
-    """Half-edges with face (the least hid of the orbit) and pos (steps from that half-edge).
+    """Half-edges with face (the least hid of the orbit) and pos (steps from that half-edge)."""
+    return orbits(successors(h))
+
+
+def orbits(s: DataFrame) -> DataFrame:
+    """Half-edges (hid, src, dst, length, x1, y1, nxt) with face, the least hid of the orbit, and pos, steps from that one.
 
     Half-edges are dealt out by place, and each part joins its own to chains; most faces close there. What crosses parts
     goes on as one row a chain: pointers double (four steps a round); when nothing changes, orbits are labelled. Cut open
     before the chain that holds the least half-edge, the orbits' chains are ranked in the same way.
     """
-    s = stored(successors(h), "next")
+    s = stored(s, "next")
     types = "hid long, src long, dst long, length double, x1 double, y1 double, head long, at long, n long, out long, low long, low_at long"
     s = s.select("hid", "nxt", *(F.col(c).cast(t).alias(c) for t, names in (("long", ("src", "dst")), ("double", ("length", "x1", "y1"))) for c in names))
     s = stored(s.repartitionByRange(_near(s), "src").mapInArrow(_chains, types), "chains")
@@ -141,6 +146,23 @@ def interior(f: DataFrame) -> DataFrame:
     return f.where("NOT is_external")
 
 
+def ring_edges(inner: DataFrame) -> DataFrame:
+    """u < v, length: the graph of some faces alone: edges between a ring's neighbours, as long as they are apart."""
+    p = inner.select(F.expr("explode(transform(shape, (p, i) -> struct(ring[i] AS a, ring[(i + 1) % n] AS b, p AS p, shape[(i + 1) % n] AS q)))").alias("e"))
+    e = p.select(F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v"), G.distance("e.p.x", "e.p.y", "e.q.x", "e.q.y").alias("length"))
+    return e.where("u <> v").groupBy("u", "v").agg(F.max("length").alias("length"))
+
+
+def cycle_edges(rings: DataFrame, half: DataFrame, vertices: DataFrame) -> DataFrame:
+    """ring, u, v (in the ring's order), length: the closed cycle over each ring (ring, pos, id), with the length of the
+    graph's edge where there is one, else the distance."""
+    p = vertices.select("id", "x", "y")
+    c = ring_neighbours(rings).select("ring", F.col("id").alias("u"), F.col("after").alias("v"))
+    c = c.join(half.select(F.col("src").alias("u"), F.col("dst").alias("v"), "length"), ["u", "v"], "left")
+    c = c.join(p.toDF("u", "x1", "y1"), "u").join(p.toDF("v", "x2", "y2"), "v")
+    return c.select("ring", "u", "v", F.coalesce("length", G.distance("x1", "y1", "x2", "y2")).alias("length"))
+
+
 def boxes(f: DataFrame) -> DataFrame:
     """face and its bounding box."""
     p = f.select("face", F.explode("shape").alias("p"))
@@ -205,6 +227,25 @@ def ring_neighbours(rings: DataFrame) -> DataFrame:
     return rings.select("ring", "pos", "id", F.coalesce(F.lead("id").over(w), F.first("id").over(whole)).alias("after"), F.coalesce(F.lag("id").over(w), F.last("id").over(whole)).alias("before"))
 
 
+def masked_run(rings: DataFrame, mask: DataFrame) -> DataFrame:
+    """ring, at, id, masked: rings (ring, pos, id) turned so that they begin where a masked run does (mask: ring, id): at the
+    masked vertex of least pos whose predecessor isn't masked; a ring that is masked wholly or not at all stays as it is."""
+    w, whole = Window.partitionBy("ring").orderBy("pos"), Window.partitionBy("ring")
+    r = rings.select("ring", "pos", "id").join(mask.select("ring", "id", F.lit(True).alias("masked")).distinct(), ["ring", "id"], "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
+    last = F.last("masked").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    r = r.withColumns({"was": F.coalesce(F.lag("masked").over(w), last), "n": F.count("*").over(whole)})
+    begin = F.coalesce(F.min(F.when(F.col("masked") & ~F.col("was"), F.col("pos"))).over(whole), F.lit(0))
+    return r.withColumn("begin", begin).select("ring", F.expr("pmod(pos - begin, n)").cast("long").alias("at"), "id", "masked")
+
+
+def cyclic_order(rings: DataFrame, chosen: DataFrame, starts: DataFrame) -> DataFrame:
+    """ring, nth, id: the chosen vertices (ring, id) of each ring in falling order of their steps from its start (ring, id)."""
+    n = rings.groupBy("ring").agg(F.count("*").alias("n"))
+    s = rings.join(starts.select("ring", "id"), ["ring", "id"]).groupBy("ring").agg(F.min("pos").alias("start")).join(n, "ring")
+    r = rings.join(chosen.select("ring", "id").distinct(), ["ring", "id"], "left_semi").join(s, "ring").withColumn("at", F.expr("pmod(pos - start, n)"))
+    return r.select("ring", (F.row_number().over(Window.partitionBy("ring").orderBy(F.desc("at"))) - 1).cast("long").alias("nth"), "id")
+
+
 def prefix_weights(tour: DataFrame) -> DataFrame:
     """Of a tour (root, pos, face, weight): the weight up to each position and the rest behind it."""
     w = Window.partitionBy("root").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

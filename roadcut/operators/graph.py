@@ -41,6 +41,23 @@ def without_edges(half: DataFrame, drop: DataFrame) -> DataFrame:
     return half.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")}).join(d, ["lo", "hi"], "left_anti").select("src", "dst", "length")
 
 
+def tiny_edges(edges: DataFrame, least: float = 0.001) -> DataFrame:
+    """edges, tiny: how many there are, and how many of them are shorter than least."""
+    return edges.agg(F.count("*").alias("edges"), F.count_if(F.col("length") < least).alias("tiny"))
+
+
+def arcs(edges: DataFrame) -> DataFrame:
+    """src, dst, length, bandwidth: edges (u, v, length, bandwidth) in their own direction only, without loops; of parallel ones
+    the lengths' greatest and the bandwidths' sum."""
+    return edges.where("u <> v").groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(F.max("length").alias("length"), F.sum("bandwidth").alias("bandwidth"))
+
+
+def default_weights(vertices: DataFrame, seed: int = 15) -> DataFrame:
+    """Vertices with weight; where it is missing or null, one from 10 to 39 drawn by the id and the seed."""
+    drawn = F.lit(10) + F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % 30
+    return vertices.withColumn("weight", F.coalesce("weight", drawn) if "weight" in vertices.columns else drawn)
+
+
 def degrees(half: DataFrame) -> DataFrame:
     return half.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadcut.functions import geometry as G
+from roadcut.operators.faces import FAN, orbits
+from roadcut.plans.store import stored
 
 
 def cut_edges(dual: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -69,6 +71,27 @@ def boundary_edges(traced: DataFrame, assignment: DataFrame) -> DataFrame:
     return t.join(o, ["src", "dst"]).where("region IS NOT NULL AND NOT region <=> other").select("region", "src", "dst", "length")
 
 
+def boundary_rings(traced: DataFrame, assignment: DataFrame) -> DataFrame:
+    """region, ring, pos, id, x, y, length (to the next vertex), is_outer: the closed lines around each region, which lies on
+    their right: around the outside (is_outer; one for each piece) and around holes. A ring begins at its least x, of equal
+    ones at the greatest y. Where a line meets itself in a vertex, it goes on to the next border counter-clockwise, so it stays
+    beside the faces that it came along."""
+    t = traced.select("hid", "src", "dst", "length", "x1", "y1", "face").join(assignment.select("face", "region"), "face", "left")
+    o = t.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("hid").alias("twin"), F.col("region").alias("other"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    b = stored(t.join(o, ["src", "dst"]).where("region IS NOT NULL AND NOT region <=> other").drop("face", "other"), "borders")
+    come = b.select("region", F.col("dst").alias("at"), (F.col("twin") % FAN).alias("rank"), F.col("hid").alias("into"), F.lit(None).cast("long").alias("out"))
+    go = b.select("region", F.col("src").alias("at"), (F.col("hid") % FAN).alias("rank"), F.lit(None).cast("long").alias("into"), F.col("hid").alias("out"))
+    w = Window.partitionBy("region", "at").orderBy("rank")
+    rest, whole = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    to = F.coalesce(F.first("out", ignorenulls=True).over(rest), F.first("out", ignorenulls=True).over(whole))
+    nxt = come.union(go).withColumn("nxt", to).where("into IS NOT NULL").select(F.col("into").alias("hid"), "nxt")
+    r = orbits(b.select("hid", "src", "dst", "length", "x1", "y1").join(nxt, "hid"))
+    r = stored(r.select("hid", F.col("face").alias("ring"), "pos").join(b, "hid"), "rings")
+    first = F.min_by("pos", F.struct("x1", -F.col("y1"), "pos")).alias("start")
+    s = r.groupBy("ring").agg(first, F.count("*").alias("n"), (F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) < 0).alias("is_outer"))
+    return r.join(s, "ring").select("region", "ring", F.expr("pmod(pos - start, n)").alias("pos"), F.col("src").alias("id"), F.col("x1").alias("x"), F.col("y1").alias("y"), "length", "is_outer")
+
+
 def largest_diameter(rings: DataFrame, assignment: DataFrame, vertices: DataFrame) -> DataFrame:
     """region, diameter: the largest distance between two vertices, found among the corners of the convex hull."""
     v = region_vertices(rings, assignment).join(vertices.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "id")
@@ -144,6 +167,22 @@ def statistics(weights: DataFrame, cuts: DataFrame, most: float) -> DataFrame:
     return s.withColumns({"min_region_count_estimate": ideal, "estimator_region_number": F.col("region_count") / F.when(ideal > 0, ideal)})
 
 
+def roll_up(runs: DataFrame) -> DataFrame:
+    """runs (city, size, most, edges, time, memory, regions, ideal, average_weight) with regions against the ideal number, load
+    and time an edge; null where what divides is 0 or null."""
+    over = lambda a, b: F.col(a) / F.when(F.col(b) != 0, F.col(b))
+    return runs.withColumns({"region_ratio": over("regions", "ideal"), "avg_load": over("average_weight", "most"), "time_per_edge": over("time", "edges")})
+
+
+def roll_up_all(runs: DataFrame) -> DataFrame:
+    """metric, value: the measures of all runs, and the mean load at each maximum weight, rounded to six places."""
+    r = roll_up(runs)
+    names = {"max_time": F.max("time"), "max_memory": F.max("memory"), "avg_time_per_edge": F.avg("time_per_edge"), "min_region_ratio": F.min("region_ratio"), "avg_region_ratio": F.avg("region_ratio"), "max_region_ratio": F.max("region_ratio")}
+    one = r.agg(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in names.items())).alias("m")).select(F.inline("m"))
+    load = r.groupBy("most").agg(F.avg("avg_load").alias("value")).select(F.concat(F.lit("avg_load_"), F.col("most").cast("long")).alias("metric"), "value")
+    return one.union(load).select("metric", F.round("value", 6).alias("value"))
+
+
 def best_half(capacity: DataFrame) -> DataFrame:
     """The half of the regions whose neighbours can take most, ranked."""
     n = capacity.count()
@@ -167,6 +206,22 @@ def spreads(faces: DataFrame, assignment: DataFrame) -> DataFrame:
     return p.groupBy("region", "line").agg((F.max("p") - F.min("p")).alias("spread"), F.min_by("face", F.struct(F.round("p", 6).alias("p"), "face")).alias("first"), F.max_by("face", F.struct(F.round("p", 6).alias("p"), -F.col("face"))).alias("last"))
 
 
+def ring_extremes(inner: DataFrame) -> DataFrame:
+    """face, line, low, high: how far the ring of each face reaches along each line."""
+    lines = F.array(*(F.struct(F.lit(i).alias("line"), F.lit(k).alias("k"), F.lit(v).alias("v")) for i, (k, v) in enumerate(LINES)))
+    p = inner.select("face", F.explode("shape").alias("q")).withColumn("l", F.explode(lines))
+    p = p.select("face", F.col("l.line").alias("line"), G.projection("q.x", "q.y", F.col("l.k"), F.col("l.v")).alias("p"))
+    return p.groupBy("face", "line").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+
+
+def outermost(extremes: DataFrame, assignment: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """region, line, source, sink: the faces that reach farthest to both ends of each line (of equal ones the least), but for
+    those of ``without`` (face); a region with no face left has no row."""
+    a = assignment if without is None else assignment.join(without.select("face"), "face", "left_anti")
+    low, high = F.struct(F.round("low", 6).alias("p"), "face"), F.struct(F.round("high", 6).alias("p"), -F.col("face"))
+    return extremes.join(a, "face").groupBy("region", "line").agg(F.min_by("face", low).alias("source"), F.max_by("face", high).alias("sink"))
+
+
 def best_lines(spread: DataFrame) -> DataFrame:
     """region and the line of its largest spread (of equal ones the first), with the faces at both ends."""
     return spread.groupBy("region").agg(F.max_by(F.struct("line", "spread", "first", "last"), F.struct(F.round("spread", 6).alias("s"), -F.col("line"))).alias("b")).select("region", "b.*")

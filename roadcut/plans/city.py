@@ -67,8 +67,8 @@ def run(spark: SparkSession, algorithm: str, graph_path: str, points_path: str,
     centres = regions.centre_faces(f, a).join(f, "face").select("region", F.col("cx").alias("x"), F.col("cy").alias("y"))
     text.write_division(f, a, cuts, f"{out}/partition")
     text.write_centres(back(centres), f"{out}/centers")
-    bound = regions.boundary_edges(p.traced, a).join(p.vertices.select(F.col("id").alias("src"), "x", "y"), "src")
-    text.write_bounds(back(bound.selectExpr("region", "cast(row_number() OVER (PARTITION BY region ORDER BY src, dst) AS int) AS pos", "src AS id", "x", "y", "0.0D AS weight")), f"{out}/bounds")
+    bound = regions.boundary_rings(p.traced, a).where("is_outer")
+    text.write_bounds(back(bound.selectExpr("region", "pos", "id", "x", "y", "0.0D AS weight")), weights, f"{out}/bounds")
     fv = back(f.select(F.col("face").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "weight"))
     text.write_graph(fv, p.dual.select(F.col("f1").alias("src"), F.col("f2").alias("dst"), "length"), f"{out}/dual", "weight")
     text.write_metrics(s, f"{out}/partition_info")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roadcut import testbed as T
 from roadcut.functions import geometry as G
 from roadcut.operators import faces as D
-from roadcut.operators import graph, planar, regions
+from roadcut.operators import graph, planar, regions, tours
 from roadcut.plans import city, divide
 from roadcut.plans.store import numbered, stored
 from roadcut.sources import text
@@ -586,3 +586,165 @@ def planarized_city(spark, d) -> DataFrame:
     """Faces of the lattice with crossing diagonals, planarized."""
     v, e = _crossed(spark, d)
     return city.prepare(v, e, CELL).faces.select("face", "n", "area")
+
+
+_RING = """, s AS (SELECT region, unnest([a, d, c, b]) AS src, unnest([d, c, b, a]) AS dst FROM f),
+bd AS (SELECT region, src, dst FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.src = s.dst AND o.dst = s.src AND o.region = s.region)),
+st AS (SELECT region, arg_min(src, (v.x, -v.y)) AS src FROM bd JOIN v ON v.id = src GROUP BY region),
+ring AS (SELECT region, 0::BIGINT AS pos, src AS id, src AS start FROM st UNION ALL SELECT r.region, r.pos + 1, bd.dst, r.start FROM ring r JOIN bd ON bd.region = r.region AND bd.src = r.id WHERE bd.dst <> r.start) """
+_RECURSIVE = _ALL.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_RECURSIVE + _RING + "SELECT region, pos, id FROM ring")
+def part_boundary_ring(spark, d) -> DataFrame:
+    t, _, _, _, a = _weighed(spark, d)
+    return regions.boundary_rings(t, a).where("is_outer").select("region", "pos", "id")
+
+
+@query(_RECURSIVE + _RING + ", m AS (SELECT region, count(*) AS n FROM ring GROUP BY region) SELECT a.region, a.id AS u, b.id AS v, round(length, 6) AS length FROM ring a JOIN m USING (region) JOIN ring b ON b.region = a.region AND b.pos = (a.pos + 1) % m.n JOIN h ON src = a.id AND dst = b.id")
+def boundary_cycle_edges(spark, d) -> DataFrame:
+    t, _, _, _, a = _weighed(spark, d)
+    r = regions.boundary_rings(t, a).where("is_outer").select(F.col("region").alias("ring"), "pos", "id")
+    return D.cycle_edges(r, _half(spark, d), T.vertices(spark, d)).select(F.col("ring").alias("region"), "u", "v", _r("length"))
+
+
+@query(_RECURSIVE + _RING + "SELECT region, id, row_number() OVER (PARTITION BY region ORDER BY pos DESC) - 1 AS nth FROM ring WHERE id % 3 = 0")
+def boundary_leaf_order(spark, d) -> DataFrame:
+    """Every third vertex of each border, from its start backwards."""
+    t, _, _, _, a = _weighed(spark, d)
+    r = stored(regions.boundary_rings(t, a).where("is_outer").select(F.col("region").alias("ring"), "pos", "id"), "rings")
+    return D.cyclic_order(r, r.where("id % 3 = 0"), r.where("pos = 0")).select(F.col("ring").alias("region"), "id", "nth")
+
+
+@query(_RECURSIVE + _RING + """, m AS (SELECT region, pos, id, id // 40 % 8 = 0 AS masked, count(*) OVER (PARTITION BY region) AS n, lag(id // 40 % 8 = 0) OVER (PARTITION BY region ORDER BY pos) AS was,
+  last_value(id // 40 % 8 = 0) OVER (PARTITION BY region ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM ring),
+b AS (SELECT *, coalesce(min(pos) FILTER (WHERE masked AND NOT coalesce(was, final)) OVER (PARTITION BY region), 0) AS b FROM m) SELECT region, (pos - b + n) % n AS at, id, masked FROM b""")
+def boundary_mask_shift(spark, d) -> DataFrame:
+    """Borders turned to where their run on a line between rows of regions begins."""
+    t, _, _, _, a = _weighed(spark, d)
+    r = stored(regions.boundary_rings(t, a).where("is_outer").select(F.col("region").alias("ring"), "pos", "id"), "rings")
+    return D.masked_run(r, r.where("id div 40 % 8 = 0")).select(F.col("ring").alias("region"), "at", "id", "masked")
+
+
+@query(_FACES + ", s AS (SELECT unnest([a, d, c, b]) AS p, unnest([d, c, b, a]) AS q FROM f WHERE region % 2 = 0) SELECT DISTINCT u, v, round(e.length, 6) AS length FROM s JOIN e ON u = least(p, q) AND v = greatest(p, q)")
+def face_subgraph(spark, d) -> DataFrame:
+    """The graph of the faces in every second region."""
+    f = _faces(spark, d)[1]
+    return D.ring_edges(f.join(_assigned(f).where("region % 2 = 0"), "face", "left_semi")).select("u", "v", _r("length"))
+
+
+_EX = f", {_LINES}, q AS (SELECT face, region, unnest([ax, bx, cx_, dx]) AS x, unnest([ay, by_, cy_, dy]) AS y FROM f), ex AS (SELECT face, region, line, min(if(vertical, y, (x + k * y) / (1 + k * k))) AS low, max(if(vertical, y, (x + k * y) / (1 + k * k))) AS high FROM q, ln GROUP BY ALL) "
+
+
+@query(_FACES + _EX + "SELECT face, line, round(low, 6) AS low, round(high, 6) AS high FROM ex")
+def face_extremes(spark, d) -> DataFrame:
+    return regions.ring_extremes(_faces(spark, d)[1]).select("face", "line", _r("low"), _r("high"))
+
+
+@query(_FACES + _EX + "SELECT region, line, arg_min(face, (round(low, 6), face)) AS source, arg_max(face, (round(high, 6), -face)) AS sink FROM ex GROUP BY ALL")
+def source_sink_faces(spark, d) -> DataFrame:
+    f = _faces(spark, d)[1]
+    return regions.outermost(regions.ring_extremes(f), _assigned(f))
+
+
+@query(_FACES + _EX + ", t AS (SELECT region, line, arg_min(face, (round(low, 6), face)) AS one FROM ex GROUP BY ALL) SELECT region, line, arg_min(face, (round(low, 6), face)) AS source, arg_max(face, (round(high, 6), -face)) AS sink FROM ex WHERE face NOT IN (SELECT one FROM t) GROUP BY ALL")
+def extremum_fallback(spark, d) -> DataFrame:
+    """The outermost faces once all that were sources are taken."""
+    f = _faces(spark, d)[1]
+    x, a = stored(regions.ring_extremes(f), "extremes"), _assigned(f)
+    return regions.outermost(x, a, regions.outermost(x, a).select(F.col("source").alias("face")).distinct())
+
+
+def _comb(spark, d):
+    """A tree: the lowest row, and columns upon it."""
+    return T.vertices(spark, d).selectExpr("id", "CASE WHEN gx = 0 AND gy = 0 THEN NULL WHEN gy = 0 THEN id - 1 ELSE id - 40 END AS pred")
+
+
+_TOPS = ", top AS (SELECT gx, max(gy) AS gy, max(id) AS id FROM v GROUP BY gx) "
+
+
+@query(f"WITH {_V}{_TOPS}, n AS (SELECT gx, count(*) AS n FROM v GROUP BY gx) SELECT v.id, (CASE WHEN v.gy = 0 THEN (SELECT sum(n) FROM n WHERE n.gx >= v.gx) ELSE top.gy - v.gy + 1 END)::BIGINT AS size FROM v JOIN top USING (gx) WHERE v.gx > 0 OR v.gy > 0")
+def euler_tour_sizes(spark, d) -> DataFrame:
+    """Vertices below each vertex of the comb, from the tour around it."""
+    return tours.subtree_sizes(stored(tours.euler_tour(_angular(spark, d), _comb(spark, d)), "tour")).select("id", "size")
+
+
+@query(_ALL + _TOPS + "SELECT n.id AS before, t.id AS after, coalesce((SELECT sum(weight) FROM w WHERE (face // 4096) % 40 = t.gx), 0)::DOUBLE AS weight FROM top t JOIN top n ON n.gx = (t.gx + 1) % 40")
+def tour_leaf_weights(spark, d) -> DataFrame:
+    """Weight between the leaves of the comb: that of the faces between two columns."""
+    t, f, w, _, _ = _weighed(spark, d)
+    h = stored(_angular(spark, d), "angular")
+    tour = stored(tours.euler_tour(h, _comb(spark, d)), "tour")
+    return tours.leaf_weights(tour, tours.tour_faces(h, t, f, tour), w).select("before", "after", "weight")
+
+
+@query(_GRAPH + """, s AS (SELECT v.gx AS path, h.src, if(dst = src - 1, 1, 2) AS src_side, dst, 0 AS dst_side, length FROM h JOIN v ON v.id = src WHERE v.gx % 10 = 5 AND abs(src - dst) = 1)
+SELECT path, src, src_side, dst, dst_side, round(length, 6) AS length FROM s UNION ALL SELECT path, dst, dst_side, src, src_side, round(length, 6) FROM s
+UNION ALL SELECT v.gx, src, k, dst, k, round(length, 6) FROM h JOIN v ON v.id = src, (VALUES (1), (2)) t(k) WHERE v.gx % 10 = 5 AND abs(src - dst) = 40""")
+def split_path(spark, d) -> DataFrame:
+    """The lattice cut open along four columns, each by itself."""
+    h = stored(_angular(spark, d), "angular")
+    t = stored(D.trace(h), "traced")
+    path = T.vertices(spark, d).where("gx % 10 = 5").selectExpr("gx AS path", "gy AS pos", "id")
+    outer = t.join(D.faces(t).where("is_external").select("face"), "face", "left_semi")
+    return tours.split_path(h, path, outer).select("path", "src", "src_side", "dst", "dst_side", _r("length"))
+
+
+@query(_FACES + "SELECT a.id, unnest([a.id + 1, a.id + 40, a.id - 1]) AS dst, unnest([0, 1, 2])::BIGINT AS nth FROM v a JOIN v t ON t.id = a.id + 40 WHERE a.gx BETWEEN 1 AND 38 AND EXISTS (SELECT 1 FROM v WHERE id = a.id + 1) AND EXISTS (SELECT 1 FROM v WHERE id = a.id - 1)")
+def corner_sector(spark, d) -> DataFrame:
+    """From the eastern street counter-clockwise to the western one, where there is a northern one."""
+    h = _angular(spark, d)
+    v = T.vertices(spark, d)
+    arms = v.where("gx BETWEEN 1 AND 38").join(v.selectExpr("id - 40 AS id"), "id", "left_semi").selectExpr("id", "id + 1 AS first", "id - 1 AS last")
+    arms = arms.join(v.selectExpr("id - 1 AS id"), "id", "left_semi").join(v.selectExpr("id + 1 AS id"), "id", "left_semi")
+    return tours.sector(h, arms).select("id", "dst", F.col("at").alias("nth"))
+
+
+@query(f"WITH {_V} SELECT id, (if(gx > 20, 39 - gx, abs(gx - 1)) + gy)::DOUBLE AS dist FROM v WHERE gy % 5 = 0")
+def sssp_corners(spark, d) -> DataFrame:
+    """Steps from the nearer of two lower corners to every fifth row, where column 20 may be left up and down only."""
+    v = T.vertices(spark, d)
+    c = v.where("gx = 20").selectExpr("id", f"explode(array(id - {T.COLUMNS}, id + {T.COLUMNS})) AS dst")
+    half = tours.allowed(_half(spark, d).withColumn("length", F.lit(1.0)), c)
+    return graph.shortest_paths(half, v.where("id IN (1, 39)").select("id")).join(v.where("gy % 5 = 0").select("id"), "id", "left_semi").select("id", "dist")
+
+
+@query(_GRAPH + "SELECT count(*) AS edges, count(*) FILTER (WHERE length < 70) AS tiny FROM e")
+def small_edges(spark, d) -> DataFrame:
+    return graph.tiny_edges(T.edges(spark, d), 70.0)
+
+
+@query("SELECT l_suppkey AS src, l_partkey + 1000000000 AS dst, count(*)::DOUBLE AS length, sum(l_linenumber)::BIGINT AS bandwidth FROM lineitem GROUP BY ALL")
+def flow_arcs(spark, d) -> DataFrame:
+    li = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_suppkey AS u", "l_partkey + 1000000000 AS v", "cast(l_linenumber AS long) AS bandwidth")
+    n = T.bipartite(spark, d).selectExpr("u", "v", "cast(length AS double) AS length")
+    return graph.arcs(li.join(n, ["u", "v"]))
+
+
+@query(f"WITH {_V} SELECT id, 10 + ('0x' || substr(md5('15:' || id), 1, 8))::BIGINT % 30 AS weight FROM v")
+def default_weights(spark, d) -> DataFrame:
+    return graph.default_weights(T.vertices(spark, d).select("id"))
+
+
+_RUNS = """, rm AS (SELECT *, 'c' || (region % 5) AS city, region % 3 AS size FROM rw, (VALUES (1500), (3000)) t(most)),
+rn AS (SELECT city, size, most, sum(n_faces)::BIGINT AS edges, sum(n_faces) / 64.0 AS time, max(n_faces)::BIGINT AS memory, count(*) AS regions,
+  ceil(sum(weight) / most)::BIGINT AS ideal, avg(weight) AS average_weight FROM rm GROUP BY city, size, most),
+rr AS (SELECT *, regions / nullif(ideal, 0) AS region_ratio, average_weight / most AS avg_load, time / nullif(edges, 0) AS time_per_edge FROM rn) """
+
+
+def _runs(spark, d):
+    _, _, w, _, a = _weighed(spark, d)
+    r = regions.region_weights(w, a).withColumn("most", F.explode(F.array(F.lit(1500), F.lit(3000))))
+    r = r.groupBy(F.expr("concat('c', region % 5)").alias("city"), F.expr("region % 3").alias("size"), "most")
+    return r.agg(F.sum("n_faces").alias("edges"), (F.sum("n_faces") / 64).alias("time"), F.max("n_faces").alias("memory"), F.count("*").alias("regions"), F.ceil(F.sum("weight") / F.col("most")).alias("ideal"), F.avg("weight").alias("average_weight"))
+
+
+@query(_ALL + _RUNS + "SELECT city, size, most, round(region_ratio, 6) AS region_ratio, round(avg_load, 6) AS avg_load, round(time_per_edge, 6) AS time_per_edge FROM rr")
+def runs_rolled_up(spark, d) -> DataFrame:
+    return regions.roll_up(_runs(spark, d)).select("city", "size", "most", _r("region_ratio"), _r("avg_load"), _r("time_per_edge"))
+
+
+@query(_ALL + _RUNS + """, o AS (SELECT unnest(['max_time', 'max_memory', 'avg_time_per_edge', 'min_region_ratio', 'avg_region_ratio', 'max_region_ratio']) AS metric,
+  unnest([max(time)::DOUBLE, max(memory)::DOUBLE, avg(time_per_edge), min(region_ratio), avg(region_ratio), max(region_ratio)]) AS value FROM rr) SELECT metric, round(value, 6) AS value FROM o UNION ALL SELECT 'avg_load_' || most, round(avg(avg_load), 6) FROM rr GROUP BY most""")
+def runs_overall(spark, d) -> DataFrame:
+    return regions.roll_up_all(stored(_runs(spark, d), "runs"))

@@ -103,10 +103,11 @@ def write_division(faces: DataFrame, assignment: DataFrame, cuts: DataFrame, pat
     f.unionByName(n).unionByName(c).repartition("region").sortWithinPartitions("region", "k").select("region", "value").write.partitionBy("region").text(path)
 
 
-def write_bounds(bounds: DataFrame, path: str) -> None:
-    """bounds: region, pos, id, x, y, weight. A folder for each region: the ring's vertices, then the sum of weights."""
+def write_bounds(bounds: DataFrame, weights: DataFrame, path: str) -> None:
+    """bounds: region, pos, id, x, y, weight; weights: region, weight. A folder for each region: the ring's vertices in order of
+    pos, then the region's weight."""
     b = bounds.select("region", "pos", F.concat_ws(" ", "id", "x", "y", "weight").alias("value"))
-    s = bounds.groupBy("region").agg(F.lit(2**31 - 1).alias("pos"), F.sum("weight").cast("string").alias("value"))
+    s = weights.join(bounds.select("region"), "region", "left_semi").select("region", F.lit(2**62).alias("pos"), F.format_string("%f", F.col("weight").cast("double")).alias("value"))
     b.unionByName(s).repartition("region").sortWithinPartitions("region", "pos").select("region", "value").write.partitionBy("region").text(path)
 
 

@@ -503,7 +503,9 @@ def part_boundary_edges(spark, d) -> DataFrame:
     return regions.boundary_edges(t, a).select("region", "src", "dst")
 
 
-@query()
+@query(_ALL + _RV + """, he AS (SELECT p.region, p.id FROM rp p JOIN rp q ON q.region = p.region AND q.id <> p.id JOIN rp r ON r.region = p.region GROUP BY p.region, p.id, q.id
+  HAVING bool_and((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0 OR ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) AND (q.x - p.x) * (r.x - p.x) + (q.y - p.y) * (r.y - p.y) BETWEEN 0 AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2)))
+SELECT DISTINCT region, id, x::DOUBLE AS x, y::DOUBLE AS y FROM he JOIN rp USING (region, id)""")
 def convex_hull(spark, d) -> DataFrame:
     _, f, _, _, a = _weighed(spark, d)
     return regions.convex_hulls(f.select("face", F.explode("ring").alias("id")), a, T.vertices(spark, d))
@@ -581,11 +583,20 @@ def planar_cut(spark, d) -> DataFrame:
     return c.select("region", (F.abs(F.col("least") - F.col("flow")) < 1e-6).alias("same"), (F.col("apart") & (F.col("balanced") >= F.col("least") - 1e-6)).alias("fits"))
 
 
-@query()
+@query(_X + """, n AS (SELECT *, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY x, y) AS id FROM x),
+pv AS (SELECT id, x::DOUBLE AS x, y::DOUBLE AS y FROM v UNION ALL SELECT id, x, y FROM n), sp AS (SELECT unnest([a, b, c, d]) AS p, id AS m FROM n),
+ph AS (SELECT src, dst FROM h UNION ALL SELECT p, m FROM sp UNION ALL SELECT m, p FROM sp),
+pa AS (SELECT src, dst, atan2(b.y - a.y, b.x - a.x) AS t FROM ph JOIN pv a ON a.id = src JOIN pv b ON b.id = dst),
+pr AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY if(t < 0, t + 2 * pi(), t), dst) - 1 AS rank FROM pa),
+cell AS (SELECT a.id AS a, b.id AS b, c.id AS c, d.id AS d, n.id AS m FROM v a JOIN v b ON b.id = a.id + 1 JOIN v c ON c.id = a.id + 41 JOIN v d ON d.id = a.id + 40 LEFT JOIN n ON n.a = a.id WHERE a.gx < 39),
+k AS (SELECT a, d, c, b AS e FROM cell WHERE m IS NULL UNION ALL SELECT a, m, b, NULL FROM cell WHERE m IS NOT NULL UNION ALL SELECT b, m, c, NULL FROM cell WHERE m IS NOT NULL
+  UNION ALL SELECT d, c, m, NULL FROM cell WHERE m IS NOT NULL UNION ALL SELECT a, d, m, NULL FROM cell WHERE m IS NOT NULL)
+SELECT k.a * 4096 + rank AS face, if(e IS NULL, 3, 4) AS n, round(((a.x - c.x) * (d.y - coalesce(e.y, a.y)) - (d.x - coalesce(e.x, a.x)) * (a.y - c.y)) / 2, 4) AS area
+FROM k JOIN pr ON src = k.a AND dst = k.d JOIN pv a ON a.id = k.a JOIN pv d ON d.id = k.d JOIN pv c ON c.id = k.c LEFT JOIN pv e ON e.id = k.e""")
 def planarized_city(spark, d) -> DataFrame:
     """Faces of the lattice with crossing diagonals, planarized."""
     v, e = _crossed(spark, d)
-    return city.prepare(v, e, CELL).faces.select("face", "n", "area")
+    return city.prepare(v, e, CELL).faces.select("face", "n", _r("area", digits=4))
 
 
 _RING = """, s AS (SELECT region, unnest([a, d, c, b]) AS src, unnest([d, c, b, a]) AS dst FROM f),

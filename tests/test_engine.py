@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadcut.functions import geometry as G
 from roadcut.operators import faces as D
-from roadcut.operators import graph, planar, regions
+from roadcut.operators import graph, planar, regions, tours
 from roadcut.plans import city, divide, kernels, planecut
 from roadcut.sources import text
 from tests import fixtures
@@ -276,6 +276,85 @@ def test_sinks(spark, tmp_path, lattice):
     assert '"region_count"' in text.metrics_json(s).first().value
 
 
+@pytest.fixture(scope="module")
+def squares(spark):
+    """A square grid of 5 by 5 vertices (id = 10 * y + x): vertices, half-edges, traced half-edges, inner faces; name: the
+    face of each cell by its lower left corner."""
+    v = spark.createDataFrame([(10 * y + x, float(x), float(y)) for x in range(5) for y in range(5)], "id long, x double, y double")
+    e = [(10 * y + x, 10 * y + x + s, 1.0) for x in range(5) for y in range(5) for s in (1, 10) if (x < 4 or s == 10) and (y < 4 or s == 1)]
+    h = D.angular(graph.half_edges(spark.createDataFrame(e, "u long, v long, length double")), v)
+    t, f = traced(v, graph.half_edges(spark.createDataFrame(e, "u long, v long, length double")))
+    return v, h, t, f, {min(r.ring): r.face for r in f.collect()}
+
+
+def test_boundary_rings_around_holes_and_corners(spark, squares):
+    v, h, t, f, name = squares
+    around = [0, 1, 2, 10, 12, 20, 21, 22]  # eight cells around that of 11
+    a = spark.createDataFrame([(name[c], 1) for c in around] + [(name[c], 2) for c in (3, 13, 33)], "face long, region long")
+    rows = regions.boundary_rings(t, a).orderBy("region", "ring", "pos").collect()
+    rings = {}
+    for r in rows:
+        rings.setdefault((r.region, r.is_outer, r.ring), []).append(r.id)
+    got = sorted((k[0], k[1], tuple(x)) for k, x in rings.items())
+    assert got == [
+        (1, False, (21, 11, 12, 22)),
+        (1, True, (30, 31, 32, 33, 23, 13, 3, 2, 1, 0, 10, 20)),
+        (2, True, (23, 24, 14, 4, 3, 13)),
+        (2, True, (43, 44, 34, 33)),
+    ]
+    touching = spark.createDataFrame([(name[c], 1) for c in (0, 11)], "face long, region long")  # they share the vertex 11 only
+    assert regions.boundary_rings(t, touching).where("id = 11").select("ring").distinct().count() == 2
+    assert regions.boundary_rings(t, touching.limit(0)).count() == 0
+
+
+def test_tour_and_its_faces(spark, squares):
+    v, h, t, f, name = squares
+    tree = spark.createDataFrame([(i, None if i == 0 else i - 1 if i < 10 else i - 10) for i in (10 * y + x for x in range(5) for y in range(5))], "id long, pred long")
+    tour = tours.euler_tour(h, tree)
+    walk = [r.src for r in tour.orderBy("pos").collect()]
+    up = lambda x: [10 * y + x for y in range(5)] + [10 * y + x for y in (3, 2, 1)]
+    assert walk == [0, 1, 2, 3, *up(4), 4, *up(3), 3, *up(2), 2, *up(1), 1, *up(0)]
+    assert len(walk) == 48
+    assert {r.id: r["size"] for r in tours.subtree_sizes(tour).collect()}[1] == 20
+    w = f.select("face", F.lit(1).alias("weight"))
+    got = {(r.before, r.after): r.weight for r in tours.leaf_weights(tour, tours.tour_faces(h, t, f, tour), w).collect()}
+    assert got == {(44, 43): 4, (43, 42): 4, (42, 41): 4, (41, 40): 4, (40, 44): 0}
+    assert tours.euler_tour(h, tree.limit(0)).count() == 0
+
+
+def test_split_path_ends_inside_or_on_the_rim(spark, squares):
+    v, h, t, f, name = squares
+    outer = t.join(D.faces(t).where("is_external").select("face"), "face", "left_semi")
+    path = spark.createDataFrame([("slit", 0, 2), ("slit", 1, 12), ("slit", 2, 22)], "path string, pos int, id long")
+    got = {tuple(r) for r in tours.split_path(h, path, outer).select("src", "src_side", "dst", "dst_side").collect()}
+    want = {(2, 1, 1, 0), (2, 2, 3, 0), (12, 1, 11, 0), (12, 2, 13, 0), (22, 0, 21, 0), (22, 0, 23, 0), (22, 0, 32, 0)}
+    want |= {(c, d, a, b) for a, b, c, d in want}
+    want |= {(2, s, 12, s) for s in (1, 2)} | {(12, s, 2, s) for s in (1, 2)} | {(12, s, 22, 0) for s in (1, 2)} | {(22, 0, 12, s) for s in (1, 2)}
+    assert got == want
+
+
+def test_masked_run_and_orders(spark):
+    rings = spark.createDataFrame([(1, i, 10 + i) for i in range(6)] + [(2, 0, 7), (2, 1, 8)], "ring long, pos long, id long")
+    mask = spark.createDataFrame([(1, 15), (1, 10), (1, 11), (1, 11)], "ring long, id long")
+    got = [(r.ring, r.id, r.masked) for r in D.masked_run(rings, mask).orderBy("ring", "at").collect()]
+    assert got == [(1, 15, True), (1, 10, True), (1, 11, True), (1, 12, False), (1, 13, False), (1, 14, False), (2, 7, False), (2, 8, False)]
+    order = D.cyclic_order(rings, mask, spark.createDataFrame([(1, 11)], "ring long, id long"))
+    assert [r.id for r in order.orderBy("nth").collect()] == [10, 15, 11]
+
+
+def test_weights_arcs_and_runs(spark):
+    e = spark.createDataFrame([(1, 2, 3.0, 4), (1, 2, 1.0, 5), (2, 1, 1.0, 1), (3, 3, 1.0, 1)], "u long, v long, length double, bandwidth long")
+    assert sorted(map(tuple, graph.arcs(e).collect())) == [(1, 2, 3.0, 9), (2, 1, 1.0, 1)]
+    assert tuple(graph.tiny_edges(e.limit(0)).first()) == (0, 0)
+    w = graph.default_weights(spark.createDataFrame([(1, 5), (2, None)], "id long, weight long"))
+    assert all(10 <= r.weight < 40 or (r.id, r.weight) == (1, 5) for r in w.collect()) and w.where("id = 1").first().weight == 5
+    half = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (2, 1, 1.0)], "src long, dst long, length double")
+    assert sorted(map(tuple, tours.allowed(half, spark.createDataFrame([(1, 2)], "id long, dst long")).collect())) == [(1, 2, 1.0), (2, 1, 1.0)]
+    assert tours.allowed(half, spark.createDataFrame([(1, None)], "id long, dst long")).count() == 1
+    runs = spark.createDataFrame([("a", 1, 10, 0, 1.0, 5, 3, 2, 4.0)], "city string, size int, most int, edges long, time double, memory long, regions long, ideal long, average_weight double")
+    assert {r.metric: r.value for r in regions.roll_up_all(runs).collect()} == {"max_time": 1.0, "max_memory": 5.0, "avg_time_per_edge": None, "min_region_ratio": 1.5, "avg_region_ratio": 1.5, "max_region_ratio": 1.5, "avg_load_10": 0.4}
+
+
 def test_points(spark, tmp_path):
     (tmp_path / "b.txt").write_text("2\n7 59,9 30,3 20 15\n8 59.8 30.2 10 10\n")
     assert sorted(map(tuple, text.read_points(spark, str(tmp_path / "b.txt")).collect())) == [(7, 30.3, 59.9, 30.0), (8, 30.2, 59.8, 10.0)]
@@ -297,5 +376,7 @@ def test_city(spark, tmp_path):
     s = city.run(spark, "IF", str(tmp_path / "g.txt"), str(tmp_path / "b.txt"), str(tmp_path / "out"), 900.0, 200.0).first()
     assert s.region_count >= s.min_region_count_estimate >= 1 and s.max_region_weight < 900
     assert s.dual_vertex_number == (n - 1) ** 2
+    lines = next((tmp_path / "out" / "bounds").rglob("part-*")).read_text().split("\n")
+    assert len(lines[-2].split()) == 1 and 0 < float(lines[-2]) < 900 and len({x.split()[0] for x in lines[:-2]}) == len(lines) - 2 >= 4
     for name in ("partition", "centers", "bounds", "dual", "partition_info"):
         assert list((tmp_path / "out" / name).rglob("part-*"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from roadcut.functions import geometry as G
 from roadcut.operators import graph
-from roadcut.plans.store import numbered, stored
+from roadcut.plans.store import by_measure, numbered, stored
 
 
 def placed(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def placed(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def gridded(df: DataFrame, cell: float, x_low, x_high, y_low, y_high) -> DataFrame:
     """A row for each grid cell that the box touches: cell_x, cell_y."""
+    by_measure(df.sparkSession)
     at = lambda v: F.floor(v / cell)
     return df.withColumn("cell_x", F.explode(F.sequence(at(x_low), at(x_high)))).withColumn("cell_y", F.explode(F.sequence(at(y_low), at(y_high))))
 

@@ -22,10 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def by_measure(spark: SparkSession) -> None:
+    """From now on this session broadcasts what it has measured to be small (adaptive execution, after a shuffle), and not what it
+    takes to be small by the size of files: these are compressed, and a grid's cells or a closure multiply rows, so that
+    millions of rows would pass through the driver. Hints still hold."""
+    plain, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if (most := spark.conf.get(plain)) != "-1":
+        if spark.conf.get(measured, None) is None:
+            spark.conf.set(measured, most)
+        spark.conf.set(plain, "-1")
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None, each: int = 40_000) -> DataFrame:
     """df written to the folder that all executors share (spark.checkpoint.dir) and read back. rows: how many it has, about;
     then it is made in tasks and files of ``each`` rows, about, rather than in very small ones."""
     spark = df.sparkSession
+    by_measure(spark)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // each)))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

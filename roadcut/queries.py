@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from roadcut.functions import geometry as G
 from roadcut.operators import faces as D
 from roadcut.operators import graph, planar, regions, tours
 from roadcut.plans import city, divide
-from roadcut.plans.store import numbered, stored
+from roadcut.plans.store import by_measure, numbered, stored
 from roadcut.sources import text
 
 QUERIES: dict[str, Callable] = {}
@@ -52,7 +53,12 @@ _ALL = f"WITH {_V}, {_E}, {_R}, {_C}, {_D}, {_P}, {_L}, {_LINES} "
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark, d) -> DataFrame:
+            by_measure(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f

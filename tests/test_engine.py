@@ -380,3 +380,26 @@ def test_city(spark, tmp_path):
     assert len(lines[-2].split()) == 1 and 0 < float(lines[-2]) < 900 and len({x.split()[0] for x in lines[:-2]}) == len(lines) - 2 >= 4
     for name in ("partition", "centers", "bounds", "dual", "partition_info"):
         assert list((tmp_path / "out" / name).rglob("part-*"))
+
+
+@pytest.mark.parametrize("name", ["near_duplicates", "split_edges", "planarized_city"])
+def test_no_table_is_broadcast_by_the_size_of_its_files(spark, monkeypatch, name):
+    from roadcut import queries as Q
+    from roadcut.operators import faces, planar
+    from roadcut.plans import store
+
+    plans = []
+    told = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    stored = store.stored
+
+    def seen(df, *a, **k):
+        told(df)
+        return stored(df, *a, **k)
+
+    for m in (store, planar, faces):
+        monkeypatch.setattr(m, "stored", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    told(Q.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastHashJoin" in p for p in plans if "max_by" not in p)  # the largest component is one row, and broadcast by a hint
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") is not None  # small ones by measure

@@ -1,4 +1,4 @@
-"""Benchmark decontamination by CGK embeddings and bit-sampling."""
+"""Benchmark decontamination by CGK embeddings and bit-sampling, and an exact way for what they don't propose."""
 
 from __future__ import annotations
 
@@ -27,6 +27,10 @@ TELLING = 1 / 1000
 VOTES = 8
 #: Windows are taken so many words beside the place that a gram tells: words may have been added or split.
 SHIFTS = (-1, 0, 1)
+#: Letters of a gram whose distance from an item is looked up; the greatest distance told; letters told apart.
+GRAM, FAR, CLASSES = 5, 3, 32
+#: Items whose distances stand in one table; bytes of it beyond which it starts anew; stretches of an item.
+GROUP, KNOWN, ZONES = 256, 200 << 20, 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARK = np.zeros(256, bool)
@@ -186,6 +190,130 @@ def could_hold(trigrams: list[str], text: str, most: int) -> bool:
     return sum(map(there.__contains__, trigrams)) >= len(trigrams) - 3 * most
 
 
+class _Bound:
+    """Where texts may hold an item within its edits, without loss. A text is cut into grams of GRAM letters. Each edit falls into one
+    gram at most, so the distances of the grams that a part holds wholly, each to the nearest part of the item, add up to no more
+    than the part's own distance. Distances are told up to FAR; rare letters count as one, which only lowers them.
+    A part has n - k letters at least, so many consecutive grams are looked at for each item of n letters and k edits. What
+    passes is summed up again with the distances from the stretch of the item where each gram can stand: not farther than
+    k from its own place."""
+
+    def __init__(self, texts: list[str], most: list[int]):
+        n, k = np.array([len(t) for t in texts], np.int64), np.array(most, np.int64)
+        span = np.clip((n - k - GRAM + 1) // GRAM, 0, 8000)
+        short = FAR * span <= k  # these grams can't tell anything
+        self.n, self.most, self.short = n, k, np.flatnonzero(short & (n > 0)).tolist()
+        codes, start = _codes(texts)
+        letter, times = np.unique(codes, return_counts=True)
+        self.of = np.zeros(0x110000, np.uint8)
+        self.of[letter] = CLASSES - 1
+        self.of[letter[np.argsort(-times, kind="stable")[: CLASSES - 2]]] = np.arange(1, min(len(letter), CLASSES - 2) + 1)
+        rest = np.flatnonzero(~short)
+        rest = rest[np.argsort(n[rest], kind="stable")]
+        self.groups = []
+        for i in range(0, len(rest), GROUP):
+            own = rest[i : i + GROUP]
+            bits = np.zeros((int(n[own].max()), -(-len(own) // 64), CLASSES), U)
+            for r, m in enumerate(own.tolist()):
+                c = self.of[codes[start[m] : start[m + 1]]]
+                bits[np.arange(len(c)), r >> 6, c] |= U(1 << (r & 63))
+            cut = np.flatnonzero(np.r_[True, np.diff(span[own]) > 0]).tolist()  # items that look at as many grams
+            parts = [(a, b, int(span[own[a]])) for a, b in zip(cut, [*cut[1:], len(own)])]
+            ends = np.zeros((ZONES, len(bits) + 1, bits.shape[1], 1), U)  # places where a gram of a stretch can end
+            for r, m in enumerate(own.tolist()):
+                steps = next(p[2] for p in parts if r < p[1])
+                for z in range(ZONES):
+                    a, b = GRAM * (steps * z // ZONES + 1) - k[m], GRAM * (steps * (z + 1) // ZONES + 1) - 1 + k[m]
+                    ends[z, max(a, 0) : b + 1, r >> 6] |= U(1 << (r & 63))
+            self.groups.append((own, bits, ends, parts))
+        self.table = np.zeros(CLASSES**GRAM if self.groups else 0, np.int32)  # of each gram its row, from 1 on
+        self.forget()
+
+    def forget(self) -> None:
+        self.table[getattr(self, "keys", np.zeros(0, np.int64))] = 0
+        self.keys, self.rows = np.zeros(0, np.int64), None
+
+    def _distances(self, keys: np.ndarray, bits: np.ndarray, ends: np.ndarray, items: int) -> np.ndarray:
+        """Of each gram the least distance from any part of each item, FAR at most: the places of the items where parts end that
+        are within 0, 1 and so on edits of the gram's beginning, a bit for each item. Of the whole item (the last row), and by how much that of a stretch is greater."""
+        out = np.zeros((len(keys), ZONES + 1, items), np.uint8)
+        each = max(1, (1 << 14) // bits[..., 0].size)
+        for i in range(0, len(keys), each):
+            part = keys[i : i + each]
+            near = [np.full((bits.shape[0] + 1, bits.shape[1], len(part)), ~U(0))] * FAR
+            for g in range(GRAM - 1, -1, -1):
+                said = bits.take(part // CLASSES**g % CLASSES, 2)
+                new = [np.zeros_like(near[0])]
+                np.bitwise_and(near[0][:-1], said, out=new[0][1:])
+                for less, now in zip(near, near[1:]):
+                    more = less.copy()  # the gram has a letter more
+                    step = now[:-1] & said
+                    step |= less[:-1]  # another letter
+                    step |= new[-1][:-1]  # the item has a letter more
+                    more[1:] |= step
+                    new.append(more)
+                near = new
+            for r in near:
+                for z in range(ZONES + 1):
+                    met = np.bitwise_or.reduce(r & ends[z] if z < ZONES else r, axis=0).T.copy().view(np.uint8)
+                    out[i : i + each, z] += 1 - np.unpackbits(met, axis=1, count=items, bitorder="little")
+        out[:, :ZONES] -= out[:, ZONES:]
+        return out
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """(text, item, from, to): parts that hold whatever is within the item's edits, in order; short items get whole texts."""
+        out = [(t, m, 0, len(x)) for m in self.short for t, x in enumerate(texts) if len(x) >= self.n[m] - self.most[m]]
+        codes, start = _codes(texts)
+        count = -(-np.diff(start) // GRAM)
+        first = np.r_[0, np.cumsum(count)]
+        said = np.zeros(int(first[-1]) * GRAM, np.uint8)
+        said[np.arange(len(codes)) + np.repeat(first[:-1] * GRAM - start[:-1], np.diff(start))] = self.of[codes]
+        keys = np.zeros(int(first[-1]), np.int64)
+        for g in range(GRAM):
+            keys = keys * CLASSES + said[g::GRAM]
+        of = np.repeat(np.arange(len(texts)), count)
+        for own, bits, ends, parts in self.groups:
+            if len(self.groups) > 1 or self.rows is not None and self.rows.nbytes > KNOWN:
+                self.forget()
+            new = np.unique(keys[self.table[keys] == 0])
+            if len(new):
+                rows = self._distances(new, bits, ends, len(own))
+                self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
+                self.table[new] = len(self.keys) + 1 + np.arange(len(new))
+                self.keys = np.r_[self.keys, new]
+            out += self._parts(self.table[keys].astype(np.int64) - 1, of, first, own, parts)
+        return sorted(out)
+
+    def _parts(self, row: np.ndarray, of: np.ndarray, first: np.ndarray, own: np.ndarray, parts: list[tuple]) -> list[tuple]:
+        longest, hits, flat_rows = max(p[2] for p in parts), [], self.rows.ravel()
+        each = max(1 << 13, 4 * longest)
+        for i in range(0, len(of), each):
+            end = min(len(of), i + each + longest - 1)
+            far = np.zeros((len(own), end - i + 1), np.uint16)
+            far[:, 1:] = np.cumsum(self.rows[row[i:end], ZONES], 0, np.uint16).T
+            most = np.minimum(self.most[own], 65535).astype(np.uint16)
+            for a, b, span in parts:
+                if far.shape[1] > span:
+                    item, at = np.nonzero(far[a:b, span : span + each] - far[a:b, :-span][:, :each] <= most[a:b, None])
+                    item, at = item + a, at + i
+                    ok = np.flatnonzero(of[at] == of[at + span - 1])
+                    left = most[item[ok]] - (far[item[ok], at[ok] - i + span] - far[item[ok], at[ok] - i]).astype(np.int64)
+                    for j in range(span):
+                        z = max(z for z in range(ZONES) if span * z // ZONES <= j)
+                        left -= flat_rows.take((row[at[ok] + j] * (ZONES + 1) + z) * len(own) + item[ok])
+                        low = left >= 0
+                        ok, left = ok[low], left[low]
+                    hits.append(np.stack([of[at[ok]], own[item[ok]], at[ok], np.full(len(ok), span)]))
+        t, m, at, span = np.concatenate([np.zeros((4, 0), np.int64), *hits], 1)
+        begin, reach = (at - first[t]) * GRAM, self.n[m] + self.most[m]
+        order = np.lexsort((begin, m, t))
+        t, m, a, b = (v[order] for v in (t, m, np.maximum(begin + span * GRAM - reach, 0), begin + reach))
+        new = np.r_[len(t) > 0, (t[1:] != t[:-1]) | (m[1:] != m[:-1]) | (a[1:] > b[:-1])] if len(t) else np.zeros(0, bool)
+        begins = np.flatnonzero(new)
+        lasts = np.r_[begins[1:], len(t)] - 1 if len(t) else begins
+        return list(zip(*(v.tolist() for v in (t[begins], m[begins], a[begins], b[lasts]))))
+
+
 class _Places:
     """Where in the items each of some grams stands (item, place), by its hash."""
 
@@ -263,7 +391,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall:
     items) agrees with the item's, or an eighth of its words that are rare among the
     items do, two at least. Window and item are embedded by CGK random walks and compared by repeated bit-sampling; ``recall`` sets the
     repetitions for pairs whose embeddings differ in a share ``apart``. What agrees is verified by exact edit distance
-    to the best part of the window and its surroundings.
+    to the best part of the window and its surroundings. What the embeddings don't propose is sought for behind them in an
+    exact way (_Bound): all parts of all texts that a lower bound of the distance doesn't rule out are searched, so no text
+    within the similarity is left out, and distance is the least one.
 
     Items without words are not found. Null texts are empty. Rows with one doc_id are reported together; repeated items
     under their ids each. Empty tables give no rows. The benchmark is read in blocks of bounded size.
@@ -315,18 +445,34 @@ class _Finder:
         self.block, self.similarity, self.tables = block, similarity, tables
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "items"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("items", "bound")}
 
     def __call__(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         if "items" not in self.__dict__:
             self.items = Items([i for i, _ in self.block], [t for _, t in self.block])
+            self.bound = _Bound(self.items.text, [self._most(t) for t in self.items.text])
         data, off = _io.text_bytes(texts)
         return [(i + t, m, e, s) for i, j in _slices(off, 4 << 20) for t, m, e, s in self._slice(data[off[i] : off[j]], off[i : j + 1] - off[i])]
 
+    def _most(self, item: str) -> int:
+        return int((1 - self.similarity) * len(item) + 1e-9)
+
+    def _rest(self, data: np.ndarray, off: np.ndarray, best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Adds to best what the embeddings haven't proposed, and lesser distances: all parts that _Bound can't rule out."""
+        items, tried = self.items, []
+        texts = [b" ".join(data[a:b].tobytes().split()).decode().lower() for a, b in zip(off[:-1], off[1:])]
+        for t, m, a, b in self.bound(texts):
+            if best.get((t, m), (1,))[0] and could_hold(items.trigrams[m], texts[t][a:b], self._most(items.text[m])):
+                tried.append((t, m, a, texts[t][a:b]))
+        for (t, m, a, text), edits in zip(tried, search_all([items.text[x[1]] for x in tried], [x[3] for x in tried]).tolist()):
+            if edits <= self._most(items.text[m]) and ((t, m) not in best or edits < best[t, m][0]):
+                begin = max(0, search(items.text[m], text)[1] - len(items.text[m]))
+                best[t, m] = (edits, texts[t].count(" ", 0, a + begin))
+
     def _slice(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
         items = self.items
         ws, we, of = _seq.words(data, off)
-        if not len(ws):
+        if not len(ws) or not any(items.text):
             return []
         c = items.candidates(data, ws, we, of)
         count = np.bincount(of, minlength=len(off) - 1)
@@ -351,12 +497,13 @@ class _Finder:
             text = said(t, s - slack, s + k + slack)
             if item in text:
                 best[t, m] = (0, max(s, 0))
-            elif could_hold(items.trigrams[m], text, most := int((1 - self.similarity) * len(item) + 1e-9)):
+            elif could_hold(items.trigrams[m], text, most := self._most(item)):
                 tried.append((t, m, s, text, most))
         tried = [x for x in tried if x[:2] not in best]
         for (t, m, s, _, most), edits in zip(tried, search_all([items.text[x[1]] for x in tried], [x[3] for x in tried]).tolist()):
             if edits <= most and ((t, m) not in best or edits < best[t, m][0]):
                 best[t, m] = (edits, max(s, 0))
+        self._rest(data, off, best)
         return [(t, m, *v) for (t, m), v in best.items()]
 
 

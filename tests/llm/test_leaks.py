@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from roadcut.llm import cgk_decontamination as C
 
@@ -113,3 +114,60 @@ def test_bounds_of_the_edit_search_lose_nothing():
         most, edits = rng.randint(0, 6), C.search(a, b)[0]
         if edits <= most:
             assert C.could_hold([a[i : i + 3] for i in range(len(a) - 2)], b, most)
+
+
+def _edited(rng, words, share=1.0):
+    """A letter changed in words, as a share of them."""
+    out = []
+    for w in words:
+        if rng.random() < share:
+            i = rng.randrange(len(w))
+            w = w[:i] + rng.choice([c for c in "abcdefghijk" if c != w[i]]) + w[i + 1 :]
+        out.append(w)
+    return out
+
+
+def _within(items, texts, similarity=0.8):
+    """(text, item), edits of all pairs within the similarity, by search through whole texts."""
+    out = {}
+    for m, item in enumerate(items):
+        item = " ".join(item.split()).lower()
+        for t, x in enumerate(texts):
+            edits = C.search(item, " ".join(x.split()).lower())[0]
+            if item and edits <= int((1 - similarity) * len(item) + 1e-9):
+                out[t, m] = edits
+    return out
+
+
+def test_an_item_with_a_letter_changed_in_every_word_is_found(spark):
+    rng = random.Random(11)
+    syllables = ["the", "on", "tion", "er", "re", "sh", "ble", "and", "ou", "ly", "nt", "est", "in", "ha"]
+    said = lambda n: ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(n)]
+    items = [said(rng.choice((9, 14, 25, 40))) for _ in range(30)]
+    texts = [" ".join([*said(60), *_edited(rng, w), *said(60)]) for w in items] + [" ".join(said(150)) for _ in range(10)]
+    items = [" ".join(w) for w in items]
+    want = _within(items, texts)
+    assert len(want) >= 25
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.distance for r in C.find(docs, bench).collect()} == want
+    left = {r.doc_id for r in C.drop_contaminated(docs, bench).collect()}
+    assert left == set(range(len(texts))) - {t for t, _ in want}
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9, 1.0])
+def test_nothing_within_the_similarity_is_left_out(similarity):
+    rng = random.Random(int(similarity * 100))
+    letters = "abcdeñ漢 "
+    some = lambda n: " ".join("".join(rng.choice(letters) for _ in range(n)).split())
+    items = [some(rng.choice((1, 3, 8, 20, 40, 60, 90, 200, 330))) for _ in range(300)] + ["", "zz " * 20]
+    texts = ["", "a", "\n b\t"]
+    for _ in range(40):
+        x = list(rng.choice(items))
+        for _ in range(int(len(x) * (1 - similarity) * rng.random() * 1.1)):
+            i = rng.randrange(len(x))
+            x[i : i + 1] = rng.choice(([], [rng.choice(letters)], [x[i], rng.choice(letters)])) if x else []
+            x = x or ["a"]
+        texts.append(some(rng.randrange(300)) + rng.choice((" ", "")) + "".join(x) + some(rng.randrange(300)))
+    f = C._Finder(list(enumerate(items)), similarity, C.tables_for(0.99, 0.85))
+    assert {(t, m): e for t, m, e, _ in f(pa.array(texts))} == _within(items, texts, similarity)

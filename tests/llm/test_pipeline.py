@@ -47,3 +47,15 @@ def test_columns_may_have_any_names(spark):
         assert stage is P.quality or len(got) == 30
     clean = {r.spans: r for r in P.secrets(spark, df, "").collect()}
     assert clean["spans4"].text is None and clean["spans7"].text.endswith("\n[secret]\n") and clean["spans7"].n_chars == len(clean["spans7"].text) and clean["spans8"].n_chars == 99
+
+
+def test_decontamination_leaves_out_no_item_with_every_word_edited(spark):
+    from roadcut.llm import cgk_decontamination as C
+
+    folder = "/root/testdata/sf0.001"
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").where("text IS NOT NULL").orderBy("item_id").limit(6).collect()]
+    texts = [" ".join(("0" if w[0] != "0" else "1") + w[1:] for w in t.lower().split()) for t in items]
+    near = [C.search(" ".join(t.lower().split()), x)[0] <= int(0.2 * len(" ".join(t.split())) + 1e-9) for t, x in zip(items, texts)]
+    assert any(near)
+    docs = spark.createDataFrame([(i, f"zzz yyy {x} zzz") for i, x in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in P.decontamination(spark, docs, folder).collect()} == {i for i, n in enumerate(near) if not n}

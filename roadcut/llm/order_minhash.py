@@ -26,6 +26,12 @@ MORE = 32
 PART = 200_000
 #: Texts or pairs of texts that a task works on at least.
 HEAVY = 1000
+#: Texts of the sample that tells which shingles are common; how often such a one stands there; how many are told at most.
+SAMPLE, COMMON, TOLD = 4000, 3, 50_000
+#: Shares to which the texts with a common shingle are dealt out.
+SHARES = 64
+#: Bits of the map that tells which rows a join won't need.
+BITS = 1 << 22
 
 
 def labelled(h: np.ndarray, of: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,21 +123,82 @@ def _words(text: pa.Array):
         yield i, j, h, of, np.bincount(of, minlength=j - i)
 
 
-def _sketched(shingle: int):
+def _cut(g: np.ndarray) -> np.ndarray:
+    """The bits of shingles' hashes by which compared texts are told apart."""
+    return (g >> U(64 - 8 * WIDTH)).astype(np.int64)
+
+
+def _sampled(shingle: int):
+    """key, n: shingles of the batches' texts and how often they stand there."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, h, of, _ in _words(batch.column("text")):
+                key, n = np.unique(_cut(labelled(h, of, shingle)[0]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
+
+    return run
+
+
+def _common(docs: DataFrame, shingle: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles (rising) and how common they are, by a sample of the different texts. It only sets the order of
+    shingles, so it bears on the work and not on the result."""
+    some = docs.where(F.pmod(F.xxhash64("same"), F.lit(max(1, count // SAMPLE))) == 0).groupBy("same").agg(F.first("text").alias("text"))
+    n = some.select("text").mapInArrow(_sampled(shingle), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    got = n.orderBy(F.desc("n"), "key").limit(TOLD).collect()
+    key, many = np.array([r.key for r in got], np.int64), np.array([r.n for r in got], np.int64)
+    order = np.argsort(key)
+    return key[order], many[order]
+
+
+def prefixes(key: np.ndarray, of: np.ndarray, texts: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text (of: rising) the shingles of which two texts of that similarity must share one: the first of one order of all
+    shingles, as many as a text may lack and one more. The order is by commonness, then by key. The shingles in that order, where
+    each text's begin (one more for the end), and how many of each text's aren't common."""
+    many = np.zeros(len(key), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], key), len(common[0]) - 1)
+        many = np.where(common[0][at] == key, common[1][at], 0)
+    order = np.lexsort((key, many, of))
+    n = np.bincount(of, minlength=texts)
+    take = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+    pick = order[_seq.gather(np.cumsum(n) - n, take)]
+    start = np.r_[0, np.cumsum(take)]
+    plain = np.r_[0, np.cumsum(many[pick] == 0)]
+    return key[pick], start, plain[start[1:]] - plain[start[:-1]]
+
+
+def _sketched(shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
     def run(batches):
         for batch in batches:
             for i, j, h, of, n in _words(batch.column("text")):
                 g, t = labelled(h, of, shingle)
                 keys = sketches(g, t, j - i)
+                rare, start, plain = prefixes(_cut(g), t, j - i, similarity, common)
+                rare = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(rare))
                 first = np.cumsum(n) - n
                 whole = _seq.spans_hash(h, first, first + n).astype(np.int64)
                 off = pa.array(np.arange(0, (j - i + 1) * SKETCHES, SKETCHES), pa.int32())
                 same = [batch.column(c).slice(i, j - i) for c in ("doc_id", "same")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(whole), pa.array(n, pa.int64()), pa.ListArray.from_arrays(off, pa.array(keys.astype(np.int64).ravel()))], names=["doc_id", "same", "whole", "n_words", "sketch"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(whole), pa.array(n, pa.int64()), pa.ListArray.from_arrays(off, pa.array(keys.astype(np.int64).ravel())), rare, pa.array(plain, pa.int32())], names=["doc_id", "same", "whole", "n_words", "sketch", "rare", "plain"])
 
     return run
 
 
+def tally(key: np.ndarray) -> np.ndarray:
+    """How many of a text's shingles fall into each of n / 4 to n / 2 bins, 255 at most."""
+    bins = max(16, 1 << max(0, (len(key) >> 2) - 1).bit_length())
+    return np.minimum(np.bincount(key & (bins - 1), minlength=bins), 255).astype(np.uint8)
+
+
+def could_be(a: np.ndarray, b: np.ndarray, n: int, similarity: float) -> bool:
+    """False only where two texts of n shingles together can't be similar, by their tallies: what these differ by, the finer one
+    folded, is no more than the shingles that only one text has."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    b = b.reshape(-1, len(a)).sum(0, dtype=np.int64)
+    return np.abs(b - a).sum() <= n - 2 * np.ceil(similarity * n / (1 + similarity) - 1e-9)
+
+
 def _shingled(shingle: int):
     def run(batches):
         for batch in batches:
@@ -139,7 +206,10 @@ def _shingled(shingle: int):
                 g, t = labelled(h, of, shingle)
                 cut = np.searchsorted(t, np.arange(j - i + 1))
                 flat = (g >> U(64 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["rep", "shingles"])
+                said = pa.array([flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
+                key = _cut(g)
+                told = pa.array([tally(key[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), said, told], names=["rep", "shingles", "tally"])
 
     return run
 
@@ -153,7 +223,7 @@ def _numbers(raw: bytes) -> np.ndarray:
 def _verified(similarity: float):
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a_shingles").to_pylist(), batch.column("b_shingles").to_pylist()
+            a, b = batch.column("a_said").to_pylist(), batch.column("b_said").to_pylist()
             yes, at, known = [], None, None
             for x, y in zip(a, b):
                 if x is not at and x != at:
@@ -164,56 +234,75 @@ def _verified(similarity: float):
     return run
 
 
-def _checked(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """a, b, yes for pairs (a, b): a is a pivot, whose shingles travel once for each share of its partners."""
-    left = shingles.select(F.col("rep").alias("a"), F.col("shingles").alias("a_shingles"))
-    right = shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("b_shingles"))
+def _tallied(similarity: float):
+    def run(batches):
+        for batch in batches:
+            a, b, n = batch.column("a_said").to_pylist(), batch.column("b_said").to_pylist(), batch.column("n").to_pylist()
+            yes = [bool(could_be(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), k, similarity)) for x, y, k in zip(a, b, n)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], names=["a", "b", "yes"])
+
+    return run
+
+
+def _compared(pairs: DataFrame, shingles: DataFrame, column: str, run) -> DataFrame:
+    """a, b, yes for pairs (a, b): a is a pivot, whose column travels once for each share of its partners."""
+    there = _only(shingles, pairs.select(F.explode(F.array("a", "b")).alias("rep")), "rep")
+    said, n = F.col(column), (F.octet_length("shingles") / WIDTH).cast("long")
+    left = there.select(F.col("rep").alias("a"), said.alias("a_said"), n.alias("a_n"))
+    right = there.select(F.col("rep").alias("b"), said.alias("b_said"), n.alias("b_n"))
     both = _io.spread(pairs, ["a"], left, "b", with_rows=lambda p: p.join(right, "b"))
-    return both.select("a", "b", "a_shingles", "b_shingles").mapInArrow(_verified(similarity), "a long, b long, yes boolean")
+    return both.select("a", "b", "a_said", "b_said", (F.col("a_n") + F.col("b_n")).alias("n")).mapInArrow(run, "a long, b long, yes boolean")
+
 
+def _checked(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """a, b, yes for pairs (a, b). Tallies, which are short, go first; shingles only of the pairs that these don't rule out."""
+    told = _io.stored(_compared(pairs, shingles, "tally", _tallied(similarity)), "told", pairs.count(), 10 * HEAVY)
+    return told.where("NOT yes").unionByName(_compared(told.where("yes").select("a", "b"), shingles, "shingles", _verified(similarity)))
 
-def _rarest(similarity: float):
-    """The prefix of a text's shingles, the rarest first, of which two texts of that similarity must share one."""
 
+def _first(similarity: float):
     def run(batches):
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            many = batch.column("many")
-            n = batch.column("n").to_numpy()
-            off, flat = many.offsets.to_numpy(), many.flatten().to_numpy()
-            key = batch.column("key").flatten().to_numpy()
-            take, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(batch.num_rows):
-                a, b = off[i], off[i + 1]
-                order = np.lexsort((key[a:b], flat[a:b])) + a
-                alone = n[i] - (b - a)  # shingles that no other text has come first, and need no place
-                take.append(order[: max(0, int(n[i] - np.ceil(similarity * n[i] - 1e-9)) + 1 - alone)])
-                at.append(alone + 1 + np.arange(len(take[-1])))
-            row = np.repeat(np.arange(batch.num_rows), [len(t) for t in take[1:]])
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(key[np.concatenate(take)]), pa.array(n[row]), pa.array(np.concatenate(at))], names=["rep", "key", "size", "at"])
+            raw = [_numbers(x).astype(np.int64) for x in batch.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in raw], np.int64)
+            key, start, _ = prefixes(np.concatenate([none[0], *raw]), np.repeat(np.arange(len(raw)), n), len(raw), similarity, none)
+            row = np.repeat(np.arange(len(raw)), np.diff(start))
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("rep").take(pa.array(row)), pa.array(n[row]), pa.array(np.arange(len(key)) - start[row] + 1)], names=["key", "rep", "size", "at"])
 
     return run
 
 
-def _unpacked(batches):
-    for batch in batches:
-        raw = [_numbers(x) for x in batch.column("shingles").to_pylist()]
-        n = [len(x) for x in raw]
-        rep = batch.column("rep").take(pa.array(np.repeat(np.arange(len(n)), n)))
-        flat = np.concatenate([np.zeros(0, "<u8"), *raw]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([rep, pa.array(flat)], names=["rep", "key"])
-
-
 def _postings(open_: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """key, rep, size, at: of the texts in open_ the shingles by which an exact prefix filter joins them: the rarest ones, as
-    many as a text may lack and one more, with their places in that order. Any two of these texts that are similar have
-    one in common at places that _near allows."""
-    s = shingles.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_unpacked, "rep long, key long")
-    s = _io.stored(s, "unpacked", shingles.count(), HEAVY)
-    many = s.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    known = _io.spread(s, ["key"], many, "rep")
-    size = s.groupBy("rep").agg(F.count("*").alias("n"))
-    lists = known.groupBy("rep").agg(F.collect_list("many").alias("many"), F.collect_list("key").alias("key")).join(size, "rep")
-    return lists.select("rep", "n", "many", "key").mapInArrow(_rarest(similarity), "rep long, key long, size long, at long")
+    """key, rep, size, at: of the texts in open_ the shingles by which an exact prefix filter joins them (prefixes), with their
+    places in that order. Any two of these texts that are similar have one in common at places that _near allows."""
+    return shingles.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_first(similarity), "key long, rep long, size long, at long")
+
+
+def _only(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """rows without most of those whose column isn't among wanted's, by a map of bits that is broadcast: half a megabyte at
+    any size. It loses none that is."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BITS)).alias("bit")
+    bits = wanted.select(bit).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bit_map")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    r = rows.withColumn("bit", bit).withColumn("bit_map", F.expr("bitmap_bucket_number(bit)")).join(F.broadcast(bits), "bit_map")
+    there = F.expr("shiftright(conv(hex(substring(bits, CAST(bitmap_bit_position(bit) div 8 AS INT) + 1, 1)), 16, 10)::INT, CAST(bitmap_bit_position(bit) % 8 AS INT)) & 1 = 1")
+    return r.where(there).select(*rows.columns)
+
+
+def _met(texts: DataFrame, similarity: float) -> DataFrame:
+    """key, rep, size, at, n (members): the prefixes of texts (whole, size, rare, plain), but for shingles that one text alone
+    has there. Texts with a common shingle are dealt out to shares; of the others those go that can be similar to no member
+    of their bucket: the next larger one is too large, and they are too large for all smaller ones (_near)."""
+    p = texts.select(F.col("whole").alias("rep"), "size", "plain", F.posexplode("rare").alias("at", "key"))
+    share = F.when(F.col("at") < F.col("plain"), 0).otherwise(1 + F.pmod(F.xxhash64("rep"), F.lit(SHARES)))
+    p = p.select("key", "rep", "size", (F.col("at") + 1).cast("long").alias("at"), share.cast("int").alias("share"))
+    many = p.groupBy("key").agg(F.count("*").alias("n"), F.max("share").alias("last")).where("n > 1")
+    many = many.select("key", "n", F.explode(F.when(F.col("last") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(SHARES)))).alias("share"))
+    p = p.join(many, ["key", "share"]).withColumn("largest", F.floor((F.col("size") - F.col("at") + 1 + 1e-9) * (1 + similarity) / similarity) - F.col("size"))
+    by_size = Window.partitionBy("key", "share").orderBy("size", "rep")
+    over, under = F.lead("size").over(by_size) <= F.col("largest"), F.max("largest").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("size")
+    meets = (F.col("share") > 0) | F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False))
+    return p.withColumn("meets", meets).where("meets").select(*MEMBER)
 
 
 def _buckets(members: DataFrame, count: int, left: int) -> DataFrame:
@@ -253,16 +342,16 @@ def _components(checked: DataFrame) -> DataFrame:
     return _io.stored(graph.components(half, dealt=1 + count // PART).select(F.col("id").alias("node"), F.col("component").alias("root")), "roots", count)
 
 
-def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked: DataFrame | None, turns: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked: DataFrame | None, turns: int | None, last: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs that were compared (a, b, yes), roots, and the open buckets (as _open) after so many turns; with None, when no
-    bucket holds two classes that haven't been compared. members: as of _buckets."""
+    bucket holds two classes that haven't been compared. members: as of _buckets. last: pivots of the first turn."""
     if checked is None:
         checked, roots = members.sparkSession.createDataFrame([], "a long, b long, yes boolean"), None
         rows = members.select(*MEMBER, F.col("rep").alias("root"))
     else:
         roots = _components(checked)
         rows = _open(members, roots, 2)
-    first, last, turn = 1, 1, 0
+    first, turn = 1, 0
     meets = members.groupBy("rep").agg(F.sum("n").alias("meets"))
     while not rows.isEmpty() and turn != turns:
         pivots = _pivots(rows, meets, first, last)
@@ -291,12 +380,11 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     go on as one.
 
     Candidates: texts that share a key of Order MinHash. In each key's bucket the others are compared to a pivot, the
-    member that meets most others (the middle of a star). Texts in buckets that still hold two classes go through an exact
-    prefix filter: any two similar ones of them share one of their rarest shingles, so each such shingle is a bucket
-    again, in which pivots (one, 32 times as many and so on, linked or not) meet the members that aren't of their class until
-    all are compared or of one class. Of 24 keys a pair with similarity 0.8 shares each with probability 0.26, so 99 of
-    100 such pairs meet; more where similarity is higher. Buckets, pivots' partners and classes are joined in shares, so
-    no task gets one that holds a large part of all rows.
+    member that meets most others (the middle of a star). Behind them all texts go through an exact prefix filter: any two
+    similar ones share one of the first fifth of their shingles (in one order of all shingles, the common ones last), so each
+    such shingle is a bucket again, in which pivots (one, 32 times as many and so on, linked or not) meet the members that
+    aren't of their class until all are compared or of one class. So no pair is lost, whether or not it shares a key. Buckets,
+    pivots' partners and classes are joined in shares, so no task gets one that holds a large part of all rows.
 
     Texts of fewer than five words link only to equal ones; texts without words are equal. Null text: empty. A null
     doc_id is the class's only where no row has another. Rows that repeat are returned each. Rows with
@@ -305,18 +393,21 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     """
     d = _io.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("same", F.xxhash64("text"))
-    own = _io.stored(d.mapInArrow(_sketched(shingle), "doc_id long, same long, whole long, n_words long, sketch array<long>"), "sketches", d.count(), 2 * HEAVY)
-    texts = _io.stored(own.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "texts", own.count())
+    rows = d.count()
+    sketched = _sketched(shingle, similarity, _common(d, shingle, rows))
+    own = _io.stored(d.mapInArrow(sketched, "doc_id long, same long, whole long, n_words long, sketch array<long>, rare array<long>, plain int"), "sketches", rows, 2 * HEAVY)
+    texts = own.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), *(F.first(c).alias(c) for c in ("n_words", "sketch", "rare", "plain")))
+    texts = _io.stored(texts.withColumn("size", F.col("n_words") - shingle + 1), "texts", rows, 10 * HEAVY)
     count = texts.count()
-    size = (F.col("n_words") - shingle + 1).alias("size")
-    buckets = _buckets(texts.select(F.col("whole").alias("rep"), size, F.lit(1).cast("long").alias("at"), F.explode("sketch").alias("key")), count * SKETCHES, count)
-    need = _io.stored(buckets.select("rep").distinct().join(texts.select(F.col("whole").alias("rep"), "same"), "rep"), "need", count)
-    said = d.groupBy("same").agg(F.first("text").alias("text")).join(need.select("same", "rep"), "same").select("rep", "text")
-    shingles = _io.stored(said.mapInArrow(_shingled(shingle), "rep long, shingles binary"), "shingles", need.count(), HEAVY)
-    checked, roots, rows = _linked(buckets, shingles, similarity, None, 1)
-    if not rows.isEmpty():
-        rare = _io.stored(_postings(rows, shingles, similarity), "rare", rows.count())
-        _, roots, _ = _linked(_buckets(rare, rare.count(), rare.count()), shingles, similarity, checked, None)
+    keys = texts.select(F.col("whole").alias("rep"), "size", F.lit(1).cast("long").alias("at"), F.explode("sketch").alias("key"))
+    buckets = _buckets(keys, count * SKETCHES, count)
+    met = _io.stored(_met(texts, similarity), "rare")
+    need = buckets.select("rep").union(met.select("rep")).distinct()
+    need = _io.stored(need.join(texts.select(F.col("whole").alias("rep"), "same"), "rep"), "need", count)
+    said = _only(d, need, "same").groupBy("same").agg(F.first("text").alias("text")).join(need.select("same", "rep"), "same").select("rep", "text")
+    shingles = _io.stored(said.mapInArrow(_shingled(shingle), "rep long, shingles binary, tally binary"), "shingles", need.count(), HEAVY)
+    checked, _, _ = _linked(buckets, shingles, similarity, None, 1)
+    _, roots, _ = _linked(met, shingles, similarity, checked, None, MORE)
     least = own.groupBy("whole").agg(F.min("doc_id").alias("least"))
     least = _io.stored(least.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("class_key"), "least"), "least", count)
     of = least.groupBy("class_key").agg(F.min("least").alias("first"))

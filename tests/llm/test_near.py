@@ -129,3 +129,43 @@ def test_spread(spark):
     other = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k long, w string")
     got = sorted(map(tuple, _io.spread(rows, ["k"], other, "v").select("k", "v", "w").collect()))
     assert got == sorted(map(tuple, rows.join(other, "k").select("k", "v", "w").collect()))
+
+
+def test_pairs_without_a_shared_key_are_linked(spark):
+    """Texts alike by 0.8 or a little more of which no Order MinHash key agrees."""
+    rng, pairs = random.Random(8), []
+    while len(pairs) < 3:
+        w = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        v = list(w)
+        for p in (30, 75):
+            v[p] = f"e{rng.randrange(10**6)}"
+        g = [words_hash(x) for x in (w, v)]
+        keys = [O.sketches(x, np.zeros(len(x), np.int64), 1)[0] for x in g]
+        if not set(keys[0].tolist()) & set(keys[1].tolist()) and O.aligned(*g, 0.8):
+            pairs.append((w, v))
+    rows = [(2 * i + k, " ".join(x)) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    got = {r.doc_id: r.class_id for r in O.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_the_order_of_shingles_loses_no_pair():
+    """Whichever shingles are taken to be common, two similar texts share one of their prefixes."""
+    rng = random.Random(9)
+    w = [f"w{i}" for i in range(60)]
+    said = []
+    for i in range(60):
+        v = list(w)
+        for p in rng.sample(range(60), rng.randint(0, 4)):
+            v[p] = f"e{i}x{p}"
+        said.append(v[: rng.randint(50, 60)])
+    sh = [words_hash(v) for v in said]
+    key, of = O._cut(np.concatenate(sh)), np.repeat(np.arange(60), [len(g) for g in sh])
+    for told in (0, 20, 50):
+        common = np.sort(rng.sample(np.unique(key).tolist(), told)).astype(np.int64), np.array([rng.randint(3, 9) for _ in range(told)], np.int64)
+        got, start, plain = O.prefixes(key, of, 60, 0.8, common)
+        part = [set(got[a:b].tolist()) for a, b in zip(start[:-1], start[1:])]
+        assert all(not set(common[0].tolist()) & set(got[a : a + n].tolist()) for a, n in zip(start, plain))
+        similar = [(i, j) for i in range(60) for j in range(i) if brute(sh[i], sh[j]) >= 0.8]
+        assert len(similar) > 20 and all(part[i] & part[j] for i, j in similar)
+        told = [O.tally(O._cut(g)) for g in sh]
+        assert all(O.could_be(told[i], told[j], len(sh[i]) + len(sh[j]), 0.8) for i, j in similar)

@@ -22,14 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes that are measured to be small, at most. Shuffled rows are compressed; in the driver they take many times as much.
+SMALL = 256 << 10
+
+
 def by_measure(spark: SparkSession) -> None:
     """From now on this session broadcasts what it has measured to be small (adaptive execution, after a shuffle), and not what it
     takes to be small by the size of files: these are compressed, and a grid's cells or a closure multiply rows, so that
-    millions of rows would pass through the driver. Hints still hold."""
+    millions of rows would pass through the driver. Of Spark's own threshold SMALL bytes are left, since rounds of joins bring
+    many such tables to the driver, at once and one after the other. Hints still hold."""
     plain, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
     if (most := spark.conf.get(plain)) != "-1":
         if spark.conf.get(measured, None) is None:
-            spark.conf.set(measured, most)
+            spark.conf.set(measured, str(min(SMALL, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most))))
         spark.conf.set(plain, "-1")
 
 

@@ -403,3 +403,19 @@ def test_no_table_is_broadcast_by_the_size_of_its_files(spark, monkeypatch, name
     assert any("SortMergeJoin" in p for p in plans)
     assert not any("BroadcastHashJoin" in p for p in plans if "max_by" not in p)  # the largest component is one row, and broadcast by a hint
     assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") is not None  # small ones by measure
+
+
+@pytest.mark.parametrize("own, left", [("10m", 256 << 10), ("64k", 64 << 10)])
+def test_little_is_broadcast_however_it_was_measured(spark, own, left):
+    from roadcut.plans import store
+
+    plain, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    was = {k: spark.conf.get(k, None) for k in (plain, measured)}
+    try:
+        spark.conf.unset(measured)
+        spark.conf.set(plain, own)
+        store.by_measure(spark)
+        assert spark.conf.get(plain) == "-1" and int(spark.conf.get(measured)) == left
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

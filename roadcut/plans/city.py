@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,23 +18,26 @@ from roadcut.sources import text
 
 @dataclass
 class Prepared:
-    """A plane graph with its faces: vertices, traced half-edges, inner faces and their dual."""
+    """A plane graph with its faces: vertices, traced half-edges, inner faces and their dual, which is made when it is asked for."""
 
     vertices: DataFrame
     traced: DataFrame
     faces: DataFrame
-    dual: DataFrame
+
+    @cached_property
+    def dual(self) -> DataFrame:
+        return stored(faces_.dual_edges(self.traced, self.faces), "dual")
 
 
 def prepare(vertices: DataFrame, edges: DataFrame, cell: float, eps: float = 1.0, make_planar: bool = True) -> Prepared:
-    """Largest component, planarized, traced."""
-    half = graph.half_edges(edges)
-    half = graph.induced(half, graph.largest_component(half))
+    """Largest component, planarized, traced. What is read more than once is stored, so that no plan holds the making of it
+    twice: plans and their code take the driver's memory."""
+    half = stored(graph.half_edges(edges), "half")
+    half = graph.induced(half, stored(graph.largest_component(half), "largest"))
     e = graph.undirected(half)
     vertices, e = planar.planarize(vertices, e, cell, eps) if make_planar else (vertices, e)
-    traced = stored(faces_.trace(faces_.angular(graph.half_edges(e), vertices)), "traced")
-    inner = stored(faces_.interior(faces_.faces(traced)), "faces")
-    return Prepared(vertices, traced, inner, stored(faces_.dual_edges(traced, inner), "dual"))
+    traced = stored(faces_.trace(stored(faces_.angular(graph.half_edges(e), vertices), "angular")), "traced")
+    return Prepared(vertices, traced, stored(faces_.interior(faces_.faces(traced)), "faces"))
 
 
 def weigh(p: Prepared, points: DataFrame, cell: float) -> DataFrame:

@@ -419,3 +419,25 @@ def test_little_is_broadcast_however_it_was_measured(spark, own, left):
     finally:
         for k, v in was.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_preparation_makes_each_table_once_and_no_dual_that_nobody_reads(spark, monkeypatch):
+    from roadcut import queries as Q
+    from roadcut.operators import faces, graph, planar
+    from roadcut.plans import city, store
+
+    plans = {}
+    stored = store.stored
+
+    def seen(df, name, *a, **k):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name, *a, **k)
+
+    for m in (store, planar, faces, graph, city):
+        monkeypatch.setattr(m, "stored", seen)
+    assert Q.QUERIES["planarized_city"](spark, "/root/testdata/sf0.001").count()
+    assert "dual" not in plans
+    assert all("Window" not in p for p in plans["next"])  # angles and ranks were made before, not once for each side of the join
+    assert all("_forest" not in p for p in plans["ranges"])  # nor the components
+    half, vertices = plans["half"][0], plans["local"][0]
+    assert "Join" in half and "Join" not in vertices

@@ -29,8 +29,10 @@ VOTES = 8
 SHIFTS = (-1, 0, 1)
 #: Letters of a gram whose distance from an item is looked up; the greatest distance told; letters told apart.
 GRAM, FAR, CLASSES = 5, 3, 32
-#: Items whose distances stand in one table; bytes of it beyond which it starts anew; stretches of an item.
-GROUP, KNOWN, ZONES = 256, 200 << 20, 4
+#: Items whose distances stand in one table; bytes of it beyond which it starts anew; stretches of an item, to so many letters.
+GROUP, KNOWN, ZONES, STEP = 256, 64 << 20, 4, 4
+#: Letters that a batch of searches holds at once.
+HELD = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARK = np.zeros(256, bool)
@@ -46,8 +48,8 @@ def tables_for(recall: float, apart: float) -> int:
 
 @lru_cache(4)
 def _coins(steps: int) -> np.ndarray:
-    """Random bits by walk, step and symbol."""
-    return np.random.default_rng(5).integers(0, 2, (WALKS, steps, 256), dtype=np.int32)
+    """Random bits by walk, step and symbol; the same for a step however many follow."""
+    return np.random.default_rng(5).integers(0, 2, (steps, WALKS, 256), dtype=np.int32).transpose(1, 0, 2)
 
 
 def embed(texts: list[str], steps: int) -> np.ndarray:
@@ -144,9 +146,11 @@ def search_all(items: list[str], texts: list[str], batch: int = 1024) -> np.ndar
     level = np.ceil(np.log2(np.maximum(words[order], 1)))
     cut = np.flatnonzero(np.r_[True, np.diff(level) > 0]) if len(order) else []
     for a, b in zip(cut, np.r_[cut[1:], len(order)]):
-        for i in range(a, b, batch):
-            part = order[i : min(b, i + batch)]
+        while a < b:
+            part = order[a : min(b, a + batch)]  # sizes rise: no more than fit beside the longest
+            part = part[: max(1, int(np.count_nonzero(size[part] * np.arange(1, len(part) + 1) <= HELD)))]
             out[part] = _search_batch([items[j] for j in part], [texts[j] for j in part], int(words[part].max()))
+            a += len(part)
     return out
 
 
@@ -213,7 +217,7 @@ class _Bound:
         self.groups = []
         for i in range(0, len(rest), GROUP):
             own = rest[i : i + GROUP]
-            bits = np.zeros((int(n[own].max()), -(-len(own) // 64), CLASSES), U)
+            bits = np.zeros(((int(n[own].max()) // STEP + 1) * STEP - 1, -(-len(own) // 64), CLASSES), U)
             for r, m in enumerate(own.tolist()):
                 c = self.of[codes[start[m] : start[m + 1]]]
                 bits[np.arange(len(c)), r >> 6, c] |= U(1 << (r & 63))
@@ -225,24 +229,28 @@ class _Bound:
                 for z in range(ZONES):
                     a, b = GRAM * (steps * z // ZONES + 1) - k[m], GRAM * (steps * (z + 1) // ZONES + 1) - 1 + k[m]
                     ends[z, max(a, 0) : b + 1, r >> 6] |= U(1 << (r & 63))
+            ends = np.bitwise_or.reduce(ends.reshape(ZONES, -1, STEP, *ends.shape[2:]), axis=2)
             self.groups.append((own, bits, ends, parts))
-        self.table = np.zeros(CLASSES**GRAM if self.groups else 0, np.int32)  # of each gram its row, from 1 on
         self.forget()
 
     def forget(self) -> None:
-        self.table[getattr(self, "keys", np.zeros(0, np.int64))] = 0
-        self.keys, self.rows = np.zeros(0, np.int64), None
+        """No gram is known: keys (rising), and of each its row."""
+        self.keys, self.at, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
     def _distances(self, keys: np.ndarray, bits: np.ndarray, ends: np.ndarray, items: int) -> np.ndarray:
-        """Of each gram the least distance from any part of each item, FAR at most: the places of the items where parts end that
-        are within 0, 1 and so on edits of the gram's beginning, a bit for each item. Of the whole item (the last row), and by how much that of a stretch is greater."""
-        out = np.zeros((len(keys), ZONES + 1, items), np.uint8)
-        each = max(1, (1 << 14) // bits[..., 0].size)
+        """Of each gram (rising) the least distance from any part of each item, FAR at most: the places of the items where parts end that
+        are within 0, 1 and so on edits of the gram's beginning, a bit for each item; grams that begin alike share these. Of the whole
+        item (the last row), and by how much that of a stretch is greater; four items a byte."""
+        out = np.zeros((len(keys), ZONES + 1, -(-items // 4) * 4), np.uint8)
+        each = max(1, (1 << 16) // bits[..., 0].size)
         for i in range(0, len(keys), each):
-            part = keys[i : i + each]
-            near = [np.full((bits.shape[0] + 1, bits.shape[1], len(part)), ~U(0))] * FAR
+            part, was = keys[i : i + each], np.zeros(1, np.int64)
+            near = [np.full((bits.shape[0] + 1, bits.shape[1], 1), ~U(0))] * FAR
             for g in range(GRAM - 1, -1, -1):
-                said = bits.take(part // CLASSES**g % CLASSES, 2)
+                begin = np.unique(part // CLASSES**g)
+                if len(begin) > len(was):
+                    near = [r.take(np.searchsorted(was, begin // CLASSES), 2) for r in near]
+                said, was = bits.take(begin % CLASSES, 2), begin
                 new = [np.zeros_like(near[0])]
                 np.bitwise_and(near[0][:-1], said, out=new[0][1:])
                 for less, now in zip(near, near[1:]):
@@ -254,11 +262,12 @@ class _Bound:
                     new.append(more)
                 near = new
             for r in near:
+                r = np.bitwise_or.reduce(r.reshape(-1, STEP, *r.shape[1:]), axis=1)
                 for z in range(ZONES + 1):
                     met = np.bitwise_or.reduce(r & ends[z] if z < ZONES else r, axis=0).T.copy().view(np.uint8)
-                    out[i : i + each, z] += 1 - np.unpackbits(met, axis=1, count=items, bitorder="little")
+                    out[i : i + each, z, :items] += 1 - np.unpackbits(met, axis=1, count=items, bitorder="little")
         out[:, :ZONES] -= out[:, ZONES:]
-        return out
+        return np.bitwise_or.reduce(out.reshape(*out.shape[:2], -1, 4) << np.arange(0, 8, 2, dtype=np.uint8), axis=3)
 
     def __call__(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, from, to): parts that hold whatever is within the item's edits, in order; short items get whole texts."""
@@ -272,38 +281,52 @@ class _Bound:
         for g in range(GRAM):
             keys = keys * CLASSES + said[g::GRAM]
         of = np.repeat(np.arange(len(texts)), count)
+        keys, back = np.unique(keys, return_inverse=True)
         for own, bits, ends, parts in self.groups:
-            if len(self.groups) > 1 or self.rows is not None and self.rows.nbytes > KNOWN:
+            new = keys[_seq.member(keys, self.keys) < 0]
+            if len(self.groups) > 1 or self.rows is not None and len(self.keys) + len(new) > self.rows.shape[2]:
                 self.forget()
-            new = np.unique(keys[self.table[keys] == 0])
+                new = keys
+            if self.rows is None:  # pages that nothing was written to take no memory
+                width = -(-len(own) // 4)
+                self.rows = np.empty((ZONES + 1, width, max(len(new), KNOWN // (ZONES + 1) // width)), np.uint8)
             if len(new):
-                rows = self._distances(new, bits, ends, len(own))
-                self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
-                self.table[new] = len(self.keys) + 1 + np.arange(len(new))
-                self.keys = np.r_[self.keys, new]
-            out += self._parts(self.table[keys].astype(np.int64) - 1, of, first, own, parts)
+                end = len(self.keys) + len(new)
+                self.rows[..., len(self.keys) : end] = self._distances(new, bits, ends, len(own)).transpose(1, 2, 0)
+                met, at = np.r_[self.keys, new], np.r_[self.at, np.arange(len(self.keys), end)]
+                order = np.argsort(met, kind="stable")
+                self.keys, self.at = met[order], at[order]
+            out += self._parts(self.at[_seq.member(keys, self.keys)][back], of, first, own, parts)
         return sorted(out)
 
+    def _summed(self, z: int, row: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Sums of the distances of stretch z of these items, from the first of some grams (row) up to each."""
+        out = np.zeros((len(items), len(row) + 1), np.uint16)
+        said = self.rows[z].take(row, 1)[items >> 2] >> ((items & 3) * 2).astype(np.uint8)[:, None] & np.uint8(3)
+        np.cumsum(said, 1, np.uint16, out=out[:, 1:])
+        return out
+
     def _parts(self, row: np.ndarray, of: np.ndarray, first: np.ndarray, own: np.ndarray, parts: list[tuple]) -> list[tuple]:
-        longest, hits, flat_rows = max(p[2] for p in parts), [], self.rows.ravel()
-        each = max(1 << 13, 4 * longest)
+        longest, hits = max(p[2] for p in parts), []
+        each, most = max(1 << 13, 4 * longest), np.minimum(self.most[own], 65535).astype(np.uint16)
         for i in range(0, len(of), each):
             end = min(len(of), i + each + longest - 1)
-            far = np.zeros((len(own), end - i + 1), np.uint16)
-            far[:, 1:] = np.cumsum(self.rows[row[i:end], ZONES], 0, np.uint16).T
-            most = np.minimum(self.most[own], 65535).astype(np.uint16)
+            far, found = self._summed(ZONES, row[i:end], np.arange(len(own))), [np.zeros((4, 0), np.int64)]
             for a, b, span in parts:
                 if far.shape[1] > span:
-                    item, at = np.nonzero(far[a:b, span : span + each] - far[a:b, :-span][:, :each] <= most[a:b, None])
-                    item, at = item + a, at + i
-                    ok = np.flatnonzero(of[at] == of[at + span - 1])
-                    left = most[item[ok]] - (far[item[ok], at[ok] - i + span] - far[item[ok], at[ok] - i]).astype(np.int64)
-                    for j in range(span):
-                        z = max(z for z in range(ZONES) if span * z // ZONES <= j)
-                        left -= flat_rows.take((row[at[ok] + j] * (ZONES + 1) + z) * len(own) + item[ok])
-                        low = left >= 0
-                        ok, left = ok[low], left[low]
-                    hits.append(np.stack([of[at[ok]], own[item[ok]], at[ok], np.full(len(ok), span)]))
+                    sums = far[a:b, span : span + each] - far[a:b, :-span][:, :each]
+                    item, at = np.nonzero(sums <= most[a:b, None])
+                    found.append(np.stack([item + a, at, np.full(len(item), span), most[item + a] - sums[item, at].astype(np.int64)]))
+            found = np.concatenate(found, 1)
+            found = found[:, of[i + found[1]] == of[i + found[1] + found[2] - 1]]
+            for z in range(ZONES):
+                item, at, span, left = found
+                there = np.bincount(item, minlength=len(own)) > 0
+                far, nth = self._summed(z, row[i:end], np.flatnonzero(there)), (np.cumsum(there) - 1)[item]
+                left -= far[nth, at + span * (z + 1) // ZONES] - far[nth, at + span * z // ZONES]
+                found = found[:, left >= 0]
+            item, at, span, _ = found
+            hits.append(np.stack([of[i + at], own[item], i + at, span]))
         t, m, at, span = np.concatenate([np.zeros((4, 0), np.int64), *hits], 1)
         begin, reach = (at - first[t]) * GRAM, self.n[m] + self.most[m]
         order = np.lexsort((begin, m, t))
@@ -447,10 +470,16 @@ class _Finder:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("items", "bound")}
 
+    @staticmethod
+    @lru_cache(1)
+    def _made(block: tuple, similarity: float) -> tuple[Items, _Bound]:
+        """Kept by a worker from task to task, with the grams met so far."""
+        items = Items([i for i, _ in block], [t for _, t in block])
+        return items, _Bound(items.text, [int((1 - similarity) * len(t) + 1e-9) for t in items.text])
+
     def __call__(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         if "items" not in self.__dict__:
-            self.items = Items([i for i, _ in self.block], [t for _, t in self.block])
-            self.bound = _Bound(self.items.text, [self._most(t) for t in self.items.text])
+            self.items, self.bound = self._made(tuple(self.block), self.similarity)
         data, off = _io.text_bytes(texts)
         return [(i + t, m, e, s) for i, j in _slices(off, 4 << 20) for t, m, e, s in self._slice(data[off[i] : off[j]], off[i : j + 1] - off[i])]
 

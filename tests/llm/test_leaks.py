@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -171,3 +172,46 @@ def test_nothing_within_the_similarity_is_left_out(similarity):
         texts.append(some(rng.randrange(300)) + rng.choice((" ", "")) + "".join(x) + some(rng.randrange(300)))
     f = C._Finder(list(enumerate(items)), similarity, C.tables_for(0.99, 0.85))
     assert {(t, m): e for t, m, e, _ in f(pa.array(texts))} == _within(items, texts, similarity)
+
+
+def test_long_parts_are_searched_few_at_a_time(monkeypatch):
+    """What a batch holds is as many letters as its longest part, times its pairs."""
+    held, batch = [], C._search_batch
+    monkeypatch.setattr(C, "_search_batch", lambda items, texts, n: held.append(len(texts) * max(map(len, texts))) or batch(items, texts, n))
+    monkeypatch.setattr(C, "HELD", 4000)
+    items, texts = ["abc"] * 60, ["ab" * n + "c" for n in range(30)] + ["ab" * 1500 + "c"] * 30
+    assert C.search_all(items, texts).tolist() == [C.search(i, t)[0] for i, t in zip(items, texts)]
+    assert max(held) <= 4000
+
+
+def test_a_worker_keeps_its_distances_between_tasks_in_bounded_memory(monkeypatch):
+    """Tasks bring the finder anew; the grams met stay, and start anew beyond KNOWN with the same results."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    items = [text(rng.randint(60, 120)) for _ in range(30)]
+    texts = [text(200) + "".join("z" if rng.random() < 0.1 else c for c in rng.choice(items)) + text(200) for _ in range(20)]
+    task = lambda: pickle.loads(pickle.dumps(C._Finder(list(enumerate(items)), 0.8, 40)))
+    one, two = task(), task()
+    want = sorted(x[:3] for x in one(pa.array(texts)))
+    assert len(want) >= 15 and sorted(x[:3] for x in two(pa.array(texts))) == want and two.bound is one.bound
+    assert one.bound.rows.nbytes <= C.KNOWN and len(one.bound.keys) > 500
+    own, bits, ends, _ = one.bound.groups[0]
+    gram = "abcxf"
+    key = 0
+    for c in gram:
+        key = key * C.CLASSES + int(one.bound.of[ord(c)])
+    got = one.bound._distances(np.array([key]), bits, ends, len(own))[0, C.ZONES]
+    told = [int(got[r // 4]) >> r % 4 * 2 & 3 for r in range(len(own))]
+    assert told == [min(C.FAR, C.search(gram, one.items.text[m])[0]) for m in own.tolist()]
+    monkeypatch.setattr(C, "KNOWN", 200 * (C.ZONES + 1) * 8)
+    C._Finder._made.cache_clear()
+    few = task()
+    assert sorted((i, *x[1:3]) for i, t in enumerate(texts) for x in few(pa.array([t]))) == want
+    assert few.bound.rows.shape[2] < 500
+    C._Finder._made.cache_clear()
+
+
+def test_walks_of_windows_and_items_toss_the_same_coins():
+    """However many steps the windows of a batch take, they are compared with the items' first ones."""
+    texts = ["the quick brown fox", "a lazy dog"]
+    assert (C.embed(texts, 20) == C.embed(texts, 90)[:, :20]).all()

@@ -7,7 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadcut.plans.store import stored
+from roadcut.plans.store import dropped, stored
+
+
+#: Rows of a key in one share, where the key's rows were counted.
+SHARE = 1000
 
 
 def shares(count: int, share: int = 5000) -> int:
@@ -15,11 +19,13 @@ def shares(count: int, share: int = 5000) -> int:
     return max(8, -(-count // share))
 
 
-def spread(rows: DataFrame, key: list[str], other: DataFrame, by: str, count: int | None = None, with_rows=None) -> DataFrame:
+def spread(rows: DataFrame, key: list[str], other: DataFrame, by: str, count: int | None = None, with_rows=None, n: str | None = None) -> DataFrame:
     """rows joined with other by key, of which a few values may hold a large part of all rows: a key's rows are dealt out by
     ``by`` to shares, other goes to each share that a key has, and rows meet it there. count: of rows, about, where
-    they aren't a stored table. with_rows: applied to rows after their keys were taken."""
-    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(by, F.lit(7)), F.lit(shares(rows.count() if count is None else count))))
+    they aren't a stored table. with_rows: applied to rows after their keys were taken. n: a column of rows that tells how
+    many a key has, at most; then a key has a share for each SHARE of these, and most keys have one."""
+    many = F.ceil(F.col(n) / SHARE) if n else F.lit(shares(rows.count() if count is None else count))
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(by, F.lit(7)), many))
     there = dealt.select(*key, "_share").distinct().join(other, key)
     return (dealt if with_rows is None else with_rows(dealt)).join(there, [*key, "_share"]).drop("_share")
 

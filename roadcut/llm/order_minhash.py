@@ -28,8 +28,6 @@ PART = 200_000
 HEAVY = 1000
 #: Texts of the sample that tells which shingles are common; how often such a one stands there; how many are told at most.
 SAMPLE, COMMON, TOLD = 4000, 3, 50_000
-#: Shares to which the texts with a common shingle are dealt out.
-SHARES = 64
 #: Bits of the map that tells which rows a join won't need.
 BITS = 1 << 22
 
@@ -291,18 +289,20 @@ def _only(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 def _met(texts: DataFrame, similarity: float) -> DataFrame:
     """key, rep, size, at, n (members): the prefixes of texts (whole, size, rare, plain), but for shingles that one text alone
-    has there. Texts with a common shingle are dealt out to shares; of the others those go that can be similar to no member
-    of their bucket: the next larger one is too large, and they are too large for all smaller ones (_near)."""
+    has there. Common shingles are few (TOLD), so their numbers go to the rows, whose members stay where they are. The others'
+    members meet at once, and of them those go that can be similar to no member of their bucket: the next larger one is too
+    large, and they are too large for all smaller ones (_near)."""
     p = texts.select(F.col("whole").alias("rep"), "size", "plain", F.posexplode("rare").alias("at", "key"))
-    share = F.when(F.col("at") < F.col("plain"), 0).otherwise(1 + F.pmod(F.xxhash64("rep"), F.lit(SHARES)))
-    p = p.select("key", "rep", "size", (F.col("at") + 1).cast("long").alias("at"), share.cast("int").alias("share"))
-    many = p.groupBy("key").agg(F.count("*").alias("n"), F.max("share").alias("last")).where("n > 1")
-    many = many.select("key", "n", F.explode(F.when(F.col("last") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(SHARES)))).alias("share"))
-    p = p.join(many, ["key", "share"]).withColumn("largest", F.floor((F.col("size") - F.col("at") + 1 + 1e-9) * (1 + similarity) / similarity) - F.col("size"))
-    by_size = Window.partitionBy("key", "share").orderBy("size", "rep")
+    p = p.select("key", "rep", F.col("size").cast("int").alias("size"), (F.col("at") + 1).alias("at"), (F.col("at") < F.col("plain")).alias("own"))
+    common = p.where("NOT own").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    common = p.where("NOT own").join(F.broadcast(common), "key").select(*MEMBER)
+    p = p.where("own").drop("own").withColumn("largest", F.floor((F.col("size") - F.col("at") + 1 + 1e-9) * (1 + similarity) / similarity) - F.col("size"))
+    by_size = Window.partitionBy("key").orderBy("size", "rep")
     over, under = F.lead("size").over(by_size) <= F.col("largest"), F.max("largest").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("size")
-    meets = (F.col("share") > 0) | F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False))
-    return p.withColumn("meets", meets).where("meets").select(*MEMBER)
+    meets = F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False))
+    own = p.withColumn("n", F.count("*").over(Window.partitionBy("key"))).withColumn("meets", meets).where("meets")
+    longs = [F.col(c).cast("long").alias(c) for c in MEMBER]
+    return own.select(*longs).unionByName(common.select(*longs))
 
 
 def _buckets(members: DataFrame, count: int, left: int) -> DataFrame:
@@ -322,7 +322,7 @@ def _open(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     count = members.count()
     m = members.where(F.col("n") >= least).select(*MEMBER).join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
     two = m.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return _io.stored(_io.spread(m, ["key"], two, "rep", count), "members", count)
+    return _io.stored(_io.spread(m, ["key"], two, "rep", n="n"), "members", count)
 
 
 def _pivots(members: DataFrame, meets: DataFrame, first: int, last: int) -> DataFrame:
@@ -355,7 +355,7 @@ def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked:
     meets = members.groupBy("rep").agg(F.sum("n").alias("meets"))
     while not rows.isEmpty() and turn != turns:
         pivots = _pivots(rows, meets, first, last)
-        met = _io.spread(rows, ["key"], pivots, "rep").where(_near(similarity) & (F.col("root") != F.col("pivot_root")))
+        met = _io.spread(rows, ["key"], pivots, "rep", n="n").where(_near(similarity) & (F.col("root") != F.col("pivot_root")))
         # a pair of which each is the other's pivot goes once, from the lesser one
         pairs = met.select(F.least("pivot", "rep").alias("lo"), F.greatest("pivot", "rep").alias("hi"), "pivot").groupBy("lo", "hi").agg(F.min("pivot").alias("a"))
         pairs = pairs.join(checked.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
@@ -367,7 +367,8 @@ def _linked(members: DataFrame, shingles: DataFrame, similarity: float, checked:
             checked, found = checked.unionByName(more), not more.where("yes").isEmpty()
         if roots is None or found:
             roots = _components(checked)
-        rows = _open(rows, roots, first)
+        before, rows = rows, _open(rows, roots, first)
+        _io.dropped(before, pairs)
     return checked, _components(checked) if roots is None else roots, rows
 
 
@@ -395,19 +396,24 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     d = d.withColumn("same", F.xxhash64("text"))
     rows = d.count()
     sketched = _sketched(shingle, similarity, _common(d, shingle, rows))
-    own = _io.stored(d.mapInArrow(sketched, "doc_id long, same long, whole long, n_words long, sketch array<long>, rare array<long>, plain int"), "sketches", rows, 2 * HEAVY)
-    texts = own.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), *(F.first(c).alias(c) for c in ("n_words", "sketch", "rare", "plain")))
+    sketched = _io.stored(d.mapInArrow(sketched, "doc_id long, same long, whole long, n_words long, sketch array<long>, rare array<long>, plain int"), "sketches", rows, 2 * HEAVY)
+    own = _io.stored(sketched.select("doc_id", "same", "whole", "n_words"), "rows", rows)
+    texts = sketched.where(f"n_words >= {shingle}").groupBy("whole").agg(F.min("same").alias("same"), *(F.first(c).alias(c) for c in ("n_words", "sketch", "rare", "plain")))
     texts = _io.stored(texts.withColumn("size", F.col("n_words") - shingle + 1), "texts", rows, 10 * HEAVY)
+    _io.dropped(sketched)
     count = texts.count()
     keys = texts.select(F.col("whole").alias("rep"), "size", F.lit(1).cast("long").alias("at"), F.explode("sketch").alias("key"))
     buckets = _buckets(keys, count * SKETCHES, count)
     met = _io.stored(_met(texts, similarity), "rare")
     need = buckets.select("rep").union(met.select("rep")).distinct()
     need = _io.stored(need.join(texts.select(F.col("whole").alias("rep"), "same"), "rep"), "need", count)
+    _io.dropped(texts)
     said = _only(d, need, "same").groupBy("same").agg(F.first("text").alias("text")).join(need.select("same", "rep"), "same").select("rep", "text")
     shingles = _io.stored(said.mapInArrow(_shingled(shingle), "rep long, shingles binary, tally binary"), "shingles", need.count(), HEAVY)
-    checked, _, _ = _linked(buckets, shingles, similarity, None, 1)
+    checked, _, rest = _linked(buckets, shingles, similarity, None, 1)
+    _io.dropped(buckets, rest)
     _, roots, _ = _linked(met, shingles, similarity, checked, None, MORE)
+    _io.dropped(met, shingles)
     least = own.groupBy("whole").agg(F.min("doc_id").alias("least"))
     least = _io.stored(least.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("class_key"), "least"), "least", count)
     of = least.groupBy("class_key").agg(F.min("least").alias("first"))

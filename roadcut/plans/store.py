@@ -26,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 SMALL = 256 << 10
 
 
+#: Whether Spark deletes a plan's shuffle files as soon as it has run, rather than when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def by_measure(spark: SparkSession) -> None:
     """From now on this session broadcasts what it has measured to be small (adaptive execution, after a shuffle), and not what it
     takes to be small by the size of files: these are compressed, and a grid's cells or a closure multiply rows, so that
@@ -46,8 +50,23 @@ def stored(df: DataFrame, name: str, rows: int | None = None, each: int = 40_000
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // each)))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads this plan's shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables of which no plan that has yet to run reads anything; others are left alone."""
+    for t in tables:
+        if path := t.__dict__.pop("_stored_at", None):
+            jvm_path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def numbered(df: DataFrame, by: list[str], name: str, first: int = 0, parts: int = 32) -> DataFrame:

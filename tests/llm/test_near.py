@@ -1,8 +1,10 @@
 import random
+from pathlib import Path
 
 import numpy as np
 
 from roadcut.llm import _io, _seq, order_minhash as O
+from roadcut.plans import store
 
 
 def words_hash(w):
@@ -169,3 +171,22 @@ def test_the_order_of_shingles_loses_no_pair():
         assert len(similar) > 20 and all(part[i] & part[j] for i, j in similar)
         told = [O.tally(O._cut(g)) for g in sh]
         assert all(O.could_be(told[i], told[j], len(sh[i]) + len(sh[j]), 0.8) for i, j in similar)
+
+
+def test_tables_that_are_no_longer_read_are_deleted(spark):
+    rng, folder = random.Random(3), Path(spark.conf.get("spark.checkpoint.dir"))
+    w = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(i, " ".join([*w[: i % 5], f"e{i}", *w[i % 5 :]])) for i in range(12)]
+    before, was = set(folder.iterdir()), spark.conf.get(store.CLEANUP, None)
+    got = O.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before if "-" in p.name and any(p.iterdir())}
+    assert not left & {"sketches", "texts", "buckets", "rare", "shingles", "pairs"} and spark.conf.get(store.CLEANUP, None) == was
+    assert {r.class_id for r in got.collect()} == {0}
+
+
+def test_spread_by_counted_rows(spark):
+    """A key of few rows has one share, so what meets it is sent once."""
+    rows = spark.createDataFrame([("a", i, 3) for i in range(3)] + [("b", i, 2500) for i in range(2500)], "k string, v long, n long")
+    other = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "k string, w long")
+    got = _io.spread(rows, ["k"], other, "v", n="n").select("k", "v", "w")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(other, "k").select("k", "v", "w").collect()))

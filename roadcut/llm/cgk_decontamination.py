@@ -33,6 +33,8 @@ GRAM, FAR, CLASSES = 5, 3, 32
 GROUP, KNOWN, ZONES, STEP = 256, 64 << 20, 4, 4
 #: Letters that a batch of searches holds at once.
 HELD = 1 << 20
+#: Bytes of texts that are searched at once; a letter takes 40 bytes or so meanwhile.
+SLICE = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARK = np.zeros(256, bool)
@@ -481,7 +483,7 @@ class _Finder:
         if "items" not in self.__dict__:
             self.items, self.bound = self._made(tuple(self.block), self.similarity)
         data, off = _io.text_bytes(texts)
-        return [(i + t, m, e, s) for i, j in _slices(off, 4 << 20) for t, m, e, s in self._slice(data[off[i] : off[j]], off[i : j + 1] - off[i])]
+        return [(i + t, m, e, s) for i, j in _slices(off, SLICE) for t, m, e, s in self._slice(data[off[i] : off[j]], off[i : j + 1] - off[i])]
 
     def _most(self, item: str) -> int:
         return int((1 - self.similarity) * len(item) + 1e-9)

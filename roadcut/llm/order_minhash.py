@@ -404,7 +404,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) ->
     count = texts.count()
     keys = texts.select(F.col("whole").alias("rep"), "size", F.lit(1).cast("long").alias("at"), F.explode("sketch").alias("key"))
     buckets = _buckets(keys, count * SKETCHES, count)
-    met = _io.stored(_met(texts, similarity), "rare")
+    met = _io.stored(_met(texts, similarity), "rare", count, 2 * HEAVY)
     need = buckets.select("rep").union(met.select("rep")).distinct()
     need = _io.stored(need.join(texts.select(F.col("whole").alias("rep"), "same"), "rep"), "need", count)
     _io.dropped(texts)

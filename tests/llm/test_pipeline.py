@@ -59,3 +59,13 @@ def test_decontamination_leaves_out_no_item_with_every_word_edited(spark):
     assert any(near)
     docs = spark.createDataFrame([(i, f"zzz yyy {x} zzz") for i, x in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id for r in P.decontamination(spark, docs, folder).collect()} == {i for i, n in enumerate(near) if not n}
+
+
+def test_few_documents_make_few_files(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five w{i} x{i} y{i}") for i in range(9)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = P.near_duplicates(spark, docs, "")
+        assert got.rdd.getNumPartitions() == 1 and got.count() == 9
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
